@@ -42,12 +42,19 @@ def _sorted_directly(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray
         todo = np.flatnonzero(member)
         if not len(todo):
             break
-        group = np.cumsum(~same[todo])
         k = key(np.minimum(out[todo] + d, len(text)))
+        begin = np.flatnonzero(~same[todo])
+        size = np.diff(np.append(begin, len(todo)))
+        # Repeated text makes most groups go on being equal; only those that part are sorted.
+        parted = np.repeat(np.minimum.reduceat(k, begin) != np.maximum.reduceat(k, begin), size)
+        if not parted.any():
+            continue
+        group = np.repeat(np.arange(len(begin)), size)[parted]
+        moved, k = todo[parted], k[parted]
         by = np.lexsort((k, group))
-        out[todo] = out[todo][by]
+        out[moved] = out[moved][by]
         k, group = k[by], group[by]
-        same[todo[1:]] = (group[1:] == group[:-1]) & (k[1:] == k[:-1])
+        same[moved[1:]] = (group[1:] == group[:-1]) & (k[1:] == k[:-1])
     return out
 
 

@@ -22,8 +22,9 @@ from .blocks import Blocks, ask, by_shard, parts
 from .suffix_array import reaches, suffix_array
 
 LENGTH = 200
+BLOCK_BYTES = 2 << 20  # UTF-8 bytes of text in a block: each takes some 60 bytes of arrays
 PIECE = 32  # bytes of a hashed piece; a power of two, less than LENGTH
-SLAB = 3 << 20  # bytes of text whose suffixes are sorted at a time
+SLAB = 3 << 19  # bytes of text whose suffixes are sorted at a time
 _NONE = np.uint64(2**64 - 1)
 
 
@@ -37,12 +38,14 @@ def _byte_values() -> np.ndarray:
 _BYTES = _byte_values()
 
 
-def _sliding(f, values: np.ndarray, width: int, fill: np.uint64) -> np.ndarray:
-    """f over each ``width`` consecutive values, by doubling; the last ones are filled up."""
-    out, have = values, 1
+def _sliding(f, values: np.ndarray, width: int) -> np.ndarray:
+    """f (minimum or maximum) over each ``width`` consecutive values, by doubling; the last over what is left."""
+    out, have = values.copy(), 1
     while have < width:
         step = min(have, width - have)
-        out = f(out, np.concatenate([out[step:], np.full(min(step, len(out)), fill, np.uint64)])[: len(out)])
+        if step >= len(out):
+            break
+        out[:-step] = f(out[:-step], out[step:])
         have += step
     return out
 
@@ -60,17 +63,19 @@ class _Intervals:
             self.hash = self.twice = np.zeros(0, np.uint64)
             return
         piece = _BYTES[self.text]
-        have, factor = 1, np.uint64(0xD6E8FEB86659FD93)
-        while have < PIECE:
-            ahead = np.concatenate([piece[have:], np.zeros(min(have, n), np.uint64)])[:n]
-            piece = piece * factor + ahead
-            have, factor = have * 2, factor * factor
-        piece = (piece ^ (piece >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        have, factor = 1, 0xD6E8FEB86659FD93
+        while have < PIECE and have < n:
+            ahead = piece[have:].copy()
+            piece *= np.uint64(factor)
+            piece[:-have] += ahead
+            have, factor = have * 2, factor * factor % 2**64
+        piece ^= piece >> np.uint64(31)
+        piece *= np.uint64(0x94D049BB133111EB)
         piece ^= piece >> np.uint64(30)
-        piece = np.minimum(piece, _NONE - np.uint64(1))
+        np.minimum(piece, _NONE - np.uint64(1), out=piece)
         left = np.repeat(self.ends[1:], size) - np.arange(n)  # bytes to the end of the document
         piece[left < PIECE] = _NONE
-        least = _sliding(np.minimum, piece, length - PIECE + 1, _NONE)
+        least = _sliding(np.minimum, piece, length - PIECE + 1)
         whole = left >= length
         # An interval is a run of starts with one smallest hash, within one document.
         new = whole.copy()
@@ -82,7 +87,7 @@ class _Intervals:
         self.doc = np.searchsorted(self.ends, self.start, side="right") - 1
         # Places of pieces that are smallest somewhere: a hash with two such places may repeat in this block.
         least[~whole] = 0
-        back = _sliding(np.maximum, least[::-1], length - PIECE + 1, np.uint64(0))[::-1]
+        back = _sliding(np.maximum, least[::-1], length - PIECE + 1)[::-1]
         chosen = np.sort(piece[(back == piece) & (piece != _NONE)])
         self.twice = np.unique(chosen[1:][chosen[1:] == chosen[:-1]])
 
@@ -148,7 +153,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, keep_first: boo
     their own, so two equal rows of ``length`` bytes remove each other. Texts are shuffled once; beside them go 8
     bytes for each interval (one in about 85 bytes) and the text of intervals whose hash repeats.
     """
-    blocks = Blocks(docs, carry=carry)
+    blocks = Blocks(docs, BLOCK_BYTES, carry)
     shards = max(1, blocks.count)
 
     def tell_hashes(table: pa.Table) -> Iterator[dict]:

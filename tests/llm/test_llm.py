@@ -178,6 +178,7 @@ def test_substring_dedup(table):
 
 def test_substring_dedup_over_many_blocks(spark, documents, monkeypatch):
     monkeypatch.setattr(substring_dedup, "SHARD_WINDOWS", 2000)
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 20_000)
     monkeypatch.setattr("ledgerloom.llm.blocks.Blocks.__init__.__defaults__", (20_000, ()))
     df = spark.createDataFrame(documents, "doc_id long, text string")
     got = substring_dedup.remove_repeated_windows(df).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("s"))
