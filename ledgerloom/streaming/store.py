@@ -143,7 +143,7 @@ def upsert(old: DataFrame, new: DataFrame, key: str, keep: Sequence[str] = ()) -
 def event_counts(events: DataFrame, every: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Tumbling windows of events by type, for a batch or a stream (an extension: late events beyond the watermark
     are left out of a stream)."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", every).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("Total")).select(F.col("w.start").alias("WindowStart"), "event_type", "n", "Total")
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", every).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("Total")).select(F.col("w.start").cast("timestamp_ntz").alias("WindowStart"), "event_type", "n", "Total")
 
 
 def sessions(events: DataFrame, gap_seconds: int = 1800) -> DataFrame:
