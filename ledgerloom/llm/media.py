@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import raw_strings, slices, text_or_empty
+from ._common import mapped, raw_strings, slices, text_or_empty
 
 UNIT = 64  # samples in a row of blocks; payloads are padded to a multiple of it
 ROWS = 8191  # rows of blocks in a frame: 65,528 lines, the most a 16-bit height holds
@@ -336,7 +336,7 @@ def encode_texts(docs: DataFrame) -> DataFrame:
                     to, start = to + long, start + n
                 yield pa.record_batch([batch.column("doc_id").slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(encode_payloads(buffer, lengths), pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return mapped(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")), run, "doc_id long, n_bytes long, media binary")
 
 
 FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, frames int, thumbnail_hash string"
@@ -367,4 +367,4 @@ def decode_media(media: DataFrame) -> DataFrame:
                     rows.append([len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), f"{width}x{height}x{len(frames)}:{mark}", width, height, len(frames), mark])
                 yield pa.record_batch([*[batch.column(c).slice(a, b - a) for c in keep], *[pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), kind, strict=True)]], [*keep, *names])
 
-    return media.mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], FEATURES]))
+    return mapped(media, run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], FEATURES]))

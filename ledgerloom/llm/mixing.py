@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import stored
+from ._common import mapped, stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3  # times that a document may be taken
@@ -115,7 +115,7 @@ def schedule(sources: DataFrame, total: int, block: int) -> DataFrame:
             u = (slot.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(11)).astype(float) * 2.0**-53
             yield pa.record_batch([pa.array(slot), pa.array(slot // 16384), labels.take(pa.array(np.searchsorted(edges, u, side="right")))], ["slot", "chunk", "source"])
 
-    drawn = spark.range(count if rows else 0).mapInArrow(draw, "slot long, chunk long, source string")
+    drawn = mapped(spark.range(count if rows else 0), draw, "slot long, chunk long, source string")
     sums = drawn.groupBy("source", "chunk").agg(F.count(F.lit(1)).alias("n"))
     before = sums.select("source", "chunk", (F.sum("n").over(Window.partitionBy("source").orderBy("chunk")) - F.col("n")).alias("before"))
     within = F.row_number().over(Window.partitionBy("source", "chunk").orderBy("slot")) - 1

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import raw_strings, stored, text_or_empty
+from ._common import mapped, raw_strings, stored, text_or_empty
 from .tokens import PartEncoder
 
 CAPACITY = 4096
@@ -81,7 +81,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
             columns = list(zip(*out, strict=True)) or [()] * 5
             yield pa.record_batch([pa.array(list(x), t) for x, t in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return mapped(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, documents: int = CAPACITY, attention: float = float(CAPACITY) ** 2, rule: str = "norm", group_tokens: int = GROUP_TOKENS) -> DataFrame:

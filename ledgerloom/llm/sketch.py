@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import corpus_size, raw_strings, text_or_empty
+from ._common import corpus_size, mapped, raw_strings, text_or_empty
 
 FRACTION = 8  # one hash in so many is retained
 FLOOR = 32
@@ -89,7 +89,7 @@ def document_sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
             found = [as_text(sketch(shingle_hashes(flat[a:b], words))) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.record_batch([batch.column("doc_id"), pa.array(found, pa.string())], ["doc_id", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
+    return mapped(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")), run, "doc_id long, fingerprint string")
 
 
 RANGE_BYTES = 16 << 20  # UTF-8 bytes of text for each range of doc_ids
@@ -123,7 +123,7 @@ def in_descending_ranges(docs: DataFrame) -> DataFrame:
                 taken = batch.take(pa.array(again))
                 yield pa.record_batch([pa.array((part[again] + 1) % len(edges)), pa.array(np.ones(len(again), np.int32)), *taken.columns], names)
 
-    tagged = rows.mapInArrow(tag, "part long, extra int, key long, doc_id long, text string")
+    tagged = mapped(rows, tag, "part long, extra int, key long, doc_id long, text string")
     return tagged.repartition(n, "part").sortWithinPartitions("part", "extra", F.col("key").desc(), "text")
 
 
@@ -156,4 +156,4 @@ def neighbour_likeness(docs: DataFrame, words: int = WORDS) -> DataFrame:
             columns = list(zip(*out, strict=True)) or [()] * len(names)
             yield pa.record_batch([pa.array(list(x), t) for x, t in zip(columns, types, strict=True)], names)
 
-    return in_descending_ranges(docs).mapInArrow(run, NEIGHBOURS)
+    return mapped(in_descending_ranges(docs), run, NEIGHBOURS)

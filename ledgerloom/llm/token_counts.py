@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import raw_strings, text_or_empty
+from ._common import mapped, raw_strings, text_or_empty
 from .tokens import PartCounter, splits_at_space, whole_tokens
 
 
@@ -31,4 +31,4 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFra
             n = np.array([counter.count(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], np.int64)
             yield pa.record_batch([batch.column("doc_id"), pa.array(np.diff(at)), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return mapped(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -16,11 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import corpus_size, raw_strings, slices, text_or_empty
+from ._common import corpus_size, mapped, raw_strings, slices, text_or_empty
 from .tokens import PartEncoder
 
-FILE_BYTES = 48 << 20  # UTF-8 bytes of text for each file
+FILE_BYTES = 32 << 20  # UTF-8 bytes of text for each file
 STEP_BYTES = 4 << 20
+MOST_PARTS = 200_000  # parts whose starts may be broadcast (16 bytes each)
 
 # The writer's settings.
 LAYOUT = {
@@ -64,8 +65,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
                 yield pa.record_batch([batch.column("doc_id").slice(a, b - a), pa.array(n), pa.array(start + stops - n), lists], ["doc_id", "n_tokens", "part_start", "ids"])
                 start += int(stops[-1])
 
-    dealt = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).repartitionByRange(max(1, -(-size // FILE_BYTES)), *order).sortWithinPartitions(*order)
-    dealt.mapInArrow(run, "doc_id long, n_tokens long, part_start long, ids array<int>").write.options(**LAYOUT).parquet(path)
+    dealt = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).repartitionByRange(max(1, -(-size // FILE_BYTES)), order[0]).sortWithinPartitions(*order)
+    mapped(dealt, run, "doc_id long, n_tokens long, part_start long, ids array<int>").write.options(**LAYOUT).parquet(path)
 
 
 def read_positions(spark: SparkSession, path: str, *more: str) -> DataFrame:
@@ -78,6 +79,8 @@ def read_positions(spark: SparkSession, path: str, *more: str) -> DataFrame:
     totals = files.select(part, (F.col("part_start") + F.col("n_tokens")).alias("n")).groupBy("part").agg(F.max("n").alias("n"))
     before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     rows = files.select("doc_id", "n_tokens", "part_start", *more, part)
+    if before.count() <= MOST_PARTS:
+        before = F.broadcast(before)  # a row a part; its size is checked, and beyond it the join shuffles
     return rows.join(before, "part").select("doc_id", (F.col("before") + F.col("part_start")).alias("start"), "n_tokens", *more)
 
 
@@ -94,4 +97,4 @@ def token_digests(rows: DataFrame) -> DataFrame:
             yield pa.record_batch([*[batch.column(c) for c in keep], pa.array(crc, pa.int64())], [*keep, "ids_crc32"])
 
     kinds = dict(rows.dtypes)
-    return rows.mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "ids_crc32 long"]))
+    return mapped(rows, run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "ids_crc32 long"]))

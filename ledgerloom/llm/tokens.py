@@ -9,15 +9,28 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 
 import numpy as np
 
-#: Parts remembered per Python worker (about 200 bytes each); beyond it the memory starts afresh.
-REMEMBERED = 700_000
+#: Parts and pre-tokens remembered per Python worker (about 200 bytes each); beyond it a memory starts afresh.
+REMEMBERED, REMEMBERED_WORDS = 600_000, 400_000
 
 # Fixed value: the pre-token pattern of the word-BPE vocabulary, for lower-case printable ASCII.
 _ASCII_PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-_PRINTABLE = re.compile(rb"[\x21-\x7e]+\Z")
+_PRINTABLE = re.compile(r"[\x21-\x7e]+")
+#: A word of Latin letters that no normalisation joins or changes but by case, and one mark after it.
+_LATIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?)]?)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write bytes as: printable Latin-1 as it is, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
+_LETTER = _byte_letters()
 
 
 def splits_at_space(path: str) -> bool:
@@ -51,30 +64,44 @@ def whole_tokens(path: str) -> list[bytes]:
 
 
 class _Words:
-    """The ids of distinct pre-tokens: one library call for many, cut where a token ends a word."""
+    """The ids of distinct words: one library call for many, between special tokens, which the library takes
+    out of a text before it does anything else."""
 
     def __init__(self, path: str) -> None:
         self.tokenizer = load(path)
-        ends = [i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]
-        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
-        self.ends[ends] = True
+        special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized and not t.lstrip and not t.rstrip]
+        self.separator, self.mark = special[0] if special else (None, None)
 
     def alone(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def of(self, words: list[str]) -> list[np.ndarray]:
-        if not words:
-            return []
-        ids = self.alone(" ".join(words))
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) != len(words) or stops[-1] != len(ids):
-            return [self.alone(w) for w in words]
-        return np.split(ids, stops[:-1])
-
-
-def _pretokens(part: bytes) -> list[str] | None:
-    """None: special strings and characters beyond ASCII are left to the library as they stand."""
-    return _ASCII_PRETOKEN.findall(part.decode().lower()) if _PRINTABLE.match(part) and b"<|" not in part else None
+    def merge(self, words: list[str]) -> list[bytes]:
+        """The ids of pre-tokens in lower case: the model's merges alone, over the letters of their bytes."""
+        tokenize = self.tokenizer.model.tokenize
+        spelt = [w if w.isascii() else w.encode().decode("latin-1").translate(_LETTER) for w in words]
+        return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in spelt]
+
+    def of(self, words: list[str]) -> list[bytes]:
+        """Each word's ids as little-endian bytes; words that may hold part of a special token go by themselves."""
+        if not words or self.separator is None:
+            return [self.alone(w).tobytes() for w in words]
+        joined = self.separator.join(words)
+        ids = self.alone(joined)
+        stops = np.flatnonzero(ids == self.mark)
+        if len(stops) != len(words) - 1 or joined.count("<|") != len(stops) * self.separator.count("<|"):
+            return [self.alone(w).tobytes() for w in words]
+        raw = ids.tobytes()
+        at = [-4, *(4 * stops).tolist(), len(raw)]
+        return [raw[x + 4 : y] for x, y in zip(at[:-1], at[1:], strict=True)]
+
+
+def _pretokens(part: bytes) -> tuple[str, ...] | list[str] | None:
+    """None: special strings and further characters are left to the library as they stand."""
+    text = part.decode()
+    if word := _LATIN.fullmatch(text):
+        letters, mark = word.groups()
+        return (letters.lower(), mark) if mark else (letters.lower(),)
+    return _ASCII_PRETOKEN.findall(text.lower()) if _PRINTABLE.fullmatch(text) and "<|" not in text else None
 
 
 class PartEncoder:
@@ -92,19 +119,21 @@ class PartEncoder:
         parts = text.split()
         known = self.known
         try:
-            return b"".join([known[p] for p in parts])
+            return b"".join(map(known.__getitem__, parts))
         except KeyError:
             pass
-        if len(known) + len(self.merged) > REMEMBERED:
+        if len(known) > REMEMBERED:
             known.clear()
+        if len(self.merged) > REMEMBERED_WORDS:
             self.merged.clear()
         merged = self.merged
-        split = {p: _pretokens(p) for p in parts if p not in known}
-        rest = list({t for ts in split.values() if ts for t in ts if t not in merged})
-        merged.update((t, x.tobytes()) for t, x in zip(rest, self.words.of(rest), strict=True))
-        for p, ts in split.items():
-            known[p] = self.words.alone(p.decode()).tobytes() if ts is None else b"".join([merged[t] for t in ts])
-        return b"".join([known[p] for p in parts])
+        split = {p: _pretokens(p) for p in set(parts).difference(known)}
+        new = list({t for ts in split.values() if ts for t in ts if t not in merged})
+        merged.update(zip(new, self.words.merge(new), strict=True))
+        other = [p for p, ts in split.items() if ts is None]
+        known.update(zip(other, self.words.of([p.decode() for p in other]), strict=True))
+        known.update((p, b"".join([merged[t] for t in ts])) for p, ts in split.items() if ts is not None)
+        return b"".join(map(known.__getitem__, parts))
 
 
 class PartCounter:
@@ -120,31 +149,35 @@ class PartCounter:
             import sentencepiece
 
             pieces = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.library = lambda text: len(pieces.encode(text, num_threads=1))
+            self.library = lambda words: [len(pieces.encode(w, num_threads=1)) for w in words]
         else:
             self.words = _Words(path)
-            self.library = lambda text: len(self.words.alone(text))
+            self.library = lambda words: [len(x) // 4 for x in self.words.of(words)]
         self.whole = frozenset(x.decode() for x in whole)
         self.known: dict[bytes, int] = dict.fromkeys(whole, 1)
         self.merged: dict[str, int] = {}
 
     def count(self, text: bytes) -> int:
         if not self.independent:
-            return self.library(text.decode())
+            return self.library([text.decode()])[0]
         parts = text.split()
         known = self.known
         try:
-            return sum([known[p] for p in parts])
+            return sum(map(known.__getitem__, parts))
         except KeyError:
             pass
-        if len(known) + len(self.merged) > REMEMBERED:
+        if len(known) > REMEMBERED:
             known.clear()
-            self.merged.clear()
             known.update((x.encode(), 1) for x in self.whole)
+        if len(self.merged) > REMEMBERED_WORDS:
+            self.merged.clear()
         whole, merged = self.whole, self.merged
-        split = {p: _pretokens(p) for p in parts if p not in known}
+        split = {p: _pretokens(p) for p in set(parts).difference(known)}
         rest = list({t for ts in split.values() if ts for t in ts if t not in whole and t not in merged})
-        merged.update((t, len(x)) for t, x in zip(rest, self.words.of(rest), strict=True))
+        merged.update((t, len(x) // 4) for t, x in zip(rest, self.words.merge(rest), strict=True))
+        other = [p for p, ts in split.items() if ts is None]
+        known.update(zip(other, self.library([p.decode() for p in other]), strict=True))
         for p, ts in split.items():
-            known[p] = self.library(p.decode()) if ts is None else sum([1 if t in whole else merged[t] for t in ts])
-        return sum([known[p] for p in parts])
+            if ts is not None:
+                known[p] = sum([1 if t in whole else merged[t] for t in ts])
+        return sum(map(known.__getitem__, parts))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import raw_strings, stored, text_or_empty
+from ._common import mapped, raw_strings, stored, text_or_empty
 
 SAMPLE = 20_000  # labelled documents that the grammar is fitted on, at most about so many
 LEXICON = 600  # most entries learned
@@ -190,7 +190,7 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     other = F.when(F.col("m") > 0, F.col("m") * F.log((1 - rate) / (1 - chance))).otherwise(0.0)
     evidence = F.col("k") * F.log(rate / chance) + other
     odds = F.log(((F.col("k") + 0.5) / (toxic + 1)) / ((F.col("m") + 0.5) / (clean + 1)))
-    summed = sample.mapInArrow(run, "entry string, k long, m long").groupBy("entry").agg(F.sum("k").alias("k"), F.sum("m").alias("m"))
+    summed = mapped(sample, run, "entry string, k long, m long").groupBy("entry").agg(F.sum("k").alias("k"), F.sum("m").alias("m"))
     found = summed.where((F.col("k") > 0) & (n >= 3) & (rate > chance)).select("entry", evidence.alias("evidence"), odds.alias("odds")).where((F.col("evidence") >= EVIDENCE) & (F.col("odds") >= math.log(RATIO)))
     rows = [(r[0], float(r[2])) for r in found.orderBy(F.desc("evidence"), "entry").limit(LEXICON * 8).collect()]
     # A short stem stands for the longer stems and words that begin with it, unless they are clearer.
@@ -218,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], dict[str,
             yield pa.record_batch([pa.array(x, pa.list_(pa.float64())), batch.column("toxic")], ["x", "y"])
 
     # Equal feature rows are counted before they come to the driver; most are all zero.
-    grouped = sample.mapInArrow(run, "x array<double>, y int").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).collect()
+    grouped = mapped(sample, run, "x array<double>, y int").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).collect()
     if len({r["y"] for r in grouped}) < 2:
         return lexicon, PRIOR, BIAS
     x = np.array([[1.0, *r["x"]] for r in grouped])
@@ -254,4 +254,4 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
             score = np.array([scorer.score(flat[a:b].decode()) for a, b in zip(ends[:-1], ends[1:], strict=True)])
             yield pa.record_batch([*batch.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(run, ", ".join([*types, "score double", "predicted int"]))
+    return mapped(docs, run, ", ".join([*types, "score double", "predicted int"]))
