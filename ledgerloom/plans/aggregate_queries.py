@@ -233,9 +233,9 @@ def boundary(t: Tables) -> DataFrame:
     return t.spans.groupBy("Producer").agg(F.median(size).alias("Mid"), F.percentile(size, 0.9).alias("P90"), F.round(F.avg((F.col("Status") == "F").cast("double")), 6).alias("pForm"))
 
 
-@query("ent_gap_profile", "WITH g AS (SELECT PartyRole, Start - lag(Start) OVER (PARTITION BY DocID ORDER BY Start, SpanNo) AS Gap FROM spans WHERE abs(Start - 400) <= 400) SELECT PartyRole, quantile_cont(Gap, 0.5) AS P50, quantile_cont(Gap, 0.75) AS P75, quantile_cont(Gap, 0.9) AS P90, quantile_cont(Gap, 0.95) AS P95 FROM g GROUP BY 1")
+@query("ent_gap_profile", "WITH g AS (SELECT PartyRole, Start - lag(Start) OVER (PARTITION BY DocID ORDER BY Start, SpanNo, Stop, PartyRole) AS Gap FROM spans WHERE abs(Start - 400) <= 400) SELECT PartyRole, quantile_cont(Gap, 0.5) AS P50, quantile_cont(Gap, 0.75) AS P75, quantile_cont(Gap, 0.9) AS P90, quantile_cont(Gap, 0.95) AS P95 FROM g GROUP BY 1")
 def gap_profile(t: Tables) -> DataFrame:
-    near = t.spans.where("abs(Start - 400) <= 400").withColumn("Gap", F.col("Start") - F.lag("Start").over(Window.partitionBy("DocID").orderBy("Start", "SpanNo")))
+    near = t.spans.where("abs(Start - 400) <= 400").withColumn("Gap", F.col("Start") - F.lag("Start").over(Window.partitionBy("DocID").orderBy("Start", "SpanNo", "Stop", "PartyRole")))
     return near.groupBy("PartyRole").agg(*[F.percentile("Gap", p).alias(f"P{int(p * 100)}") for p in (0.5, 0.75, 0.9, 0.95)])
 
 
