@@ -270,12 +270,12 @@ def _scan_thumbnails(buffers: list[np.ndarray], frames: list[Frame]) -> list[np.
         position[:n] = p
     out, at = [], 0
     for f, a, u in zip(frames, across, units, strict=True):
-        part = f.parts[f.order[0][0]]
-        h, v = (1, 1) if single else (part[1], part[2])
+        _, own_h, own_v, table = f.parts[f.order[0][0]]
+        h, v, h_of, v_of = (1, 1, 1, 1) if single else (own_h, own_v, h_most, v_most)
         grid = dc_out[at : at + u].reshape(u // a, a, v, h).transpose(0, 2, 1, 3).reshape(u // a * v, a * h)
         at += u
-        grey = np.clip((grid * f.quant[part[3]] + 4 >> 3) + 128, 0, 255).astype(np.uint8)
-        out.append(grey[: -(-f.height * part[2] // (8 * v_most * (part[2] if single else 1))), : -(-f.width * part[1] // (8 * h_most * (part[1] if single else 1)))])
+        grey = np.clip((grid * f.quant[table] + 4 >> 3) + 128, 0, 255).astype(np.uint8)
+        out.append(grey[: -(-f.height * v // (8 * v_of)), : -(-f.width * h // (8 * h_of))])
     return out
 
 

@@ -59,7 +59,7 @@ def taken_words(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int
     order depends on a hash of key, size and seed, so reruns agree.
     """
     spark = docs.sparkSession
-    rows = docs.select(key, "source", "size")
+    rows = stored(docs.select(key, "source", "size"), "sizes")  # texts are read once
     found = [(r[0], int(r[1])) for r in rows.groupBy("source").agg(F.sum("size")).collect()]
     total = sum(n for _, n in found)
     target = shares(found, weights, most)
