@@ -50,9 +50,10 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
 BATCH_ROWS = 1500
 
 
-def release() -> None:
+def release(collect: bool = True) -> None:
     """Give back memory at a task's end: workers are kept for later tasks, beside which it would count."""
-    gc.collect()
+    if collect:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -72,6 +73,13 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return df.mapInArrow(then_release, schema)
 
 
+def fresh(stem: str, columns: list[str]) -> str:
+    """``stem``, with as many underscores before it as it takes to begin no column's name."""
+    while any(c.lower().startswith(stem.lower()) for c in columns):
+        stem = f"_{stem}"
+    return stem
+
+
 def text_or_empty() -> Column:
     return F.coalesce(F.col("text"), F.lit(""))
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import mapped, stored
+from ._common import fresh, mapped, stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3  # times that a document may be taken
@@ -132,9 +132,11 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOS
     """``docs`` as the mix takes them, in whole documents: each row as many times (0 to ``most``) as its words
     are taken, rounded; a part of a document is kept in proportion by a hash of its doc_id, so that the sum
     stays near. Documents without words stay once. All columns stay."""
-    sized = stored(docs.withColumn("_size", word_count(F.col("text"))).withColumn("_key", F.monotonically_increasing_id()), "sized")
-    taken = taken_words(sized.select("_key", "source", F.col("_size").alias("size")), weights, most, seed, "_key").select("_key", "size", "taken")
-    part = F.pmod(F.xxhash64(F.lit(seed + 1), "_key"), F.lit(1 << 20)) / float(1 << 20)
-    times = F.when(F.col("size") == 0, 1).otherwise(F.least(F.lit(most), F.floor(F.col("taken") / F.col("size") + part)))
-    counts = taken.select("_key", times.cast("int").alias("_times"))
-    return sized.join(counts, "_key").where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    own = fresh("_mix", docs.columns)
+    key, size, times, copy = (f"{own}_{x}" for x in ("key", "size", "times", "copy"))
+    sized = stored(docs.withColumn(size, word_count(F.col("text"))).withColumn(key, F.monotonically_increasing_id()), "sized")
+    taken = taken_words(sized.select(F.col(key).alias("key"), "source", F.col(size).alias("size")), weights, most, seed, "key").select("key", "size", "taken")
+    part = F.pmod(F.xxhash64(F.lit(seed + 1), "key"), F.lit(1 << 20)) / float(1 << 20)
+    whole = F.when(F.col("size") == 0, 1).otherwise(F.least(F.lit(most), F.floor(F.col("taken") / F.col("size") + part)))
+    counts = taken.select(F.col("key").alias(key), whole.cast("int").alias(times))
+    return sized.join(counts, key).where(F.col(times) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import read_table, shared_dir
-from .media import decode_media, encode_texts
+from .media import decode_media, encode_texts, store_media
 from .mixing import taken_words, word_count
 from .packing import CAPACITY, pack, pieces
 from .simhash import near_duplicates
@@ -24,7 +24,8 @@ VOCABULARY = "word_bpe_49k.json"
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decode_media(encode_texts(read_table(spark, sf_dir, "documents")))
+    kept = store_media(encode_texts(read_table(spark, sf_dir, "documents")), f"{shared_dir(spark)}/media")
+    found = decode_media(kept)
     first = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     return found.select(*first, "width", "height", "frames", "thumbnail_hash")
 

@@ -237,12 +237,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], dict[str,
     return lexicon, {k: float(v) for k, v in zip(KINDS, w[1:], strict=True)}, float(w[0])
 
 
-def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with score (0 to 1) and predicted (1 from 0.5 on): whole texts, scored by nothing else.
+def toxicity(docs: DataFrame, labels: DataFrame, score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """``docs`` with a score (0 to 1) and a prediction (1 from 0.5 on): whole texts, scored by nothing else.
 
-    A null text is empty and scores the bias. All rows and columns of ``docs`` stay, repeated ones too.
+    A null text is empty and scores the bias. All rows and columns of ``docs`` stay, repeated ones too; columns that
+    have the names of the new ones give way to them.
     """
     lexicon, weights, bias = fit(docs, labels)
+    docs = docs.drop(score, predicted)
     position = docs.columns.index("text")
     types = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
 
@@ -251,7 +253,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             at, data = raw_strings(batch.column(position))
             flat, ends = data.tobytes(), at.tolist()
-            score = np.array([scorer.score(flat[a:b].decode()) for a, b in zip(ends[:-1], ends[1:], strict=True)])
-            yield pa.record_batch([*batch.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
+            found = np.array([scorer.score(flat[a:b].decode()) for a, b in zip(ends[:-1], ends[1:], strict=True)])
+            yield pa.record_batch([*batch.columns, pa.array(found), pa.array((found >= 0.5).astype(np.int32))], [*batch.schema.names, score, predicted])
 
-    return mapped(docs, run, ", ".join([*types, "score double", "predicted int"]))
+    return mapped(docs, run, ", ".join([*types, f"`{score}` double", f"`{predicted}` int"]))
