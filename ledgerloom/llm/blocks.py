@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LAST_ID, corpus_size, raw_strings, text_or_empty
+from ._common import LAST_ID, corpus_size, raw_strings, release, text_or_empty
 
 BLOCK_BYTES = 4 << 20  # UTF-8 bytes of text in a block
 
@@ -41,10 +41,10 @@ class Blocks:
         return self.rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: _table(f(t, a), out), schema)
 
 
-def ask(told: DataFrame, f: Callable[[pa.Table], Iterable[dict]], schema: str) -> DataFrame:
-    """Rows that ``f`` makes of all that blocks told a shard."""
+def ask(told: DataFrame, shards: int, f: Callable[[pa.Table], Iterable[dict]], schema: str) -> DataFrame:
+    """Rows that ``f`` makes of all that blocks told a shard; shards are heavy, so none wait for another's task."""
     out = _schema(schema)
-    return told.groupBy("shard").applyInArrow(lambda t: _table(f(t), out), schema)
+    return told.repartition(shards, "shard").groupBy("shard").applyInArrow(lambda t: _table(f(t), out), schema)
 
 
 _KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
@@ -57,7 +57,11 @@ def _schema(text: str) -> pa.Schema | None:
 
 
 def _table(rows: Iterable[dict] | pa.Table, schema: pa.Schema | None) -> pa.Table:
-    return rows if isinstance(rows, pa.Table) else pa.Table.from_pylist(list(rows), schema)
+    pa.set_memory_pool(pa.system_memory_pool())
+    table = rows if isinstance(rows, pa.Table) else pa.Table.from_pylist(list(rows), schema)
+    del rows
+    release(collect=False)  # once for each block: a full collection would cost more than the block
+    return table
 
 
 def documents(table: pa.Table) -> tuple[list, np.ndarray, list[bytes]]:

@@ -16,10 +16,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import LAST_ID, raw_strings, stored, text_or_empty
+from ._common import LAST_ID, fresh, mapped, raw_strings, stored, text_or_empty
 from .graph import components
 
 SEED = 42
@@ -28,7 +28,7 @@ STEP = 1 << 16  # shingles counted at a time
 
 def fingerprint_words(text: bytes, words: int, n_words: int = 1) -> list[int]:
     """``n_words`` independent 64-bit fingerprints (unsigned) of the word shingles of a text, A-Z lower-cased,
-    repeats included. The first uses XXH64 with seed 42, further ones seeds 43 and on."""
+    repeats included. The first is of XXH64 with seed 42, further ones of numbers mixed from it."""
     parts = text.lower().split()
     if not parts:
         return [0] * n_words
@@ -37,10 +37,11 @@ def fingerprint_words(text: bytes, words: int, n_words: int = 1) -> list[int]:
     stop = np.cumsum(size + 1) - 1
     n = max(1, len(parts) - words + 1)
     starts, stops = (stop - size)[:n].tolist(), stop[-n:].tolist()
+    of = xxhash.xxh64_intdigest
+    first = np.array([of(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], np.uint64)
     out = []
     for k in range(n_words):
-        of, seed = xxhash.xxh64_intdigest, SEED + k
-        hashes = np.array([of(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)], np.uint64)
+        hashes = first if k == 0 else _mixed(first + np.uint64(0x9E3779B97F4A7C15 * k % 2**64))
         count = np.zeros(64, np.int64)
         for at in range(0, n, STEP):
             bits = np.unpackbits(hashes[at : at + STEP].astype(">u8").view(np.uint8)).reshape(-1, 64)
@@ -49,6 +50,13 @@ def fingerprint_words(text: bytes, words: int, n_words: int = 1) -> list[int]:
     return out
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Further hashes of a shingle, from its first."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
 def fingerprints(docs: DataFrame, words: int = 3, n_words: int = 1) -> DataFrame:
     """(doc_id, f0, f1, ...): signed 64-bit fingerprints of each whole text. A null or empty text has zeros."""
     names = [f"f{k}" for k in range(n_words)]
@@ -60,7 +68,7 @@ def fingerprints(docs: DataFrame, words: int = 3, n_words: int = 1) -> DataFrame
             found = np.array([fingerprint_words(flat[a:b], words, n_words) for a, b in zip(ends[:-1], ends[1:], strict=True)], np.uint64).reshape(-1, n_words)
             yield pa.record_batch([batch.column("doc_id"), *[pa.array(found[:, k].astype(np.int64)) for k in range(n_words)]], ["doc_id", *names])
 
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"{x} long" for x in names))
+    return mapped(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")), run, "doc_id long, " + ", ".join(f"{x} long" for x in names))
 
 
 def ball(value: Column, bits: int, radius: int) -> Column:
@@ -99,14 +107,15 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
     return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), F.when(F.col("least") != LAST_ID, F.col("least")).alias("component_id"))
 
 
-def band_plan(n: int, similarity: float, missed: float = 0.03) -> tuple[int, int, int]:
+def band_plan(n: int, similarity: float, missed: float = 0.05) -> tuple[int, int, int]:
     """(bits a band, bands, most differing bits of all) for ``n`` documents.
 
-    A band is long enough that a ball of radius 2 rarely holds a stranger, and there are enough bands that a
+    A band grows with the logarithm of ``n``, so that a ball of radius 2 holds a few strangers at any size, and
+    there are enough bands that a
     pair of the given resemblance meets in none of them with a probability of at most ``missed``.
     """
     turned = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = max(24, n.bit_length() + 6)
+    bits = max(24, n.bit_length() + 8)
     meets = sum(math.comb(bits, k) * turned**k * (1 - turned) ** (bits - k) for k in range(3))
     bands = math.ceil(math.log(missed) / math.log(1 - meets))
     total = 64 * -(-bits * bands // 64)
@@ -126,7 +135,8 @@ def keep_one_of_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8
     count = docs.count()
     bits, bands, most = band_plan(count, similarity)
     n_words = -(-bits * bands // 64)
-    names = [f"_f{k}" for k in range(n_words)]
+    own = fresh("_near", docs.columns)
+    names, row = [f"{own}{k}" for k in range(n_words)], f"{own}_row"
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
     position = docs.columns.index("text")
 
@@ -137,9 +147,9 @@ def keep_one_of_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8
             found = np.array([fingerprint_words(flat[a:b], words, n_words) for a, b in zip(ends[:-1], ends[1:], strict=True)], np.uint64).reshape(-1, n_words)
             yield pa.record_batch([*batch.columns, *[pa.array(found[:, k].astype(np.int64)) for k in range(n_words)]], [*batch.schema.names, *names])
 
-    marked = docs.mapInArrow(run, ", ".join([*[f"`{c}` {t}" for c, t in types.items()], *[f"{x} long" for x in names]]))
-    rows = stored(marked.withColumn("_row", F.monotonically_increasing_id()), "marked")
-    first = F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc"), F.col("_row").alias("row"))
+    marked = mapped(docs, run, ", ".join([*[f"`{c}` {t}" for c, t in types.items()], *[f"{x} long" for x in names]]))
+    rows = stored(marked.withColumn(row, F.monotonically_increasing_id()), "marked")
+    first = F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc"), F.col(row).alias("row"))
     nodes = stored(rows.groupBy(*names).agg(F.min(first).alias("first")).withColumn("node", F.col("first.row")), "nodes")
 
     mask = F.lit((1 << bits) - 1).cast("long")
@@ -153,9 +163,12 @@ def keep_one_of_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8
     bands_of = nodes.select("node", F.inline(F.array(*values)))
     hubs = stored(bands_of.groupBy("band", "value").agg(F.min_by("node", F.xxhash64("node", "band")).alias("hub")), "hubs")
     equal = bands_of.join(hubs, ["band", "value"]).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    met = hubs.select("band", "hub", F.explode(ball(F.col("value"), bits, 1)).alias("variant")).groupBy("band", "variant").agg(F.sort_array(F.collect_set("hub")).alias("hubs")).where(F.size("hubs") > 1)
-    beside = F.transform(F.sequence(F.lit(1), F.size("hubs") - 1), lambda i: F.array(F.struct(F.get("hubs", i).alias("a"), F.get("hubs", F.lit(0)).alias("b")), F.struct(F.get("hubs", i).alias("a"), F.get("hubs", i - 1).alias("b"))))
-    close = met.select(F.inline(F.flatten(beside)))
+    place = F.shiftleft(F.col("band").cast("long"), bits)  # a band's variants are numbers of their own
+    variants = hubs.select("hub", F.explode(ball(F.col("value").bitwiseOR(place), bits, 1)).alias("variant"))
+    # Each that meets at a variant is linked to the first there and to the one before it.
+    beside = Window.partitionBy("variant").orderBy("hub")
+    met = variants.select("hub", F.lag("hub").over(beside).alias("last"), F.first("hub").over(beside).alias("least")).where("last is not null")
+    close = met.select(F.col("hub").alias("a"), F.explode(F.array_distinct(F.array("last", "least"))).alias("b"))
     pairs = equal.union(close).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     left = nodes.select(F.col("node").alias("a"), *[F.col(x).alias(f"a{x}") for x in names])
     right = nodes.select(F.col("node").alias("b"), *[F.col(x).alias(f"b{x}") for x in names])
@@ -164,5 +177,5 @@ def keep_one_of_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8
 
     parts = components(links)
     labelled = nodes.join(parts, nodes["node"] == parts["id"], "left").select("first", F.coalesce("component", "node").alias("component"))
-    kept = labelled.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    kept = labelled.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)

@@ -175,7 +175,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             kept = [x for x, m in zip(words, mask.tolist(), strict=True) if not m] if mask.any() else words
             yield {"doc_id": w.ids[i], "n_words": len(words), "n_removed": int(mask.sum()), "kept": b" ".join(kept).decode()}
 
-    cells = ask(blocks.tell(tell_cells, "shard long, block long, cells binary"), merge, "block long, shard long, hits binary")
-    smaller = ask(blocks.tell(tell_windows, "shard long, block long, a binary, b binary, low binary", cells), group, "block long, shard long, hits binary")
+    cells = ask(blocks.tell(tell_cells, "shard long, block long, cells binary"), shards, merge, "block long, shard long, hits binary")
+    smaller = ask(blocks.tell(tell_windows, "shard long, block long, a binary, b binary, low binary", cells), shards, group, "block long, shard long, hits binary")
     return blocks.tell(remove, "doc_id long, n_words long, n_removed long, kept string", smaller)
 

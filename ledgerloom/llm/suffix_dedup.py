@@ -5,6 +5,10 @@ starts that share a smallest hash (an interval) belongs to the shard of that has
 place has too can hold a repeat. Blocks find which these are, and send the text of those intervals, each
 distinct text once with its count. A shard then sorts all suffixes of what it got by the two-stage method, and
 adjacent common prefixes of 200 bytes or more are the repeats.
+
+A hash that many blocks have (a phrase of many documents, each time in other company) would gather all its
+company in one shard. Strings of such a hash are owned instead by the smallest hash in them of a short stretch that
+is not itself common: what many documents have, a second round finds, and what no other block has is not sent.
 """
 
 from __future__ import annotations
@@ -12,20 +16,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from ._common import LAST_ID, raw_strings
 from .blocks import Blocks, ask, by_shard, parts
 from .suffix_array import reaches, suffix_array
 
 LENGTH = 200
-BLOCK_BYTES = 2 << 20  # UTF-8 bytes of text in a block: each takes some 60 bytes of arrays
+BLOCK_BYTES = 3 << 19  # UTF-8 bytes of text in a block: each takes some 60 bytes of arrays
+SHARD_BYTES = 4 << 20  # bytes of text for each shard
 PIECE = 32  # bytes of a hashed piece; a power of two, less than LENGTH
-SLAB = 3 << 19  # bytes of text whose suffixes are sorted at a time
+FINE = 16  # pieces of a stretch whose smallest may own a string where the string's own smallest is hot
+HOT = 32  # blocks that make a hash hot
+SLAB = 1 << 20  # bytes of text whose suffixes are sorted at a time
 _NONE = np.uint64(2**64 - 1)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _byte_values() -> np.ndarray:
@@ -38,6 +44,13 @@ def _byte_values() -> np.ndarray:
 _BYTES = _byte_values()
 
 
+def _even(hashes: np.ndarray) -> np.ndarray:
+    """Another number for each, spread over the whole range: smallest hashes are small, and shards are ranges."""
+    h = hashes * _SPREAD
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
 def _sliding(f, values: np.ndarray, width: int) -> np.ndarray:
     """f (minimum or maximum) over each ``width`` consecutive values, by doubling; the last over what is left."""
     out, have = values.copy(), 1
@@ -55,12 +68,12 @@ class _Intervals:
 
     def __init__(self, table: pa.Table, length: int) -> None:
         order = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        self.ids = order.column("doc_id").to_pylist()
+        self.length, self.ids = length, order.column("doc_id").to_pylist()
         self.ends, self.text = raw_strings(order.column("text"))
         n, size = len(self.text), np.diff(self.ends)
         if not n:
             self.start = self.starts = self.doc = np.zeros(0, np.int64)
-            self.hash = self.twice = np.zeros(0, np.uint64)
+            self.hash = self.twice = self.piece = np.zeros(0, np.uint64)
             return
         piece = _BYTES[self.text]
         have, factor = 1, 0xD6E8FEB86659FD93
@@ -73,7 +86,7 @@ class _Intervals:
         piece *= np.uint64(0x94D049BB133111EB)
         piece ^= piece >> np.uint64(30)
         np.minimum(piece, _NONE - np.uint64(1), out=piece)
-        left = np.repeat(self.ends[1:], size) - np.arange(n)  # bytes to the end of the document
+        left = np.repeat(self.ends[1:].astype(np.int32), size) - np.arange(n, dtype=np.int32)  # bytes to the end
         piece[left < PIECE] = _NONE
         least = _sliding(np.minimum, piece, length - PIECE + 1)
         whole = left >= length
@@ -83,13 +96,51 @@ class _Intervals:
         self.start = np.flatnonzero(new)
         stop = np.flatnonzero(whole & np.append(new[1:] | ~whole[1:], True))
         self.starts = stop - self.start + 1
-        self.hash = least[self.start]
+        self.hash = _even(least[self.start])
         self.doc = np.searchsorted(self.ends, self.start, side="right") - 1
+        del left, new, stop
         # Places of pieces that are smallest somewhere: a hash with two such places may repeat in this block.
         least[~whole] = 0
         back = _sliding(np.maximum, least[::-1], length - PIECE + 1)[::-1]
         chosen = np.sort(piece[(back == piece) & (piece != _NONE)])
-        self.twice = np.unique(chosen[1:][chosen[1:] == chosen[:-1]])
+        del least, back, whole
+        self.twice = np.unique(_even(chosen[1:][chosen[1:] == chosen[:-1]]))
+        self.piece = piece
+
+    def stretches(self, which: np.ndarray) -> tuple[list[np.ndarray], int]:
+        """For each of some intervals, the smallest hash of each short stretch of its strings; how many a string has."""
+        span = self.length - PIECE - FINE + 2
+        fine = _sliding(np.minimum, self.piece, FINE)
+        return [fine[a : a + n + span - 1] for a, n in zip(self.start[which].tolist(), self.starts[which].tolist(), strict=True)], span
+
+    def split(self, which: np.ndarray, common: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(start, starts, document, owner) of the parts that hot intervals fall into, less those whose owner no other
+        place has. A string all of whose stretches are common is owned by its interval's hash and the largest of them."""
+        values, span = self.stretches(which)
+        inside = np.zeros(len(self.piece) + 1, np.int32)
+        np.add.at(inside, self.start[which], 1)
+        np.add.at(inside, self.start[which] + self.starts[which] + self.length - PIECE, -1)
+        near = np.sort(self.piece[np.cumsum(inside[:-1]) > 0])
+        again = np.unique(near[1:][near[1:] == near[:-1]])
+        parts_ = []
+        for i, fine in zip(which.tolist(), values, strict=True):
+            rare = np.where(_among(_even(fine), common), _NONE, fine)
+            owner = np.lib.stride_tricks.sliding_window_view(rare, span).min(axis=1)
+            whole = owner == _NONE
+            kept = whole | _among(_even(owner), shared) | _among(owner, again)
+            owner = _even(owner)
+            if whole.any():  # common phrases in some company of each other: by the interval's hash and the largest
+                most = np.lib.stride_tricks.sliding_window_view(fine, span).max(axis=1)
+                owner = np.where(whole, _even(most ^ self.hash[i]), owner)
+            new = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            for a, n in zip(new.tolist(), np.diff(np.append(new, len(owner))).tolist(), strict=True):
+                if kept[a]:
+                    parts_.append((self.start[i] + a, n, self.doc[i], owner[a]))
+        if not parts_:
+            none = np.zeros(0, np.int64)
+            return none, none, none, np.zeros(0, np.uint64)
+        at, n, doc, owner = zip(*parts_, strict=True)
+        return np.array(at, np.int64), np.array(n, np.int64), np.array(doc, np.int64), np.array(owner, np.uint64)
 
 
 def _among(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
@@ -144,8 +195,8 @@ def _spans(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), (edge[1::2] + length - 1).tolist(), strict=True))
 
 
-def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept binary, and the columns ``carry``): each text, as UTF-8, without the bytes that are covered
+def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept binary, or a string without cut characters, and the columns ``carry``): each text, as UTF-8, without the bytes that are covered
     by a ``length``-byte string that also starts anywhere else, in the same document too.
 
     Strings are judged on the input, overlaps count, and none crosses documents. With ``keep_first`` the first
@@ -154,7 +205,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, keep_first: boo
     bytes for each interval (one in about 85 bytes) and the text of intervals whose hash repeats.
     """
     blocks = Blocks(docs, BLOCK_BYTES, carry)
-    shards = max(1, blocks.count)
+    shards = max(1, -(-blocks.size // SHARD_BYTES))
 
     def tell_hashes(table: pa.Table) -> Iterator[dict]:
         found = _Intervals(table, length)
@@ -164,27 +215,51 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, keep_first: boo
             if y > x:
                 yield {"shard": k, "block": block, "hashes": hashes[x:y].tobytes()}
 
-    def meet(table: pa.Table) -> Iterator[dict]:
-        shard = table.column("shard")[0].as_py()
-        sent = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
-        every = np.sort(np.concatenate(sent))
-        twice = np.unique(every[1:][every[1:] == every[:-1]])
-        for block, hashes in zip(table.column("block").to_pylist(), sent, strict=True):
-            hit = hashes[_among(hashes, twice)]
-            if len(hit):
-                yield {"block": block, "shard": shard, "hashes": hit.tobytes()}
+    def count_blocks(few: str, many: str):
+        """What blocks sent of hashes, answered: ``few`` are in two blocks or more, ``many`` in ``HOT`` or more."""
+
+        def meet(table: pa.Table) -> Iterator[dict]:
+            shard = table.column("shard")[0].as_py()
+            sent = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+            values, n = np.unique(np.concatenate(sent), return_counts=True)
+            for kind, known in ((few, values[n >= 2]), (many, values[n >= HOT])):
+                for block, hashes in zip(table.column("block").to_pylist(), sent, strict=True):
+                    hit = hashes[_among(hashes, known)]
+                    if len(hit):
+                        yield {"block": block, "shard": shard, "kind": kind, "hashes": hit.tobytes()}
+
+        return meet
+
+    def answered(answers: pa.Table, kind: str) -> np.ndarray:
+        kinds = answers.column("kind").to_pylist()
+        sent = [np.frombuffer(x, np.uint64) for k, x in zip(kinds, answers.column("hashes").to_pylist(), strict=True) if k == kind]
+        return np.unique(np.concatenate(sent)) if sent else np.zeros(0, np.uint64)
+
+    def tell_stretches(table: pa.Table, answers: pa.Table) -> Iterator[dict]:
+        hot = answered(answers, "hot")
+        if not len(hot):
+            return
+        found = _Intervals(table, length)
+        values, _ = found.stretches(np.flatnonzero(_among(found.hash, hot)))
+        hashes = np.unique(_even(np.concatenate(values))) if values else np.zeros(0, np.uint64)
+        block = table.column("block")[0].as_py()
+        for k, (x, y) in enumerate(parts(len(hashes), by_shard(hashes, shards))):
+            if y > x:
+                yield {"shard": k, "block": block, "hashes": hashes[x:y].tobytes()}
 
     def tell_texts(table: pa.Table, answers: pa.Table) -> Iterator[dict]:
         found = _Intervals(table, length)
-        sent = [np.frombuffer(x, np.uint64) for x in answers.column("hashes").to_pylist()]
-        known = np.unique(np.concatenate([*sent, found.twice])) if sent or len(found.twice) else np.zeros(0, np.uint64)
-        take = np.flatnonzero(_among(found.hash, known))
-        take = take[np.argsort(found.hash[take], kind="stable")]
+        hot = answered(answers, "hot")
+        is_hot = _among(found.hash, hot)
+        take = np.flatnonzero((_among(found.hash, answered(answers, "repeated")) | _among(found.hash, found.twice)) & ~is_hot)
+        split = found.split(np.flatnonzero(is_hot), answered(answers, "common"), answered(answers, "shared"))
+        at, count, doc, owner = (np.concatenate(x) for x in zip((found.start[take], found.starts[take], found.doc[take], found.hash[take]), split, strict=True))
+        by = np.argsort(owner, kind="stable")
+        at, count, doc, owner = at[by], count[by], doc[by], owner[by]
         flat = found.text.tobytes()
         block = table.column("block")[0].as_py()
-        at, doc0 = found.start[take], found.ends[found.doc[take]]
-        count, doc = found.starts[take], found.doc[take]
-        for k, (x, y) in enumerate(parts(len(take), by_shard(found.hash[take], shards))):
+        doc0 = found.ends[doc]
+        for k, (x, y) in enumerate(parts(len(at), by_shard(owner, shards))):
             if y == x:
                 continue
             # Each distinct text once; which places have it stays with it and comes back as it is.
@@ -193,7 +268,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, keep_first: boo
                 seen.setdefault(flat[at[i] : at[i] + count[i] + length - 1], []).append(i)
             places = np.array([i for v in seen.values() for i in v])
             yield {
-                "shard": k, "block": block, "texts": b"".join(seen), "hashes": found.hash[take[[v[0] for v in seen.values()]]].tobytes(),
+                "shard": k, "block": block, "texts": b"".join(seen), "hashes": owner[[v[0] for v in seen.values()]].tobytes(),
                 "sizes": np.array([len(t) for t in seen], np.int64).tobytes(), "copies": np.array([len(v) for v in seen.values()], np.int64).tobytes(),
                 "docs": doc[places].astype(np.int64).tobytes(), "starts": (at[places] - doc0[places]).astype(np.int64).tobytes(),
                 "ids": np.array([LAST_ID if found.ids[d] is None else found.ids[d] for d in doc[places].tolist()], np.int64).tobytes() if keep_first else b"",
@@ -261,22 +336,17 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, keep_first: boo
         begins[ends[:-1][ends[:-1] < len(text)]] |= gone[ends[:-1][ends[:-1] < len(text)]]
         runs = np.concatenate([[0], np.cumsum(begins)])
         removed = np.diff(total[ends])
-        kept = [text[a:b][~gone[a:b]].tobytes() if n else text[a:b].tobytes() for a, b, n in zip(ends[:-1].tolist(), ends[1:].tolist(), removed.tolist(), strict=True)]
-        return pa.table({"doc_id": order.column("doc_id"), "n_bytes": np.diff(ends), "n_removed": removed, "n_spans": np.diff(runs[ends]), "kept": pa.array(kept, pa.binary())} | {f"_c{i}": order.column(f"_c{i}") for i in range(len(carry))})
-
-    met = ask(blocks.tell(tell_hashes, "shard long, block long, hashes binary"), meet, "block long, shard long, hashes binary")
-    told = blocks.tell(tell_texts, "shard long, block long, texts binary, hashes binary, sizes binary, copies binary, docs binary, starts binary, ids binary", met)
-    spans = ask(told, sort_suffixes, "block long, shard long, spans binary")
+        kept: list = [text[a:b][~gone[a:b]].tobytes() if n else text[a:b].tobytes() for a, b, n in zip(ends[:-1].tolist(), ends[1:].tolist(), removed.tolist(), strict=True)]
+        if as_text:  # without the characters that a cut went through
+            kept = [x.decode("utf-8", "ignore") for x in kept]
+        return pa.table({"doc_id": order.column("doc_id"), "n_bytes": np.diff(ends), "n_removed": removed, "n_spans": np.diff(runs[ends]), "kept": pa.array(kept, pa.string() if as_text else pa.binary())} | {f"_c{i}": order.column(f"_c{i}") for i in range(len(carry))})
+
+    reply = "block long, shard long, kind string, hashes binary"
+    met = ask(blocks.tell(tell_hashes, "shard long, block long, hashes binary"), shards, count_blocks("repeated", "hot"), reply)
+    common = ask(blocks.tell(tell_stretches, "shard long, block long, hashes binary", met.where("kind = 'hot'")), shards, count_blocks("shared", "common"), reply)
+    told = blocks.tell(tell_texts, "shard long, block long, texts binary, hashes binary, sizes binary, copies binary, docs binary, starts binary, ids binary", met.unionByName(common))
+    spans = ask(told, shards, sort_suffixes, "block long, shard long, spans binary")
     kinds = dict(docs.dtypes)
-    out = blocks.tell(remove, ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", *[f"_c{i} {kinds[c]}" for i, c in enumerate(carry)]]), spans)
+    out = blocks.tell(remove, ", ".join([f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}", *[f"_c{i} {kinds[c]}" for i, c in enumerate(carry)]]), spans)
     return out.withColumnsRenamed({f"_c{i}": c for i, c in enumerate(carry)})
 
-
-def valid_text(column: str) -> Column:
-    """The text of cut UTF-8 bytes, without the characters that a cut went through."""
-
-    @F.pandas_udf("string")
-    def decode(data: pd.Series) -> pd.Series:
-        return data.map(lambda x: None if x is None else bytes(x).decode("utf-8", "ignore"))
-
-    return decode(column)

@@ -97,3 +97,18 @@ def test_near_copies_and_toxic_documents_planted(spark, tmp_path):
     left = {d for d, _ in texts(corpus_pipeline.drop_near_copies(spark, first, folder))}
     assert set(range(10_000, 10_020)) <= left and not left & {*range(20_000, 20_010), *range(40_000, 40_005)}
     assert simhash.keep_one_of_similar(docs).columns == docs.columns
+
+
+def test_stages_take_awkward_tables(spark, awkward_rows):
+    names = "doc_id long, text string, lang string, source string, n_chars long, kept binary, score int, _near0 string, _mix_key int, `_score` int"
+    rows = [(d, t, None, s, None, None, 1, "x", 3, 4) for d, t, _, s, *_ in awkward_rows if len(t or "") < 100_000]
+    for table in (spark.createDataFrame(rows, names), spark.createDataFrame([], names)):
+        docs = table
+        for _, stage in corpus_pipeline.STAGES[:4]:
+            docs = stage(spark, docs, SMALL)
+            assert docs.columns == table.columns and docs.dtypes == table.dtypes
+            docs = spark.createDataFrame(docs.collect(), table.schema)
+        packed = corpus_pipeline.pack_sequences(spark, docs, SMALL)
+        assert packed.count() >= docs.count()
+    kept = [r[0] for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, names), SMALL).select("text").collect()]
+    assert len([t for t in kept if not (t or "").split()]) == 1 and kept.count("the quick brown fox") == 1
