@@ -58,37 +58,48 @@ def _sorted_directly(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray
     return out
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """All suffix starts of ``text`` (uint8), in the order of their first ``depth`` symbols at least."""
+def suffix_array(text: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """All suffix starts of ``text`` (uint8), in the order of their first ``depth`` symbols at least; or those that are
+    ``wanted``, and the few others that these are induced from: the successors of one that is larger than its successor."""
     n = len(text)
     up = ascending(text)
-    direct = _sorted_directly(text, np.flatnonzero(up), depth)
-    counts = np.bincount(text, minlength=256)
-    begin = np.concatenate([[0], np.cumsum(counts)])
-    out = np.empty(n, np.int64)
+    if wanted is None:
+        need = np.ones(n, bool)
+    else:
+        # A wanted run that ends on a suffix larger than its successor needs those up to the next smaller one.
+        change = np.diff(np.concatenate([[0], wanted.astype(np.int8), [0]]))
+        ends = np.flatnonzero(change == -1)
+        ends = ends[~up[ends - 1] & (ends < n)]
+        smaller = np.append(np.flatnonzero(up), n - 1)
+        reach = np.zeros(n + 1, np.int32)
+        np.add.at(reach, ends, 1)
+        np.add.at(reach, np.minimum(smaller[np.searchsorted(smaller[:-1], ends)], n - 1) + 1, -1)
+        need = wanted | (np.cumsum(reach[:-1]) > 0)
+    direct = _sorted_directly(text, np.flatnonzero(up & need), depth)
     direct_cuts = np.searchsorted(text[direct], np.arange(257))
     put: list[list[np.ndarray]] = [[] for _ in range(256)]
-    if n:
+    if n and need[-1]:
         put[text[-1]].append(np.array([n - 1]))  # larger than the empty suffix after it
-    for c in np.flatnonzero(counts).tolist():
+    out: list[np.ndarray] = [np.zeros(0, np.int64)]
+    for c in np.flatnonzero(np.bincount(text, minlength=256)).tolist():
         induced, wave = [], np.concatenate(put[c]) if put[c] else np.zeros(0, np.int64)
         while len(wave):
             induced.append(wave)
             before = wave[wave > 0] - 1
-            wave = before[(text[before] == c) & ~up[before]]
+            wave = before[(text[before] == c) & ~up[before] & need[before]]
         bucket = np.concatenate([*induced, direct[direct_cuts[c] : direct_cuts[c + 1]]])
-        out[begin[c] : begin[c + 1]] = bucket
+        out.append(bucket)
         put[c] = []
         before = bucket[bucket > 0] - 1
         symbol = text[before]
-        larger = symbol > c
+        larger = (symbol > c) & need[before]
         before, symbol = before[larger], symbol[larger]
         by = np.argsort(symbol, kind="stable")
         before, symbol = before[by], symbol[by]
         cuts = np.flatnonzero(np.diff(symbol)) + 1
         for piece in np.split(before, cuts) if len(before) else ():
             put[text[piece[0]]].append(piece)
-    return out
+    return np.concatenate(out)
 
 
 def reaches(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:

@@ -24,7 +24,7 @@ from .blocks import Blocks, ask, by_shard, parts
 from .suffix_array import reaches, suffix_array
 
 LENGTH = 200
-BLOCK_BYTES = 3 << 19  # UTF-8 bytes of text in a block: each takes some 60 bytes of arrays
+BLOCK_BYTES = 2 << 20  # UTF-8 bytes of text in a block: each takes some 60 bytes of arrays
 SHARD_BYTES = 4 << 20  # bytes of text for each shard
 PIECE = 32  # bytes of a hashed piece; a power of two, less than LENGTH
 FINE = 16  # pieces of a stretch whose smallest may own a string where the string's own smallest is hot
@@ -66,7 +66,7 @@ def _sliding(f, values: np.ndarray, width: int) -> np.ndarray:
 class _Intervals:
     """The intervals of a block: their document, first string start, number of starts, and hash."""
 
-    def __init__(self, table: pa.Table, length: int) -> None:
+    def __init__(self, table: pa.Table, length: int, repeats: bool = False) -> None:
         order = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         self.length, self.ids = length, order.column("doc_id").to_pylist()
         self.ends, self.text = raw_strings(order.column("text"))
@@ -99,13 +99,13 @@ class _Intervals:
         self.hash = _even(least[self.start])
         self.doc = np.searchsorted(self.ends, self.start, side="right") - 1
         del left, new, stop
-        # Places of pieces that are smallest somewhere: a hash with two such places may repeat in this block.
-        least[~whole] = 0
-        back = _sliding(np.maximum, least[::-1], length - PIECE + 1)[::-1]
-        chosen = np.sort(piece[(back == piece) & (piece != _NONE)])
-        del least, back, whole
-        self.twice = np.unique(_even(chosen[1:][chosen[1:] == chosen[:-1]]))
         self.piece = piece
+        if repeats:
+            # Places of pieces that are smallest somewhere: a hash with two such places may repeat in this block.
+            least[~whole] = 0
+            back = _sliding(np.maximum, least[::-1], length - PIECE + 1)[::-1]
+            chosen = np.sort(piece[(back == piece) & (piece != _NONE)])
+            self.twice = np.unique(_even(chosen[1:][chosen[1:] == chosen[:-1]]))
 
     def stretches(self, which: np.ndarray) -> tuple[list[np.ndarray], int]:
         """For each of some intervals, the smallest hash of each short stretch of its strings; how many a string has."""
@@ -159,7 +159,7 @@ def _repeated_starts(texts: list[bytes], counts: np.ndarray, length: int, first:
     starts = size - length + 1
     owner = np.repeat(np.arange(len(texts)), size)
     owner[np.arange(len(flat)) - begin[owner] >= starts[owner]] = -1  # too short, or in another interval
-    order = suffix_array(flat, length)
+    order = suffix_array(flat, length, owner >= 0)
     order = order[owner[order] >= 0]
     same = reaches(flat, order, length)
     group = np.cumsum(~same) - 1
@@ -248,7 +248,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, keep_first: boo
                 yield {"shard": k, "block": block, "hashes": hashes[x:y].tobytes()}
 
     def tell_texts(table: pa.Table, answers: pa.Table) -> Iterator[dict]:
-        found = _Intervals(table, length)
+        found = _Intervals(table, length, repeats=True)
         hot = answered(answers, "hot")
         is_hot = _among(found.hash, hot)
         take = np.flatnonzero((_among(found.hash, answered(answers, "repeated")) | _among(found.hash, found.twice)) & ~is_hot)

@@ -179,6 +179,8 @@ def test_substring_dedup(table):
 def test_substring_dedup_over_many_blocks(spark, documents, monkeypatch):
     monkeypatch.setattr(substring_dedup, "SHARD_WINDOWS", 2000)
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 50_000)
+    monkeypatch.setattr(suffix_dedup, "HOT", 3)
     monkeypatch.setattr("ledgerloom.llm.blocks.Blocks.__init__.__defaults__", (20_000, ()))
     df = spark.createDataFrame(documents, "doc_id long, text string")
     got = substring_dedup.remove_repeated_windows(df).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("s"))
@@ -188,6 +190,22 @@ def test_substring_dedup_over_many_blocks(spark, documents, monkeypatch):
         assert rows(got, "*") == sorted(((d, *x) for (d, _), x in zip(documents, brute.removed_bytes(documents, keep_first=first))), key=repr)
 
 
+def test_suffix_dedup_of_a_hot_phrase(spark, monkeypatch):
+    """A phrase in every document, each time in other company, beside a passage and copies that do repeat."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 2)
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 4_000)
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 9_000)
+    rng = random.Random(4)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    phrase, passage, shared = words(20), words(60), words(30)
+    docs = [(i, f"{words(rng.randrange(60))} {phrase} {words(rng.randrange(60))}" + (f" {passage}" if i % 3 == 0 else "") + (f" {phrase} {shared}" if i % 7 == 0 else "")) for i in range(90)]
+    docs += [(1000 + i, t) for i, t in docs[:5]] + [(2000, "ab" * 400), (2001, phrase * 3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for first in (False, True):
+        got = suffix_dedup.remove_repeated_bytes(df, keep_first=first).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("s"))
+        assert rows(got, "*") == sorted(((d, *x) for (d, _), x in zip(docs, brute.removed_bytes(docs, keep_first=first))), key=repr)
+
+
 @pytest.mark.parametrize("keep_first", [False, True])
 def test_suffix_dedup(table, keep_first):
     df, docs = table
@@ -203,6 +221,9 @@ def test_suffix_array():
         t = np.tile(t, 1 + trial % 3)
         b = t.tobytes()
         assert suffix_array.suffix_array(t, len(t) + 8).tolist() == sorted(range(len(b)), key=lambda i: b[i:])
+        wanted = rng.random(len(t)) < 0.4
+        some = suffix_array.suffix_array(t, len(t) + 8, wanted)
+        assert [i for i in some.tolist() if wanted[i]] == [i for i in sorted(range(len(b)), key=lambda i: b[i:]) if wanted[i]]
         order = suffix_array.suffix_array(t, 11)
         assert [b[i : i + 11] for i in order] == sorted(b[i : i + 11] for i in range(len(b)))
         same = suffix_array.reaches(t, order, 11)
