@@ -10,17 +10,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import LAST_ID, fresh, mapped, raw_strings, stored, text_or_empty
 from .graph import components
+from .resemblance import resembling_smaller, set_digests
 
 SEED = 42
 STEP = 1 << 16  # shingles counted at a time
@@ -123,59 +123,20 @@ def band_plan(n: int, similarity: float, missed: float = 0.05) -> tuple[int, int
 
 
 def keep_one_of_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one row (the smallest doc_id, null last) of each group of texts that resemble each other.
-
-    A resemblance of 0.8 between shingle sets turns about 15 % of the bits, which no ball of a whole fingerprint
-    reaches. So a longer fingerprint is cut into bands; balls of radius 2 in each band give candidates, and a
-    pair is linked if all bits together agree as that resemblance makes likely (within one standard
-    deviation). Documents of equal band value are linked to one of them, another in each band, and balls are
-    emitted for distinct values only: no group's pairs are listed, and a ball has at most ``bits + 1`` members.
-    All columns stay. Empty and null texts are one group, as are repeated rows.
-    """
-    count = docs.count()
-    bits, bands, most = band_plan(count, similarity)
-    n_words = -(-bits * bands // 64)
-    own = fresh("_near", docs.columns)
-    names, row = [f"{own}{k}" for k in range(n_words)], f"{own}_row"
-    types = {f.name: f.dataType.simpleString() for f in docs.schema}
-    position = docs.columns.index("text")
+    """``docs`` without each row whose text resembles that of a row which stays and has a smaller doc_id (null last).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, data = raw_strings(batch.column(position))
-            flat, ends = data.tobytes(), at.tolist()
-            found = np.array([fingerprint_words(flat[a:b], words, n_words) for a, b in zip(ends[:-1], ends[1:], strict=True)], np.uint64).reshape(-1, n_words)
-            yield pa.record_batch([*batch.columns, *[pa.array(found[:, k].astype(np.int64)) for k in range(n_words)]], [*batch.schema.names, *names])
-
-    marked = mapped(docs, run, ", ".join([*[f"`{c}` {t}" for c, t in types.items()], *[f"{x} long" for x in names]]))
-    rows = stored(marked.withColumn(row, F.monotonically_increasing_id()), "marked")
-    first = F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc"), F.col(row).alias("row"))
-    nodes = stored(rows.groupBy(*names).agg(F.min(first).alias("first")).withColumn("node", F.col("first.row")), "nodes")
-
-    mask = F.lit((1 << bits) - 1).cast("long")
-    values = []
-    for band in range(bands):
-        word, low = divmod(band * bits, 64)
-        value = F.shiftrightunsigned(names[word], low)
-        if low + bits > 64:
-            value = value.bitwiseOR(F.shiftleft(names[word + 1], 64 - low))
-        values.append(F.struct(F.lit(band).alias("band"), value.bitwiseAND(mask).alias("value")))
-    bands_of = nodes.select("node", F.inline(F.array(*values)))
-    hubs = stored(bands_of.groupBy("band", "value").agg(F.min_by("node", F.xxhash64("node", "band")).alias("hub")), "hubs")
-    equal = bands_of.join(hubs, ["band", "value"]).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    place = F.shiftleft(F.col("band").cast("long"), bits)  # a band's variants are numbers of their own
-    variants = hubs.select("hub", F.explode(ball(F.col("value").bitwiseOR(place), bits, 1)).alias("variant"))
-    # Each that meets at a variant is linked to the first there and to the one before it.
-    beside = Window.partitionBy("variant").orderBy("hub")
-    met = variants.select("hub", F.lag("hub").over(beside).alias("last"), F.first("hub").over(beside).alias("least")).where("last is not null")
-    close = met.select(F.col("hub").alias("a"), F.explode(F.array_distinct(F.array("last", "least"))).alias("b"))
-    pairs = equal.union(close).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    left = nodes.select(F.col("node").alias("a"), *[F.col(x).alias(f"a{x}") for x in names])
-    right = nodes.select(F.col("node").alias("b"), *[F.col(x).alias(f"b{x}") for x in names])
-    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a{x}").bitwiseXOR(F.col(f"b{x}"))) for x in names])
-    links = pairs.join(left, "a").join(right, "b").where(differ <= most).select("a", "b")
-
-    parts = components(links)
-    labelled = nodes.join(parts, nodes["node"] == parts["id"], "left").select("first", F.coalesce("component", "node").alias("component"))
-    kept = labelled.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    The resemblance is that of the sets of shingles, repeats not counted, and is computed exactly: no row goes
+    that does not resemble one that stays, and no two that stay resemble each other. Texts of equal sets are one
+    node. All columns stay. Empty and null texts are one group, as are repeated rows.
+    """
+    row = f"{fresh('_near', docs.columns)}_row"
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "marked")
+    slim = rows.select(F.col(row).alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), text_or_empty().alias("text"))
+    digests = set_digests(slim, words)
+    first = digests.join(slim.select("key", "doc"), "key").groupBy("high", "low").agg(F.min(F.struct("doc", "key")).alias("first"))
+    # Numbers that grow with doc_id: a sorted table's partitions are numbered in its order.
+    nodes = stored(first.orderBy("first").select(F.monotonically_increasing_id().alias("node"), F.col("first.key").alias("key")), "nodes")
+    texts = stored(slim.join(nodes, "key").select(F.col("node").alias("key"), "text"), "texts")
+    removed = resembling_smaller(texts, words, similarity).withColumnRenamed("key", "node")
+    kept = nodes.join(removed, "node", "left_anti").select(F.col("key").alias(row))
     return rows.join(kept, row, "left_semi").select(*docs.columns)

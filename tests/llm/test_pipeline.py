@@ -112,3 +112,43 @@ def test_stages_take_awkward_tables(spark, awkward_rows):
         assert packed.count() >= docs.count()
     kept = [r[0] for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, names), SMALL).select("text").collect()]
     assert len([t for t in kept if not (t or "").split()]) == 1 and kept.count("the quick brown fox") == 1
+
+
+def shingle_set(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def kept_in_order(docs, least=0.8):
+    """Plain version: by ascending doc_id, each document stays that resembles none that stays."""
+    stay = []
+    for d, t in sorted(docs):
+        s = shingle_set(t)
+        if not any(len(s & x) >= least * len(s | x) - 1e-9 for _, x in stay):
+            stay.append((d, s))
+    return {d for d, _ in stay}
+
+
+def stay_of(spark, docs):
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    return {r[0] for r in simhash.keep_one_of_similar(df).collect()}
+
+
+def words_of(rng, n):
+    return ["".join(rng.choice("aeiourstlnm") for _ in range(7)) for _ in range(n)]
+
+
+def test_no_document_is_lost_below_the_resemblance(spark):
+    """A line that documents repeat is no resemblance, nor is a template, nor a chain of small steps."""
+    rng = random.Random(31)
+    line, template = words_of(rng, 10), words_of(rng, 300)
+    docs = [(i, " ".join(line * 50 + words_of(rng, 300))) for i in range(30)]
+    docs += [(100 + i, " ".join(template + words_of(rng, 130))) for i in range(30)]
+    chain = words_of(rng, 300)
+    for i in range(12):
+        docs.append((200 + i, " ".join(chain)))
+        chain[i * 25 : i * 25 + 25] = words_of(rng, 25)
+    docs += [(300, docs[0][1]), (301, docs[30][1] + " tail")]
+    got, want = stay_of(spark, docs), kept_in_order(docs)
+    assert want >= {*range(30), *range(100, 130)} and 2 < len(want & set(range(200, 212))) < 12
+    assert got == want
