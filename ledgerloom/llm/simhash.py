@@ -136,7 +136,7 @@ def keep_one_of_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8
     first = digests.join(slim.select("key", "doc"), "key").groupBy("high", "low").agg(F.min(F.struct("doc", "key")).alias("first"))
     # Numbers that grow with doc_id: a sorted table's partitions are numbered in its order.
     nodes = stored(first.orderBy("first").select(F.monotonically_increasing_id().alias("node"), F.col("first.key").alias("key")), "nodes")
-    texts = stored(slim.join(nodes, "key").select(F.col("node").alias("key"), "text"), "texts")
-    removed = resembling_smaller(texts, words, similarity).withColumnRenamed("key", "node")
-    kept = nodes.join(removed, "node", "left_anti").select(F.col("key").alias(row))
-    return rows.join(kept, row, "left_semi").select(*docs.columns)
+    removed = resembling_smaller(slim, nodes, words, similarity).withColumnRenamed("key", "node")
+    kept = nodes.join(removed, "node", "left_anti")
+    gone = stored(rows.select(row).join(kept.select(F.col("key").alias(row)), row, "left_anti"), "removed")
+    return rows.join(gone, row, "left_anti").select(*docs.columns)

@@ -152,3 +152,22 @@ def test_no_document_is_lost_below_the_resemblance(spark):
     got, want = stay_of(spark, docs), kept_in_order(docs)
     assert want >= {*range(30), *range(100, 130)} and 2 < len(want & set(range(200, 212))) < 12
     assert got == want
+
+
+def test_every_near_copy_is_found_among_documents_of_a_template(spark):
+    """Crowds that share half or more of their shingles hide no pair; a crowd of near copies leaves those that differ."""
+    rng = random.Random(32)
+    template, docs = words_of(rng, 200), []
+    for i in range(250):
+        w = template + words_of(rng, 100)
+        docs.append((i, " ".join(w)))
+        if i < 60:
+            at = rng.randrange(200, 280)
+            docs.append((1000 + i, " ".join(w[:at] + words_of(rng, 20) + w[at + 20 :])))
+    base = words_of(rng, 200)
+    for i in range(250):
+        n = rng.randrange(1, 40)
+        docs.append((2000 + i, " ".join(base[:150] + words_of(rng, n) + base[150 + n :])))
+    got = stay_of(spark, docs)
+    assert got == kept_in_order(docs)
+    assert set(range(250)) <= got and not got & set(range(1000, 1060)) and 1 < len(got & set(range(2000, 2250))) < 250
