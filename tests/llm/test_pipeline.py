@@ -171,3 +171,21 @@ def test_every_near_copy_is_found_among_documents_of_a_template(spark):
     got = stay_of(spark, docs)
     assert got == kept_in_order(docs)
     assert set(range(250)) <= got and not got & set(range(1000, 1060)) and 1 < len(got & set(range(2000, 2250))) < 250
+
+
+def test_no_pair_is_missed_at_the_limit(spark):
+    """Pairs at 0.8 to 0.85, against brute force: all of them are found, and none at 0.75 to 0.8."""
+    rng = random.Random(33)
+    docs, alike = [], {}
+    for i in range(240):
+        w = words_of(rng, rng.randrange(60, 500))
+        n = round(len(w) * rng.uniform(0.07, 0.14))
+        docs += [(i, " ".join(w)), (1000 + i, " ".join(w[: len(w) // 2] + words_of(rng, n) + w[len(w) // 2 + n :]))]
+        a, b = shingle_set(docs[-2][1]), shingle_set(docs[-1][1])
+        alike[i] = len(a & b) / len(a | b)
+    five = [f"q{i}" for i in range(13)]
+    docs += [(5000, " ".join(five[:12])), (5001, " ".join(five)), (5002, " ".join(five[:8])), (5003, " ".join(five[:9]))]
+    got = stay_of(spark, docs)
+    assert sum(0.8 <= x < 0.85 for x in alike.values()) > 40 and sum(0.75 <= x < 0.8 for x in alike.values()) > 40
+    assert {i for i in alike if 1000 + i not in got} == {i for i, x in alike.items() if x >= 0.8}
+    assert got == kept_in_order(docs)
