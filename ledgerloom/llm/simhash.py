@@ -8,7 +8,6 @@ are within the radius; a link from each to the least of them therefore loses non
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -107,21 +106,6 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
     return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), F.when(F.col("least") != LAST_ID, F.col("least")).alias("component_id"))
 
 
-def band_plan(n: int, similarity: float, missed: float = 0.05) -> tuple[int, int, int]:
-    """(bits a band, bands, most differing bits of all) for ``n`` documents.
-
-    A band grows with the logarithm of ``n``, so that a ball of radius 2 holds a few strangers at any size, and
-    there are enough bands that a
-    pair of the given resemblance meets in none of them with a probability of at most ``missed``.
-    """
-    turned = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = max(24, n.bit_length() + 8)
-    meets = sum(math.comb(bits, k) * turned**k * (1 - turned) ** (bits - k) for k in range(3))
-    bands = math.ceil(math.log(missed) / math.log(1 - meets))
-    total = 64 * -(-bits * bands // 64)
-    return bits, bands, int(total * turned + math.sqrt(total * turned * (1 - turned)))
-
-
 def keep_one_of_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` without each row whose text resembles that of a row which stays and has a smaller doc_id (null last).
 
