@@ -24,7 +24,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share.
 
-    Where that setting is absent (tests in one JVM) a temporary folder becomes the checkpoint folder.
+    Where that setting is absent, a local session (one machine, as in tests) takes a temporary folder; a cluster has
+    no folder that is known to be shared, so there it is an error.
     """
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir")
@@ -32,9 +33,11 @@ def shared_dir(spark: SparkSession) -> str:
         set_before = context._jsc.sc().getCheckpointDir()
         if set_before.isDefined():
             base = set_before.get()
-        else:
+        elif context.master.startswith("local"):
             base = tempfile.mkdtemp(prefix="ledgerloom-")
             context.setCheckpointDir(base)
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base.rstrip('/')}/ledgerloom-{uuid.uuid4().hex}"
 
 
@@ -46,8 +49,8 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows of a batch that goes to Python; a batch of texts then takes a few megabytes.
-BATCH_ROWS = 1500
+#: Rows and bytes of a batch that goes to Python, whichever is reached first.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1500, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
 def release(collect: bool = True) -> None:
@@ -62,8 +65,14 @@ def release(collect: bool = True) -> None:
 
 
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow in small batches, whose workers hold no memory between tasks."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """mapInArrow in small batches, whose workers hold no memory between tasks.
+
+    Spark reads the bounds of batches when a plan runs, so they are the session's; smaller ones that it has stay.
+    """
+    conf = df.sparkSession.conf
+    for name, most in BATCH.items():
+        if not 0 < int(conf.get(name).removesuffix("b")) <= most:
+            conf.set(name, str(most))
 
     def then_release(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.set_memory_pool(pa.system_memory_pool())  # what it frees can be given back

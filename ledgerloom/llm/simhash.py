@@ -96,13 +96,22 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
     component_id is null only where its component has no other. A null or empty text has fingerprint 0.
     """
     rows = stored(fingerprints(docs, words), "fingerprints").withColumn("key", F.coalesce("doc_id", F.lit(LAST_ID)))
-    distinct = stored(rows.groupBy(F.col("f0").alias("f")).agg(F.min("key").alias("key")), "distinct")
+    distinct = stored(rows.groupBy(F.col("f0").alias("f")).agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n")), "distinct")
     parts = components(fingerprint_links(distinct.select("f"), 64, radius))
     # Components are of fingerprints; each takes the smallest doc_id of its members.
-    linked = distinct.join(parts, distinct["f"] == parts["id"], "left").select("f", "key", F.coalesce("component", "f").alias("component"))
+    linked = distinct.join(parts, distinct["f"] == parts["id"], "left").select("f", "key", "n", F.coalesce("component", "f").alias("component"))
     least = linked.groupBy("component").agg(F.min("key").alias("least"))
-    labels = linked.join(least, "component").select("f", "least")
-    out = rows.join(labels, rows["f0"] == labels["f"])
+    # A fingerprint of many rows is joined in as many parts as hold SALTED rows each, 1024 at most.
+    parts_of = F.least(F.expr(f"n div {SALTED}"), F.lit(1023))
+    labels = linked.join(least, "component").select("f", "least", F.explode(F.sequence(F.lit(0).cast("long"), parts_of.cast("long"))).alias("part"))
+    sizes = distinct.where(F.col("n") >= SALTED).select("f", parts_of.alias("most"))  # one row for SALTED rows at least
+    hot = {r[0]: int(r[1]) for r in sizes.orderBy(F.desc("most"), "f").limit(MOST_HOT).collect()}
+    labels = labels.where((F.col("part") == 0) | F.col("f").isin(list(hot))) if hot else labels.where("part = 0")
+    salt = F.lit(0).cast("long")
+    if hot:
+        table = F.create_map(*[F.lit(x) for f, n in hot.items() for x in (f, n)])
+        salt = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.element_at(table, F.col("f0")) + 1), salt).cast("long")
+    out = rows.withColumn("part", salt).join(labels, (F.col("f0") == F.col("f")) & (rows_part := F.col("part")).eqNullSafe(rows_part))
     return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), F.when(F.col("least") != LAST_ID, F.col("least")).alias("component_id"))
 
 

@@ -94,3 +94,27 @@ def simhash_components(docs, words=3, radius=2):
 
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def golden_mix(docs, most=3, seed=42):
+    """docs: [(doc_id, source, size)]; [(doc_id, size, taken, first slot)]: each slot in turn takes the next words of its source."""
+    from ledgerloom.llm import mixing
+
+    total = {}
+    for _, s, n in docs:
+        total[s] = total.get(s, 0) + n
+    target = mixing.shares(list(total.items()))
+    order = sorted(range(len(docs)), key=lambda i: hashlib.md5(f"{seed}|{'null' if docs[i][0] is None else docs[i][0]}|{docs[i][2]}".encode()).hexdigest())
+    taken, first = [0] * len(docs), [None] * len(docs)
+    for tier in mixing.tiers(target):
+        edges = np.cumsum(tier.shares)[:-1].tolist()
+        queue = {s: [i for _ in range(most) for i in order if docs[i][1] == s for _ in range(docs[i][2])] for s in tier.names}
+        at = dict.fromkeys(tier.names, 0)
+        for slot in range(tier.slots):
+            point = (slot * 0x9E3779B97F4A7C15 % 2**64 >> 11) / 2**53
+            s = tier.names[sum(e <= point for e in edges)]
+            for i in queue[s][at[s] : at[s] + tier.block]:
+                taken[i] += 1
+                first[i] = slot if first[i] is None else first[i]
+            at[s] += tier.block
+    return [(d, n, t, f) for (d, _, n), t, f in zip(docs, taken, first)]
