@@ -89,6 +89,24 @@ def fresh(stem: str, columns: list[str]) -> str:
     return stem
 
 
+SPREAD_ROWS = 100_000  # rows of one key that are a task's work
+
+
+def join_spread(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined to ``table`` (one row a key), where any key may hold most of ``rows``.
+
+    A key of more than ``SPREAD_ROWS`` rows, and more than a thousandth of all, is joined in parts: at most a thousand
+    keys are so, and their list alone is broadcast. ``rows`` should be stored, as it is read twice.
+    """
+    most = max(SPREAD_ROWS, rows.count() // 1000)
+    part, hot, n = (fresh(x, [*rows.columns, *table.columns]) for x in ("_part", "_hot", "_n"))
+    wide = rows.groupBy(F.col(key).alias(hot)).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) >= most).select(hot, F.expr(f"{n} div {most}").alias(n))
+    parts = F.broadcast(wide)
+    left = rows.join(parts, F.col(key) == F.col(hot), "left").withColumn(part, F.pmod(F.monotonically_increasing_id(), F.coalesce(F.col(n), F.lit(0)) + 1)).drop(hot, n)
+    right = table.join(parts, F.col(key) == F.col(hot), "left").withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(n), F.lit(0))))).drop(hot, n)
+    return left.join(right, [key, part]).drop(part)
+
+
 def text_or_empty() -> Column:
     return F.coalesce(F.col("text"), F.lit(""))
 

@@ -74,8 +74,8 @@ def padded(n: int) -> int:
 
 
 def encode_payloads(payloads: np.ndarray, lengths: list[int]) -> list[bytes]:
-    """JPEG streams of consecutive payloads (each a multiple of 64 bytes); a payload of more than
-    8191 rows becomes several frames, one after another."""
+    """JPEG streams of consecutive payloads (each a positive multiple of 64 bytes); a payload of more than
+    8191 rows becomes several frames, one after another. Equal payloads give equal streams; no payload, no stream."""
     frames = [(i, r) for i, n in enumerate(lengths) for r in [ROWS] * (n // UNIT // ROWS) + [n // UNIT % ROWS] if r]
     rows = np.array([r for _, r in frames])
     total = int(rows.sum())
@@ -109,7 +109,7 @@ class Frame:
     codes: dict[int, bytes] = field(default_factory=dict)  # class * 16 + id: BITS and HUFFVAL
     restart: int = 0
     order: list[tuple[int, int, int]] = field(default_factory=list)  # part, DC table, AC table
-    start: int = 0
+    start: int = 0  # of the scan that holds the luminance
     stop: int = 0
 
 
@@ -122,11 +122,14 @@ def parse_markers(data: bytes) -> list[Frame]:
     while at < len(data):
         if data[at : at + 2] != b"\xff\xd8":
             raise ValueError("no start of image")
-        at, frame = at + 2, Frame()
+        at, frame, codes = at + 2, Frame(), {}
         while True:
-            if at + 4 > len(data) or data[at] != 0xFF:
+            if at + 2 > len(data) or data[at] != 0xFF:
                 raise ValueError("broken marker")
             marker = data[at + 1]
+            if marker == 0xD9:
+                at += 2
+                break
             if marker == 0xFF:
                 at += 1
                 continue
@@ -141,7 +144,7 @@ def parse_markers(data: bytes) -> list[Frame]:
             elif marker == 0xC4:
                 while body:
                     n = sum(body[1:17])
-                    frame.codes[body[0]] = body[1 : 17 + n]
+                    codes[body[0]] = body[1 : 17 + n]
                     body = body[17 + n :]
             elif marker == 0xC0:
                 if body[0] != 8:
@@ -154,18 +157,18 @@ def parse_markers(data: bytes) -> list[Frame]:
                 frame.restart = int.from_bytes(body[:2], "big")
             elif marker == 0xDA:
                 ids = {p[0]: i for i, p in enumerate(frame.parts)}
-                frame.order = [(ids[body[i]], body[i + 1] >> 4, body[i + 1] & 15) for i in range(1, 1 + 2 * body[0], 2)]
-                if len(frame.order) != len(frame.parts) or not frame.width or not frame.height:
-                    raise ValueError("scans of single components are not read")
-                break
-            elif marker == 0xD9:
-                raise ValueError("no scan")
-        end = _MARKER.search(data, at)
-        if not end or data[end.start() + 1] != 0xD9:
-            raise ValueError("no end of image")
-        frame.start, frame.stop = at, end.start()
+                order = [(ids[body[i]], body[i + 1] >> 4, body[i + 1] & 15) for i in range(1, 1 + 2 * body[0], 2)]
+                if not frame.width or not frame.height:
+                    raise ValueError("no size")
+                end = _MARKER.search(data, at)
+                if not end:
+                    raise ValueError("no end of scan")
+                if not frame.order and order[0][0] == 0:  # the first component is the luminance
+                    frame.order, frame.codes, frame.start, frame.stop = order, dict(codes), at, end.start()
+                at = end.start()
+        if not frame.order:
+            raise ValueError("no scan of the luminance")
         frames.append(frame)
-        at = end.start() + 2
     if not frames:
         raise ValueError("empty")
     return frames
@@ -190,11 +193,14 @@ def _lookup(code: bytes) -> np.ndarray:
 def _scan_thumbnails(buffers: list[np.ndarray], frames: list[Frame]) -> list[np.ndarray]:
     """DC-only luminance of frames that share components and tables."""
     first = frames[0]
-    single = len(first.parts) == 1
-    h_most, v_most = (1, 1) if single else (max(p[1] for p in first.parts), max(p[2] for p in first.parts))
+    single = len(first.order) == 1  # a scan of one component has its blocks row by row, whatever its sampling
+    h_most, v_most = max(p[1] for p in first.parts), max(p[2] for p in first.parts)
+    _, own_h, own_v, _ = first.parts[0]
     blocks = [(part, dc, ac, v, h) for part, dc, ac in first.order for v in range(1 if single else first.parts[part][2]) for h in range(1 if single else first.parts[part][1])]
-    across = [-(-f.width // (8 * h_most)) for f in frames]
-    units = [a * -(-f.height // (8 * v_most)) for a, f in zip(across, frames, strict=True)]
+    # Blocks of luminance in a row and column of the image, and units of the scan.
+    wide, high = ([-(-n * own // (8 * most)) for n in ns] for ns, own, most in (([f.width for f in frames], own_h, h_most), ([f.height for f in frames], own_v, v_most)))
+    across = wide if single else [-(-f.width // (8 * h_most)) for f in frames]
+    units = [a * (b if single else -(-f.height // (8 * v_most))) for a, b, f in zip(across, high, frames, strict=True)]
     raw = np.concatenate([*buffers, np.zeros(8, np.uint8)])
     size = np.array([len(b) for b in buffers])
     is_ff = raw[:-1] == 255
@@ -264,13 +270,12 @@ def _scan_thumbnails(buffers: list[np.ndarray], frames: list[Frame]) -> list[np.
                     break
         position[:n] = p
     out, at = [], 0
-    for f, a, u in zip(frames, across, units, strict=True):
-        _, own_h, own_v, table = f.parts[f.order[0][0]]
-        h, v, h_of, v_of = (1, 1, 1, 1) if single else (own_h, own_v, h_most, v_most)
+    h, v = (1, 1) if single else (own_h, own_v)
+    for f, a, u, w, n in zip(frames, across, units, wide, high, strict=True):
         grid = dc_out[at : at + u].reshape(u // a, a, v, h).transpose(0, 2, 1, 3).reshape(u // a * v, a * h)
         at += u
-        grey = np.clip((grid * f.quant[table] + 4 >> 3) + 128, 0, 255).astype(np.uint8)
-        out.append(grey[: -(-f.height * v // (8 * v_of)), : -(-f.width * h // (8 * h_of))])
+        grey = np.clip((grid * f.quant[f.parts[0][3]] + 4 >> 3) + 128, 0, 255).astype(np.uint8)
+        out.append(grey[:n, :w])
     return out
 
 
@@ -302,7 +307,8 @@ def thumbnails(media: list[bytes]) -> list[list[np.ndarray] | None]:
 
 
 def thumbnail_hash(grey: np.ndarray) -> int:
-    """64 bits: whether each cell of an 8 x 9 mean grid is brighter than its right neighbour."""
+    """64 bits: whether each cell of an 8 x 9 mean grid is brighter than its right neighbour. Fewer rows or columns
+    than cells are repeated."""
     rows = np.arange(8) * grey.shape[0] // 8
     columns = np.arange(9) * grey.shape[1] // 9
     sums = np.add.reduceat(np.add.reduceat(grey.astype(np.int64), columns, axis=1), rows, axis=0)
@@ -311,6 +317,12 @@ def thumbnail_hash(grey: np.ndarray) -> int:
     return int.from_bytes(np.packbits(mean[:, :-1] > mean[:, 1:]).tobytes(), "big")
 
 
+def stacked(frames: list[np.ndarray]) -> np.ndarray:
+    """All frames of a stream as one image, one below another; narrower ones are filled up with 0."""
+    width = max(f.shape[1] for f in frames)
+    return np.concatenate([np.pad(f, ((0, 0), (0, width - f.shape[1]))) for f in frames])
+
+
 def encode_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): each text as UTF-8, padded with bytes 0, in a media column of JPEGs.
 
@@ -345,7 +357,8 @@ FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_by
 
 def decode_media(media: DataFrame) -> DataFrame:
     """Adds, to a table with a column ``media`` of JPEG streams, the payload's digests read back from the
-    DC-only thumbnails, the dimensions and the thumbnail hash. Null or broken media: all of these null."""
+    DC-only thumbnails, the dimensions and the thumbnail hash, both of all frames one below another. Null or
+    broken media: all of these null."""
     keep = [c for c in media.columns if c != "media"]
     kinds = dict(media.dtypes)
 
@@ -363,8 +376,9 @@ def decode_media(media: DataFrame) -> DataFrame:
                         rows.append([None] * len(names))
                         continue
                     payload = b"".join(g.tobytes() for g in frames)
-                    height, width = frames[0].shape
-                    mark = f"{thumbnail_hash(frames[0]):016x}"
+                    whole = frames[0] if len(frames) == 1 else stacked(frames)
+                    height, width = whole.shape
+                    mark = f"{thumbnail_hash(whole):016x}"
                     rows.append([len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), f"{width}x{height}x{len(frames)}:{mark}", width, height, len(frames), mark])
                 yield pa.record_batch([*[batch.column(c).slice(a, b - a) for c in keep], *[pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), kind, strict=True)]], [*keep, *names])
 

@@ -17,12 +17,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LAST_ID, fresh, mapped, raw_strings, stored, text_or_empty
+from ._common import LAST_ID, fresh, join_spread, mapped, raw_strings, stored, text_or_empty
 from .graph import components
 from .resemblance import resembling_smaller, set_digests
 
 SEED = 42
 STEP = 1 << 16  # shingles counted at a time
+ROWS, MOST_TASKS = 20_000, 50_000  # fingerprints whose variants a task emits, more where tasks would be too many
 
 
 def fingerprint_words(text: bytes, words: int, n_words: int = 1) -> list[int]:
@@ -82,7 +83,9 @@ def fingerprint_links(distinct: DataFrame, bits: int = 64, radius: int = 2) -> D
     connect all that are; each pair is verified."""
     if radius % 2:
         raise ValueError("an even radius has a middle")
-    variants = distinct.select("f", F.explode(ball(F.col("f"), bits, radius // 2)).alias("variant"))
+    n = distinct.count()
+    dealt = distinct.repartition(max(1, n // max(ROWS, n // MOST_TASKS)), "f")
+    variants = dealt.select("f", F.explode(ball(F.col("f"), bits, radius // 2)).alias("variant"))
     met = variants.groupBy("variant").agg(F.min("f").alias("low"), F.max("f").alias("high"), F.collect_list("f").alias("members"))
     pairs = met.where("low <> high").select(F.col("low").alias("b"), F.explode("members").alias("a")).where("a <> b").distinct()
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
@@ -95,24 +98,15 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
     shuffled and linked. Repeated rows each keep their row. A null doc_id is larger than all others: its
     component_id is null only where its component has no other. A null or empty text has fingerprint 0.
     """
-    rows = stored(fingerprints(docs, words), "fingerprints").withColumn("key", F.coalesce("doc_id", F.lit(LAST_ID)))
-    distinct = stored(rows.groupBy(F.col("f0").alias("f")).agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n")), "distinct")
-    parts = components(fingerprint_links(distinct.select("f"), 64, radius))
+    rows = stored(fingerprints(docs, words).withColumnRenamed("f0", "f").withColumn("key", F.coalesce("doc_id", F.lit(LAST_ID))), "fingerprints")
+    distinct = stored(rows.groupBy("f").agg(F.min("key").alias("key")), "distinct")
+    parts = components(fingerprint_links(distinct.select("f"), 64, radius)).withColumnRenamed("id", "f")
     # Components are of fingerprints; each takes the smallest doc_id of its members.
-    linked = distinct.join(parts, distinct["f"] == parts["id"], "left").select("f", "key", "n", F.coalesce("component", "f").alias("component"))
+    linked = distinct.join(parts, "f", "left").select("f", "key", F.coalesce("component", "f").alias("component"))
+    linked = stored(linked, "linked")
     least = linked.groupBy("component").agg(F.min("key").alias("least"))
-    # A fingerprint of many rows is joined in as many parts as hold SALTED rows each, 1024 at most.
-    parts_of = F.least(F.expr(f"n div {SALTED}"), F.lit(1023))
-    labels = linked.join(least, "component").select("f", "least", F.explode(F.sequence(F.lit(0).cast("long"), parts_of.cast("long"))).alias("part"))
-    sizes = distinct.where(F.col("n") >= SALTED).select("f", parts_of.alias("most"))  # one row for SALTED rows at least
-    hot = {r[0]: int(r[1]) for r in sizes.orderBy(F.desc("most"), "f").limit(MOST_HOT).collect()}
-    labels = labels.where((F.col("part") == 0) | F.col("f").isin(list(hot))) if hot else labels.where("part = 0")
-    salt = F.lit(0).cast("long")
-    if hot:
-        table = F.create_map(*[F.lit(x) for f, n in hot.items() for x in (f, n)])
-        salt = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.element_at(table, F.col("f0")) + 1), salt).cast("long")
-    out = rows.withColumn("part", salt).join(labels, (F.col("f0") == F.col("f")) & (rows_part := F.col("part")).eqNullSafe(rows_part))
-    return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), F.when(F.col("least") != LAST_ID, F.col("least")).alias("component_id"))
+    out = join_spread(rows, join_spread(linked.select("f", "component"), least, "component").select("f", "least"), "f")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), F.when(F.col("least") != LAST_ID, F.col("least")).alias("component_id"))
 
 
 def keep_one_of_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

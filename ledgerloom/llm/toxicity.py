@@ -1,9 +1,9 @@
 """Toxicity by a weighted finite-state grammar of clauses.
 
-A lexical transducer turns words into symbols (insult, threat, target, negation, reported speech);
-three transducers over these, composed into one machine, mark each insult or threat of a clause as
-negated, reported or aimed at a target. What counts is the matched clause with its marks, not the
-word. The insult lexicon (words, and stems of words) and the weights of the marks are learned from labels.
+A lexical automaton turns words into symbols; transducers for insults, threats, negation, reported speech and
+targets, composed into one machine, mark each insult, threat or word of violence of a clause as negated, reported or
+aimed at a target. What counts is the matched clause with its marks, not the word. The lexicon of insults
+(words, and stems of words) and the weights of the marks are learned from labels.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from ._common import mapped, raw_strings, stored, text_or_empty
 
 SAMPLE = 20_000  # labelled documents that the grammar is fitted on, at most about so many
-LEXICON = 600  # most entries learned
 STEMS = (4, 5, 6, 7)  # letters of a stem
 EVIDENCE = 12.0  # nats by which an entry must beat chance
 RATIO = 20.0  # times that an entry must be likelier in toxic documents
@@ -31,18 +30,23 @@ RATIO = 20.0  # times that an entry must be likelier in toxic documents
 NEGATIONS = "not no never isn't aren't wasn't don't doesn't nicht kein keine nie ne jamais pas aucun nunca jamás tampoco".split()
 REPORTING = "said says wrote writes called calls quoted claimed alleged reportedly sagte sagt schrieb behauptete disait écrit prétend dijo dice escribió afirmó".split()
 TARGETS = "you your you're he she they him them du dich euch ihr ihn tu toi vous ils usted ustedes ellos".split()
-THREATS = "kill murder destroy hurt strangle shoot stab töten umbringen vernichten tuer assassiner matar asesinar destruir".split()
+INTENTS = "will shall gonna going must werde werden wirst wird soll vais va allons voy vas vamos".split()
+VIOLENCE = "kill murder destroy hurt strangle shoot stab töten umbringen vernichten tuer assassiner matar asesinar destruir".split()
 INSULTS = "idiot moron stupid".split()
 
 #: Kinds of matched clauses and their weights before any label is seen; a fit moves them.
-PRIOR = {"insult": 2.0, "insult+target": 3.0, "insult+negated": 0.2, "insult+reported": 0.5, "threat+target": 3.0, "threat+negated": 0.0, "threat+reported": 0.3, "threat": 0.3}
+PRIOR = {
+    "insult": 2.0, "insult+target": 3.0, "insult+negated": 0.2, "insult+reported": 0.5,
+    "threat": 0.5, "threat+target": 3.0, "threat+negated": 0.0, "threat+reported": 0.3,
+    "violence": 0.2, "violence+target": 2.5, "violence+negated": 0.0, "violence+reported": 0.2,
+}
 KINDS = list(PRIOR)
 BIAS = -3.0
 STIFF = 0.05  # how firmly the prior weights are held
 
 _BREAKS = ".!?;:\n\r…"
 _CLAUSE = re.compile(f"[{_BREAKS}]")
-REACH = 400  # characters of a clause on either side of a match, where nothing ends it
+REACH = 4  # words that a negation or an intent reaches
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 
 
@@ -73,18 +77,44 @@ def compose(first: Transducer, second: Transducer, alphabet: set[str]) -> Transd
     return Transducer(arcs, start)
 
 
-ALPHABET = {"insult", "threat", "target", "negation", "report", "word"}
+SYMBOLS = {"slur", "violence", "intent", "target", "negation", "report", "word"}
+MARKABLE = ("insult", "threat", "violence")
 
 
-def grammar(reach: int = 4) -> Transducer:
-    """Negation (the next ``reach`` words of the clause), then reported speech (the clause's rest), then target."""
-    negation = {(s, "negation"): (reach, "word") for s in range(reach + 1)}
+def insults() -> Transducer:
+    """A slur is an insult, wherever it stands."""
+    return Transducer({(0, "slur"): (0, "insult")})
+
+
+def threats(reach: int = REACH) -> Transducer:
+    """Violence within ``reach`` words after an intent is a threat, which uses the intent up."""
+    arcs = {(s, "intent"): (reach, "word") for s in range(reach + 1)}
+    for s in range(1, reach + 1):
+        arcs |= {(s, x): (s - 1, x) for x in ("word", "target", "negation", "report", "insult")}
+        arcs[s, "violence"] = (0, "threat")
+    return Transducer(arcs)
+
+
+def negations(reach: int = REACH) -> Transducer:
+    """What follows a negation within ``reach`` words is negated."""
+    arcs = {(s, "negation"): (reach, "word") for s in range(reach + 1)}
     for s in range(1, reach + 1):
-        negation |= {(s, x): (s - 1, x) for x in ("word", "target", "report")}
-        negation |= {(s, x): (s - 1, f"{x}+negated") for x in ("insult", "threat")}
-    report = {(s, "report"): (1, "word") for s in (0, 1)} | {(1, x): (1, f"{x}+reported") for x in ("insult", "threat")}
-    target = {(s, "target"): (1, "word") for s in (0, 1)} | {(1, x): (1, f"{x}+target") for x in ("insult", "threat")}
-    return compose(compose(Transducer(negation), Transducer(report), ALPHABET), Transducer(target), ALPHABET)
+        arcs |= {(s, x): (s - 1, x) for x in ("word", "target", "report")}
+        arcs |= {(s, x): (s - 1, f"{x}+negated") for x in MARKABLE}
+    return Transducer(arcs)
+
+
+def marks(symbol: str, mark: str) -> Transducer:
+    """What follows ``symbol`` in the clause has the mark, if it has no other."""
+    return Transducer({(s, symbol): (1, "word") for s in (0, 1)} | {(1, x): (1, f"{x}+{mark}") for x in MARKABLE})
+
+
+def grammar() -> Transducer:
+    """Insults, then threats, negation, reported speech and targets, each reading what the one before puts out."""
+    machine = insults()
+    for following in (threats(), negations(), marks("report", "reported"), marks("target", "target")):
+        machine = compose(machine, following, SYMBOLS)
+    return machine
 
 
 class Scorer:
@@ -95,10 +125,11 @@ class Scorer:
         self.words = {w: v for w, v in lexicon.items() if not w.endswith("*")}
         self.stems = {w[:-1]: v for w, v in lexicon.items() if w.endswith("*")}
         self.sizes = sorted({len(s) for s in self.stems})
-        self.fixed = dict.fromkeys(NEGATIONS, "negation") | dict.fromkeys(REPORTING, "report") | dict.fromkeys(TARGETS, "target") | dict.fromkeys(THREATS, "threat")
+        classes = {"negation": NEGATIONS, "report": REPORTING, "target": TARGETS, "intent": INTENTS, "violence": VIOLENCE}
+        self.fixed = {w: symbol for symbol, words in classes.items() for w in words}
         self.machine = grammar()
         self.finder = ahocorasick.Automaton()
-        for w in [*self.words, *self.stems, *THREATS]:
+        for w in [*self.words, *self.stems, *VIOLENCE]:
             self.finder.add_word(w, len(w))
         self.finder.make_automaton()
 
@@ -126,23 +157,20 @@ class Scorer:
             for m in _WORD.finditer(low, start, stop):
                 word = m.group()
                 value = self.entry(word)
-                symbol = "insult" if value else self.fixed.get(word, "word")
+                symbol = "slur" if value else self.fixed.get(word, "word")
                 aimed |= symbol == "target"
                 state, out = self.machine.step(state, symbol)
-                if symbol in ("insult", "threat"):
+                if symbol in ("slur", "violence"):
                     pending.append((out, value or 1.0))
-            for out, value in pending:
-                out = f"{out}+target" if aimed and out in ("insult", "threat") else out
-                found[out] += value
+            for out, value in pending:  # a target may also follow
+                found[f"{out}+target" if aimed and out in MARKABLE else out] += value
         return found
 
     @staticmethod
     def _clause(low: str, at: int, after: int) -> tuple[int, int]:
-        start, first = at, max(after, at - REACH)
-        while start > first and low[start - 1] not in _BREAKS:
-            start -= 1
-        end = _CLAUSE.search(low, at, at + REACH)
-        return start, end.start() if end else min(len(low), at + REACH)
+        """Where the whole clause around ``at`` begins (not before ``after``, the last one's end) and ends."""
+        end = _CLAUSE.search(low, at)
+        return max(after, *(low.rfind(c, after, at) + 1 for c in _BREAKS)), end.start() if end else len(low)
 
     def features(self, text: str) -> np.ndarray:
         found = self.events(text)
@@ -156,7 +184,7 @@ class Scorer:
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(text, toxic) of the documents that may be learned from, sampled by a hash down to about ``SAMPLE``."""
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held).distinct()
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held).distinct()
     n = known.count()
     if n > SAMPLE:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * SAMPLE / n))
@@ -167,7 +195,7 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     """Words, and stems (with a trailing *), that beat chance in toxic documents, with their log odds.
 
     Document counts of every word and stem of the sample are added up on the executors; only entries that
-    pass the test, at most ``LEXICON``, come to the driver.
+    pass the test come to the driver, all of them: the sample bounds how many there can be.
     """
     totals = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
@@ -192,21 +220,21 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     odds = F.log(((F.col("k") + 0.5) / (toxic + 1)) / ((F.col("m") + 0.5) / (clean + 1)))
     summed = mapped(sample, run, "entry string, k long, m long").groupBy("entry").agg(F.sum("k").alias("k"), F.sum("m").alias("m"))
     found = summed.where((F.col("k") > 0) & (n >= 3) & (rate > chance)).select("entry", evidence.alias("evidence"), odds.alias("odds")).where((F.col("evidence") >= EVIDENCE) & (F.col("odds") >= math.log(RATIO)))
-    rows = [(r[0], float(r[2])) for r in found.orderBy(F.desc("evidence"), "entry").limit(LEXICON * 8).collect()]
+    rows = [(r[0], float(r[2])) for r in found.collect()]
     # A short stem stands for the longer stems and words that begin with it, unless they are clearer.
     lexicon: dict[str, float] = {}
     for entry, value in sorted(rows, key=lambda x: (len(x[0].rstrip("*")), x[0])):
         bare = entry.rstrip("*")
         if not any(bare.startswith(bare[:k]) and lexicon.get(bare[:k] + "*", -1.0) >= value - 0.7 for k in STEMS if k <= len(bare)):
             lexicon[entry] = value
-    return base | dict(sorted(lexicon.items(), key=lambda x: -x[1])[:LEXICON])
+    return base | lexicon
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], dict[str, float], float]:
     """The lexicon, the weights of clause kinds, and the bias.
 
     Learned from labelled rows whose crc32(doc_id) mod 5 is not 0, a sample of at most about ``SAMPLE``;
-    without labels of both kinds the prior holds. Null labels and texts are left out or empty.
+    without labels of both kinds the prior holds. Labels that are null or neither 0 nor 1 are left out; null texts are empty.
     """
     sample = stored(_labelled(docs, labels), "sample")
     lexicon = learn_lexicon(sample)
@@ -225,7 +253,6 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], dict[str,
     y, n = np.array([r["y"] for r in grouped], float), np.array([r["n"] for r in grouped], float)
     start = np.array([BIAS, *PRIOR.values()])
     w = start.copy()
-    n = n / n.sum() * min(n.sum(), 2000.0)
     for _ in range(50):  # Newton steps on the penalised likelihood
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (n * (p - y)) + STIFF * (w - start)
