@@ -4,6 +4,9 @@ Documents are dealt once to blocks of a few megabytes. A block says what hashes
 shard: each hash once, however often the block has it, in one compact row for each shard. A shard
 sees the hashes of all blocks and answers each. So hot values cost at most one entry a block, every step
 is a numpy operation over arrays, and no row holds more than a block or a shard.
+
+Each block sends each shard a row, so rows grow with the product of the two. Blocks and shards therefore grow with the
+root of the input (``grown``), up to sixteen times: a row still holds tens of hashes at 100 TB.
 """
 
 from __future__ import annotations
@@ -18,6 +21,13 @@ from pyspark.sql import functions as F
 from ._common import LAST_ID, corpus_size, raw_strings, release, text_or_empty
 
 BLOCK_BYTES = 4 << 20  # UTF-8 bytes of text in a block
+GROW_FROM = 64 << 30  # bytes of input from which blocks and shards grow
+MOST_GROWTH = 16  # times that they grow at most: a block of 64 MB takes a worker one or two gigabytes
+
+
+def grown(base: int, size: int) -> int:
+    """``base``, grown with the root of the size of the input."""
+    return int(base * min(MOST_GROWTH, max(1.0, (size / GROW_FROM) ** 0.5)))
 
 
 class Blocks:
@@ -26,10 +36,11 @@ class Blocks:
 
     def __init__(self, docs: DataFrame, block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ()) -> None:
         rows, size = corpus_size(docs)
-        self.count = max(1, min(rows, -(-size // block_bytes)))
+        self.count = max(1, min(rows, -(-size // grown(block_bytes, size))))
         kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)])
-        # By id and text, so that no id gathers rows of other texts, and the same rows always meet.
-        salt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(self.count))
+        # Every row by itself, so that neither an id nor a text that many rows have gathers them in a block. The number is the
+        # row's place in the input, so ``docs`` should be a stored table: a lost part of it is then read again the same.
+        salt = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(self.count))
         self.rows = kept.withColumn("block", salt).repartition(self.count, "block")
         self.size = size
 

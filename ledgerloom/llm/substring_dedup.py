@@ -1,11 +1,12 @@
 """Substring deduplication of word windows behind a count-min prefilter.
 
-Pass 1: each block adds its distinct windows to a count-min sketch, sent as the sorted cells that are not
-zero; the sketches are merged by ranges of cells, and blocks learn which of their cells count two or
-more. A sketch never counts too few, so a window that occurs in two blocks is never lost. Pass 2: blocks
-send only the windows so estimated, each once with its smallest doc_id; grouping them by a 128-bit hash is
-exact, and blocks learn which have a smaller doc_id elsewhere. What repeats within a block, the block
-knows by itself.
+The sketch has two rows of counters, by two independent hashes of a window. Pass 1: each block makes its sketch, in
+which each of its distinct windows adds one to a counter of either row, sent as the sorted counters that are not zero;
+shards add the sketches of all blocks up, by ranges of counters, and blocks learn which of theirs are two or
+more. The smaller of a window's two counters never is less than the number of blocks that have it, so a window of two blocks
+is never lost. Pass 2: blocks send only the windows so estimated, each once with its smallest doc_id; grouping
+them by both hashes, 128 bits in all, is exact, and blocks learn which have a smaller doc_id elsewhere. What repeats within a
+block, the block knows by itself.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .blocks import Blocks, ask, by_shard, documents, parts
+from .blocks import Blocks, ask, by_shard, documents, grown, parts
 
 WINDOW = 13
-LOAD = 8  # cells for each window: about one window in so many is estimated repeated by chance
+ROWS = 2  # of counters
+LOAD = 4  # counters of a row for each window: about one window in 20 is estimated repeated by chance
 SHARD_WINDOWS = 3_000_000
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -40,13 +42,14 @@ class _Windows:
         del texts
         self.n = np.array([len(w) for w in self.words])
         self.count = np.maximum(self.n - window + 1, 0)
-        word = np.fromiter((h for ws in self.words for h in map(xxhash.xxh3_64_intdigest, ws)), np.uint64, int(self.n.sum()))
+        # Two independent hashes of each word, so that what one confuses the other does not.
+        word = np.frombuffer(b"".join(h for ws in self.words for h in map(xxhash.xxh3_128_digest, ws)), "<u8").reshape(-1, 2)
+        first, second = np.ascontiguousarray(word[:, 0]), np.ascontiguousarray(word[:, 1])
         starts = np.repeat(np.cumsum(self.n) - self.n - (np.cumsum(self.count) - self.count), self.count)
         at = np.arange(int(self.count.sum())) + starts
         a = b = np.full(len(at), window, np.uint64)
         for j in range(window):
-            w = word[at + j]
-            a, b = a * _A + w, b * _B + (w ^ (w >> np.uint64(32)))
+            a, b = a * _A + first[at + j], b * _B + second[at + j]
         self.a, self.b = _mixed(a), _mixed(b)
         self.at = at
         self.doc = np.repeat(np.arange(len(self.ids)), self.count)
@@ -65,16 +68,28 @@ class _Windows:
         return first, group, self.order[self.doc[first]], self.order[self.doc[last]]
 
 
-def _packed(cells: np.ndarray) -> bytes:
-    """Ascending numbers as differences of 2, 4 or 8 bytes, whichever holds all."""
-    steps = np.diff(cells)
-    wide = next(n for n in (2, 4, 8) if n == 8 or int(steps.max(initial=0)) < 1 << 8 * n)
-    return bytes([wide]) + int(cells[0]).to_bytes(8, "little") + steps.astype(f"<u{wide}").tobytes()
+def _packed(ascending: np.ndarray) -> bytes:
+    """Ascending numbers as differences of as few bytes as hold the largest."""
+    steps = np.diff(ascending)
+    wide = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
+    return bytes([wide]) + int(ascending[0]).to_bytes(8, "little") + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide].tobytes()
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    steps = np.frombuffer(data, f"<u{data[0]}", offset=9).astype(np.uint64)
-    return np.cumsum(np.concatenate([np.frombuffer(data[1:9], "<u8").astype(np.uint64), steps]))
+    wide = data[0]
+    steps = np.zeros(((len(data) - 9) // wide, 8), np.uint8)
+    steps[:, :wide] = np.frombuffer(data, np.uint8, offset=9).reshape(-1, wide)
+    return np.cumsum(np.concatenate([np.frombuffer(data[1:9], "<u8"), steps.view("<u8").ravel()]).astype(np.uint64), dtype=np.uint64)
+
+
+def _merged(answers: list[bytes]) -> np.ndarray:
+    return np.sort(np.concatenate([_unpacked(x) for x in answers])) if answers else np.zeros(0, np.uint64)
+
+
+def _among(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
+    if not len(ascending):
+        return np.zeros(len(values), bool)
+    return ascending[np.minimum(np.searchsorted(ascending, values), len(ascending) - 1)] == values
 
 
 def remove_repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -83,53 +98,58 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Words are runs of bytes other than ASCII white space, unchanged; windows are judged on the input. A null text has
     no words; a null doc_id is larger than all others. Rows of one doc_id do not remove from each other. Two
-    sequences are taken as equal if 128 bits of hash are. Documents are shuffled once; what blocks send is
-    2 bytes for each distinct window, and 24 for those estimated repeated.
+    sequences are taken as equal if two independent hashes of 64 bits are. Documents are shuffled once; what blocks send
+    is about 2 bytes for each distinct window and row of the sketch, and 17 for those estimated repeated.
     """
     blocks = Blocks(docs)
     windows = max(1, blocks.size // 5)  # a bound for sizing: words of under four letters are no majority
     bits = min(63, (LOAD * windows - 1).bit_length())
     shift = np.uint64(64 - bits)
-    shards = max(1, -(-windows // SHARD_WINDOWS))
+    shards = max(1, -(-windows // grown(SHARD_WINDOWS, blocks.size)))
 
     def tell_cells(table: pa.Table) -> Iterator[dict]:
         w = _Windows(table, window)
-        cells = np.unique(w.a >> shift)
         block = table.column("block")[0].as_py()
-        for k, (x, y) in enumerate(parts(len(cells), by_shard(cells << shift, shards))):
-            if y > x:
-                yield {"shard": k, "block": block, "cells": _packed(cells[x:y])}
+        for row, hashes in enumerate((w.a, w.b)):
+            cells = np.unique(hashes >> shift)
+            for k, (x, y) in enumerate(parts(len(cells), by_shard(cells << shift, shards))):
+                if y > x:
+                    yield {"shard": row * shards + k, "block": block, "cells": _packed(cells[x:y])}
 
     def merge(table: pa.Table) -> Iterator[dict]:
         shard = table.column("shard")[0].as_py()
         sent = [_unpacked(x) for x in table.column("cells").to_pylist()]
-        every = np.sort(np.concatenate(sent))
-        twice = np.unique(every[1:][every[1:] == every[:-1]])  # cells whose merged count is two or more
-        for block, cells in zip(table.column("block").to_pylist(), sent, strict=True):
-            at = np.searchsorted(twice, cells)
-            hit = (at < len(twice)) & (twice[np.minimum(at, len(twice) - 1)] == cells) if len(twice) else np.zeros(len(cells), bool)
+        cells, counts = np.unique(np.concatenate(sent), return_counts=True)  # the sum of the blocks' sketches
+        repeated = cells[counts >= 2]
+        for block, own in zip(table.column("block").to_pylist(), sent, strict=True):
+            hit = _among(own, repeated)
             if hit.any():
-                yield {"block": block, "shard": shard, "hits": _packed(cells[hit])}
+                yield {"block": block, "shard": shard, "hits": _packed(own[hit])}
 
     def tell_windows(table: pa.Table, answers: pa.Table) -> Iterator[dict]:
         if not answers.num_rows:
             return
         w = _Windows(table, window)
         first, _, low, _ = w.distinct()
-        cells = w.a[first] >> shift
-        hits = np.sort(np.concatenate([_unpacked(x) for x in answers.column("hits").to_pylist()]))
-        at = np.minimum(np.searchsorted(hits, cells), len(hits) - 1)
-        found = np.flatnonzero(hits[at] == cells)
+        sent = list(zip(answers.column("shard").to_pylist(), answers.column("hits").to_pylist(), strict=True))
+        found = np.ones(len(first), bool)
+        for row, hashes in enumerate((w.a, w.b)):
+            found &= _among(hashes[first] >> shift, _merged([x for k, x in sent if k // shards == row]))
         a, b, low = w.a[first[found]], w.b[first[found]], low[found]
         block = table.column("block")[0].as_py()
         for k, (x, y) in enumerate(parts(len(a), by_shard(a, shards))):
             if y > x:
-                yield {"shard": k, "block": block, "a": a[x:y].tobytes(), "b": b[x:y].tobytes(), "low": low[x:y].tobytes()}
+                ids, which = np.unique(low[x:y], return_inverse=True)
+                which = which.astype(np.uint16 if len(ids) < 1 << 16 else np.uint32)
+                yield {"shard": k, "block": block, "a": _packed(a[x:y]), "b": b[x:y].tobytes(), "ids": ids.tobytes(), "which": which.tobytes()}
 
     def group(table: pa.Table) -> Iterator[dict]:
         shard = table.column("shard")[0].as_py()
-        a, b, low = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("a", np.uint64), ("b", np.uint64), ("low", np.int64)))
-        sizes = [len(x) // 8 for x in table.column("low").to_pylist()]
+        sent = [table.column(c).to_pylist() for c in ("a", "b", "ids", "which")]
+        a = np.concatenate([_unpacked(x) for x in sent[0]])
+        b = np.concatenate([np.frombuffer(x, np.uint64) for x in sent[1]])
+        sizes = [len(x) // 8 for x in sent[1]]
+        low = np.concatenate([np.frombuffer(i, np.int64)[np.frombuffer(w, np.uint16 if len(i) // 8 < 1 << 16 else np.uint32)] for i, w in zip(sent[2], sent[3], strict=True)])
         by = np.lexsort((low, b, a))
         new = np.ones(len(by), bool)
         new[1:] = (a[by][1:] != a[by][:-1]) | (b[by][1:] != b[by][:-1])
@@ -139,7 +159,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         for block, n in zip(table.column("block").to_pylist(), sizes, strict=True):
             hit = smaller[at : at + n]
             if hit.any():
-                yield {"block": block, "shard": shard, "hits": a[at : at + n][hit].tobytes() + b[at : at + n][hit].tobytes()}
+                yield {"block": block, "shard": shard, "hits": _packed(a[at : at + n][hit]), "more": b[at : at + n][hit].tobytes()}
             at += n
 
     def remove(table: pa.Table, answers: pa.Table) -> Iterator[dict]:
@@ -147,9 +167,8 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         first, group, low, _ = w.distinct()
         out = w.order[w.doc] > low[group]  # a smaller doc_id in the same block
         if answers.num_rows:
-            sent = [np.frombuffer(x, np.uint64) for x in answers.column("hits").to_pylist()]
-            a = np.concatenate([x[: len(x) // 2] for x in sent])
-            b = np.concatenate([x[len(x) // 2 :] for x in sent])
+            a = np.concatenate([_unpacked(x) for x in answers.column("hits").to_pylist()])
+            b = np.concatenate([np.frombuffer(x, np.uint64) for x in answers.column("more").to_pylist()])
             known = np.zeros(len(first), bool)
             pair = np.dtype([("a", "<u8"), ("b", "<u8")])
             theirs, ours = np.empty(len(a), pair), np.empty(len(first), pair)
@@ -175,7 +194,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             kept = [x for x, m in zip(words, mask.tolist(), strict=True) if not m] if mask.any() else words
             yield {"doc_id": w.ids[i], "n_words": len(words), "n_removed": int(mask.sum()), "kept": b" ".join(kept).decode()}
 
-    cells = ask(blocks.tell(tell_cells, "shard long, block long, cells binary"), shards, merge, "block long, shard long, hits binary")
-    smaller = ask(blocks.tell(tell_windows, "shard long, block long, a binary, b binary, low binary", cells), shards, group, "block long, shard long, hits binary")
+    cells = ask(blocks.tell(tell_cells, "shard long, block long, cells binary"), ROWS * shards, merge, "block long, shard long, hits binary")
+    told = blocks.tell(tell_windows, "shard long, block long, a binary, b binary, ids binary, which binary", cells)
+    smaller = ask(told, shards, group, "block long, shard long, hits binary, more binary")
     return blocks.tell(remove, "doc_id long, n_words long, n_removed long, kept string", smaller)
-

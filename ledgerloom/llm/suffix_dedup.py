@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._common import LAST_ID, raw_strings
-from .blocks import Blocks, ask, by_shard, parts
+from .blocks import Blocks, ask, by_shard, grown, parts
 from .suffix_array import reaches, suffix_array
 
 LENGTH = 200
@@ -205,7 +205,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, keep_first: boo
     bytes for each interval (one in about 85 bytes) and the text of intervals whose hash repeats.
     """
     blocks = Blocks(docs, BLOCK_BYTES, carry)
-    shards = max(1, -(-blocks.size // SHARD_BYTES))
+    shards = max(1, -(-blocks.size // grown(SHARD_BYTES, blocks.size)))
 
     def tell_hashes(table: pa.Table) -> Iterator[dict]:
         found = _Intervals(table, length)
