@@ -43,11 +43,12 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
     """Encode each whole text, append ``end_id``, and write files in ascending doc_id order.
 
     A null text is empty (one token, the end). A null doc_id comes last; rows with equal doc_ids are
-    ordered by text, and all are written. Texts are dealt by ranges of doc_id before they are encoded,
-    so that each is encoded once, where it is written.
+    in the order of the input, and all are written; an empty table gives no ids. Texts are dealt by ranges of doc_id and place
+    in the input before they are encoded, so that each is encoded once, where it is written, and a doc_id of many rows
+    is split. ``docs`` should be a stored table, which is read again in the same order.
     """
     _, size = corpus_size(docs)
-    order = [F.col("doc_id").asc_nulls_last(), F.col("text")]
+    order = [F.col("doc_id").asc_nulls_last(), F.col("place")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, start = None, 0
@@ -65,7 +66,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
                 yield pa.record_batch([batch.column("doc_id").slice(a, b - a), pa.array(n), pa.array(start + stops - n), lists], ["doc_id", "n_tokens", "part_start", "ids"])
                 start += int(stops[-1])
 
-    dealt = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).repartitionByRange(max(1, -(-size // FILE_BYTES)), order[0]).sortWithinPartitions(*order)
+    placed = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), F.monotonically_increasing_id().alias("place"))
+    dealt = placed.repartitionByRange(max(1, -(-size // FILE_BYTES)), *order).sortWithinPartitions(*order)
     mapped(dealt, run, "doc_id long, n_tokens long, part_start long, ids array<int>").write.options(**LAYOUT).parquet(path)
 
 

@@ -16,7 +16,7 @@ import numpy as np
 #: Parts and pre-tokens remembered per Python worker (about 200 bytes each); beyond it a memory starts afresh.
 REMEMBERED, REMEMBERED_WORDS = 600_000, 400_000
 
-# Fixed value: the pre-token pattern of the word-BPE vocabulary, for lower-case printable ASCII.
+# Fixed value: the pre-token pattern below, for lower-case printable ASCII.
 _ASCII_PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 _PRINTABLE = re.compile(r"[\x21-\x7e]+")
 #: A word of Latin letters that no normalisation joins or changes but by case, and one mark after it.
@@ -33,13 +33,25 @@ def _byte_letters() -> dict[int, str]:
 _LETTER = _byte_letters()
 
 
+# The steps before the merges that the memory of words relies on: white space becomes a space, letters
+# become small, and what the pattern finds is merged by itself, as bytes.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PRETOKENIZERS = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
 def splits_at_space(path: str) -> bool:
-    """Whether this vocabulary file drops white space before it merges, so that parts are independent."""
+    """Whether this vocabulary file's own steps are those above, so that parts between white space, and pre-tokens, are
+    independent. Files with any other step are left to the library, text by text."""
     if not path.endswith(".json"):
         return False
-    spec = json.load(open(path, encoding="utf-8"))
-    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-    return spec["model"].get("end_of_word_suffix") == "</w>" and any(s.get("behavior") == "Removed" and s.get("invert") for s in steps)
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    steps = [(spec.get(kind) or {}).get(name) for kind, name in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+    model = spec["model"]
+    return steps == [NORMALIZERS, PRETOKENIZERS] and model["type"] == "BPE" and not model.get("dropout") and not spec.get("post_processor")
 
 
 def load(path: str):

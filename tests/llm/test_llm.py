@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import media, mixing, packing, queries, simhash, sketch, substring_dedup, suffix_array, suffix_dedup, token_counts, token_files, tokens, toxicity
+from ledgerloom.llm import blocks, media, mixing, packing, queries, simhash, sketch, substring_dedup, suffix_array, suffix_dedup, token_counts, token_files, tokens, toxicity
 from ledgerloom.llm.graph import components
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -260,7 +260,7 @@ def test_token_files(table, spark, tmp_path):
     token_files.write_token_files(df, path, PATH)
     got = token_files.token_digests(token_files.read_positions(spark, path, "ids"))
     lib, start, want = brute.library(), 0, []
-    for d, t in sorted(docs, key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")):
+    for d, t in sorted(docs, key=lambda x: (x[0] is None, x[0] or 0)):
         ids = [*lib.encode(t or "", add_special_tokens=False).ids, 1]
         want.append((d, start, len(ids), brute.crc(ids)))
         start += len(ids)
@@ -269,6 +269,65 @@ def test_token_files(table, spark, tmp_path):
     assert "ids" not in plan.split("ReadSchema:")[1].split("\n")[0]
 
 
+def test_token_files_have_the_layout(spark, documents, tmp_path):
+    """Encodings, row groups and page indexes, as the files' footers say."""
+    import pyarrow.parquet as pq
+
+    path = str(tmp_path / "tokens")
+    token_files.write_token_files(spark.createDataFrame(documents * 20, "doc_id long, text string"), path, PATH)
+    for file in (tmp_path / "tokens").glob("*.parquet"):
+        footer = pq.ParquetFile(file).metadata
+        for g in range(footer.num_row_groups):
+            group = footer.row_group(g)
+            assert group.total_byte_size <= 24 << 20
+            columns = {group.column(i).path_in_schema.split(".")[0]: group.column(i) for i in range(group.num_columns)}
+            assert "RLE_DICTIONARY" in columns["ids"].encodings
+            for name in ("doc_id", "n_tokens", "part_start"):
+                assert "DELTA_BINARY_PACKED" in columns[name].encodings and "RLE_DICTIONARY" not in columns[name].encodings
+            assert all(c.has_offset_index and c.has_column_index for n, c in columns.items() if n != "ids")
+
+
+def test_one_doc_id_of_many_rows_is_split(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(token_files, "FILE_BYTES", 2000)
+    docs = [(7, f"some words of text {i} " * 5) for i in range(100)]
+    path = str(tmp_path / "tokens")
+    token_files.write_token_files(spark.createDataFrame(docs, "doc_id long, text string"), path, PATH)
+    got = token_files.read_positions(spark, path, "ids").orderBy("start").collect()
+    lib = brute.library()
+    assert [list(r.ids)[:-1] for r in got] == [lib.encode(t, add_special_tokens=False).ids for _, t in docs]
+    assert len(list((tmp_path / "tokens").glob("*.parquet"))) > 3
+
+
+def test_rows_between_blocks_and_shards_stay_few():
+    """At 100 TB a row still holds some ten hashes at least, of both rows of the sketch and of byte strings."""
+    for size in (1 << 40, 100 << 40):
+        for block, shard, found in ((blocks.BLOCK_BYTES, 5 * substring_dedup.SHARD_WINDOWS, size / 6), (suffix_dedup.BLOCK_BYTES, suffix_dedup.SHARD_BYTES, size / 85)):
+            count, shards = size / blocks.grown(block, size), size / blocks.grown(shard, size)
+            if block == blocks.BLOCK_BYTES:
+                assert found / (count * shards) > 10
+            else:
+                assert found / (count * shards) > 0.02  # intervals are sparse: rows are never more than they
+    assert blocks.grown(7, 1 << 30) == 7 and blocks.grown(7, 256 << 30) == 14
+
+
+def test_equal_rows_are_dealt_to_all_blocks(spark):
+    df = spark.createDataFrame([(1, "same " * 50)] * 400, "doc_id long, text string")
+    n = [r[1] for r in blocks.Blocks(df, 10_000).rows.groupBy("block").count().collect()]
+    assert len(n) > 5 and max(n) < 100
+
+
+def test_other_steps_are_left_to_the_library(tmp_path):
+    """A vocabulary that does not lower-case, or cuts words elsewhere, is counted text by text."""
+    import json
+
+    spec = json.load(open(PATH, encoding="utf-8"))
+    spec["normalizer"]["normalizers"].pop()
+    path = str(tmp_path / "cased.json")
+    json.dump(spec, open(path, "w", encoding="utf-8"))
+    assert tokens.splits_at_space(PATH) and not tokens.splits_at_space(path)
+    assert not tokens.splits_at_space(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_substring_dedup(table):
     df, docs = table
     got = substring_dedup.remove_repeated_windows(df).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("s"))
