@@ -92,6 +92,26 @@ def by_shard(hashes: np.ndarray, shards: int) -> np.ndarray:
     return np.searchsorted(hashes, np.array([min(k * width, 2**64 - 1) for k in range(1, shards)], np.uint64), side="left") if shards > 1 else np.zeros(0, np.int64)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Distinct values, ascending: a sort of numbers is many times as fast as numpy's own ``unique``."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
+def counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, ascending, and how often each is there."""
+    values = np.sort(values)
+    new = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+    return values[new], np.diff(np.append(new, len(values)))
+
+
+def among(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
+    """Which values are there among ascending ones."""
+    if not len(ascending):
+        return np.zeros(len(values), bool)
+    return ascending[np.minimum(np.searchsorted(ascending, values), len(ascending) - 1)] == values
+
+
 def parts(n: int, cuts: np.ndarray) -> list[tuple[int, int]]:
     edges = [0, *cuts.tolist(), n]
     return list(zip(edges[:-1], edges[1:], strict=True))

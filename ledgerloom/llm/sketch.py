@@ -39,7 +39,8 @@ def shingle_hashes(text: bytes, words: int = WORDS) -> np.ndarray:
         h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
-    return np.unique(h)
+    h.sort()
+    return h[np.append(True, h[1:] != h[:-1])]
 
 
 def sketch(hashes: np.ndarray, fraction: int = FRACTION) -> np.ndarray:

@@ -11,6 +11,7 @@ block, the block knows by itself.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .blocks import Blocks, ask, by_shard, documents, grown, parts
+from .blocks import Blocks, among, ask, by_shard, counted, distinct, documents, grown, parts
 
 WINDOW = 13
 ROWS = 2  # of counters
@@ -46,52 +47,79 @@ class _Windows:
         word = np.frombuffer(b"".join(h for ws in self.words for h in map(xxhash.xxh3_128_digest, ws)), "<u8").reshape(-1, 2)
         first, second = np.ascontiguousarray(word[:, 0]), np.ascontiguousarray(word[:, 1])
         starts = np.repeat(np.cumsum(self.n) - self.n - (np.cumsum(self.count) - self.count), self.count)
-        at = np.arange(int(self.count.sum())) + starts
-        a = b = np.full(len(at), window, np.uint64)
-        for j in range(window):
-            a, b = a * _A + first[at + j], b * _B + second[at + j]
-        self.a, self.b = _mixed(a), _mixed(b)
-        self.at = at
+        self.at = np.arange(int(self.count.sum())) + starts
+        self.a, self.b = (_mixed(_rolling(w, window, factor)[self.at]) for w, factor in ((first, _A), (second, _B)))
         self.doc = np.repeat(np.arange(len(self.ids)), self.count)
 
-    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(place of a first occurrence, group of each window, smallest and largest order of a group's
-        doc_ids), groups ascending by hash; documents are in the order of their ids."""
-        by = np.lexsort((self.b, self.a))
-        a, b = self.a[by], self.b[by]
-        new = np.ones(len(by), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    def groups(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of some windows, the groups that are equal: the first window of each, ascending by hash, each window's group,
+        and the order of the smallest doc_id of each; documents are in the order of their ids."""
+        a, b = self.a[which], self.b[which]
+        by = np.argsort(a)
+        same = a[by][1:] == a[by][:-1]
+        if (same & (b[by][1:] != b[by][:-1])).any():  # one hash confuses what the other does not
+            by = np.lexsort((b, a))
+            same = (a[by][1:] == a[by][:-1]) & (b[by][1:] == b[by][:-1])
+        new = np.flatnonzero(np.append(True, ~same)) if len(by) else by
         group = np.empty(len(by), np.int64)
-        group[by] = np.cumsum(new) - 1
-        first = by[new]  # lexsort is stable: the first of a group is in its earliest document
-        last = by[np.append(np.flatnonzero(new)[1:] - 1, len(by) - 1)] if len(by) else by
-        return first, group, self.order[self.doc[first]], self.order[self.doc[last]]
+        group[by] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(by))))
+        first = which[np.minimum.reduceat(by, new)] if len(by) else which
+        return first, group, self.order[self.doc[first]]
+
+
+def _rolling(values: np.ndarray, window: int, factor: np.uint64) -> np.ndarray:
+    """A number for each ``window`` consecutive values, a polynomial built by doubling; the last ones lack values."""
+    total, have, step = None, 0, values
+    span, times = 1, int(factor)  # ``step`` covers ``span`` values; ``times`` is factor ** span
+    while True:
+        if window & span:
+            if total is None:
+                total, have = step.copy(), span
+            else:
+                ahead = np.zeros_like(step)
+                ahead[: len(step) - have] = step[have:]
+                total = total * np.uint64(times) + ahead
+                have += span
+        if span * 2 > window:
+            return total
+        ahead = np.zeros_like(step)
+        ahead[: len(step) - span] = step[span:]
+        step = step * np.uint64(times) + ahead
+        span, times = span * 2, times * times % 2**64
 
 
 def _packed(ascending: np.ndarray) -> bytes:
-    """Ascending numbers as differences of as few bytes as hold the largest."""
+    """Ascending numbers by their differences: the low bits of each, then the rest as runs of 0 that a 1 ends, so
+    that numbers spread at random take about two bits more than the logarithm of their mean distance."""
     steps = np.diff(ascending)
-    wide = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
-    return bytes([wide]) + int(ascending[0]).to_bytes(8, "little") + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide].tobytes()
+    mean = int(ascending[-1] - ascending[0]) // max(1, len(steps))
+    low = max(0, (mean * 7 // 10).bit_length() - 1)
+    bits = np.unpackbits(steps.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - -(-low // 8) :], axis=1)
+    ends = np.cumsum((steps >> np.uint64(low)).astype(np.int64) + 1)
+    runs = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    runs[ends - 1] = 1
+    head = struct.pack("<QIB", int(ascending[0]), len(steps), low)
+    return head + np.packbits(bits[:, bits.shape[1] - low :]).tobytes() + np.packbits(runs).tobytes()
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    wide = data[0]
-    steps = np.zeros(((len(data) - 9) // wide, 8), np.uint8)
-    steps[:, :wide] = np.frombuffer(data, np.uint8, offset=9).reshape(-1, wide)
-    return np.cumsum(np.concatenate([np.frombuffer(data[1:9], "<u8"), steps.view("<u8").ravel()]).astype(np.uint64), dtype=np.uint64)
+    first, n, low = struct.unpack_from("<QIB", data)
+    flat = np.frombuffer(data, np.uint8, offset=13)
+    cut, wide = -(-n * low // 8), -(-low // 8)
+    bits = np.zeros((n, 8 * wide), np.uint8)
+    bits[:, 8 * wide - low :] = np.unpackbits(flat[:cut], count=n * low).reshape(n, low)
+    steps = np.zeros((n, 8), np.uint8)
+    steps[:, 8 - wide :] = np.packbits(bits, axis=1)
+    ends = np.flatnonzero(np.unpackbits(flat[cut:]))
+    rest = np.diff(ends, prepend=-1) - 1
+    steps = steps.view(">u8").ravel().astype(np.uint64) | rest.astype(np.uint64) << np.uint64(low)
+    return np.cumsum(np.concatenate([np.array([first], np.uint64), steps]), dtype=np.uint64)
 
 
 def _merged(answers: list[bytes]) -> np.ndarray:
     return np.sort(np.concatenate([_unpacked(x) for x in answers])) if answers else np.zeros(0, np.uint64)
 
 
-def _among(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
-    if not len(ascending):
-        return np.zeros(len(values), bool)
-    return ascending[np.minimum(np.searchsorted(ascending, values), len(ascending) - 1)] == values
-
-
 def remove_repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): each document without the words that are covered by a window of
     ``window`` words whose sequence also starts in a document with a smaller doc_id.
@@ -111,7 +139,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         w = _Windows(table, window)
         block = table.column("block")[0].as_py()
         for row, hashes in enumerate((w.a, w.b)):
-            cells = np.unique(hashes >> shift)
+            cells = distinct(hashes >> shift)
             for k, (x, y) in enumerate(parts(len(cells), by_shard(cells << shift, shards))):
                 if y > x:
                     yield {"shard": row * shards + k, "block": block, "cells": _packed(cells[x:y])}
@@ -119,10 +147,10 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def merge(table: pa.Table) -> Iterator[dict]:
         shard = table.column("shard")[0].as_py()
         sent = [_unpacked(x) for x in table.column("cells").to_pylist()]
-        cells, counts = np.unique(np.concatenate(sent), return_counts=True)  # the sum of the blocks' sketches
+        cells, counts = counted(np.concatenate(sent))  # the sum of the blocks' sketches
         repeated = cells[counts >= 2]
         for block, own in zip(table.column("block").to_pylist(), sent, strict=True):
-            hit = _among(own, repeated)
+            hit = among(own, repeated)
             if hit.any():
                 yield {"block": block, "shard": shard, "hits": _packed(own[hit])}
 
@@ -130,17 +158,17 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         if not answers.num_rows:
             return
         w = _Windows(table, window)
-        first, _, low, _ = w.distinct()
         sent = list(zip(answers.column("shard").to_pylist(), answers.column("hits").to_pylist(), strict=True))
-        found = np.ones(len(first), bool)
+        found = np.arange(len(w.a))
         for row, hashes in enumerate((w.a, w.b)):
-            found &= _among(hashes[first] >> shift, _merged([x for k, x in sent if k // shards == row]))
-        a, b, low = w.a[first[found]], w.b[first[found]], low[found]
+            found = found[among(hashes[found] >> shift, _merged([x for k, x in sent if k // shards == row]))]
+        first, _, low = w.groups(found)
+        a, b = w.a[first], w.b[first]
         block = table.column("block")[0].as_py()
         for k, (x, y) in enumerate(parts(len(a), by_shard(a, shards))):
             if y > x:
-                ids, which = np.unique(low[x:y], return_inverse=True)
-                which = which.astype(np.uint16 if len(ids) < 1 << 16 else np.uint32)
+                ids = distinct(low[x:y])
+                which = np.searchsorted(ids, low[x:y]).astype(np.uint16 if len(ids) < 1 << 16 else np.uint32)
                 yield {"shard": k, "block": block, "a": _packed(a[x:y]), "b": b[x:y].tobytes(), "ids": ids.tobytes(), "which": which.tobytes()}
 
     def group(table: pa.Table) -> Iterator[dict]:
@@ -150,11 +178,14 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         b = np.concatenate([np.frombuffer(x, np.uint64) for x in sent[1]])
         sizes = [len(x) // 8 for x in sent[1]]
         low = np.concatenate([np.frombuffer(i, np.int64)[np.frombuffer(w, np.uint16 if len(i) // 8 < 1 << 16 else np.uint32)] for i, w in zip(sent[2], sent[3], strict=True)])
-        by = np.lexsort((low, b, a))
-        new = np.ones(len(by), bool)
-        new[1:] = (a[by][1:] != a[by][:-1]) | (b[by][1:] != b[by][:-1])
+        by = np.argsort(a)
+        same = a[by][1:] == a[by][:-1]
+        if (same & (b[by][1:] != b[by][:-1])).any():
+            by = np.lexsort((b, a))
+            same = (a[by][1:] == a[by][:-1]) & (b[by][1:] == b[by][:-1])
+        new = np.flatnonzero(np.append(True, ~same))
         least = np.empty(len(by), np.int64)
-        least[by] = low[by][new][np.cumsum(new) - 1]
+        least[by] = np.repeat(np.minimum.reduceat(low[by], new), np.diff(np.append(new, len(by))))
         smaller, at = least < low, 0
         for block, n in zip(table.column("block").to_pylist(), sizes, strict=True):
             hit = smaller[at : at + n]
@@ -164,7 +195,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def remove(table: pa.Table, answers: pa.Table) -> Iterator[dict]:
         w = _Windows(table, window)
-        first, group, low, _ = w.distinct()
+        first, group, low = w.groups(np.arange(len(w.a)))
         out = w.order[w.doc] > low[group]  # a smaller doc_id in the same block
         if answers.num_rows:
             a = np.concatenate([_unpacked(x) for x in answers.column("hits").to_pylist()])

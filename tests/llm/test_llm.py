@@ -334,6 +334,18 @@ def test_substring_dedup(table):
     assert rows(got, "*") == sorted(((d, *x) for (d, _), x in zip(docs, brute.removed_windows(docs))), key=repr)
 
 
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 3, 100, 5000):
+        for bits in (1, 3, 8, 20, 33, 63):
+            values = np.sort(rng.integers(0, 1 << bits, n).astype(np.uint64))
+            values[-1] += np.uint64(rng.integers(0, 1 << bits))
+            packed = substring_dedup._packed(values)
+            assert (substring_dedup._unpacked(packed) == values).all()
+    spread = np.sort(rng.integers(0, 1 << 29, 700_000).astype(np.uint64))
+    assert len(substring_dedup._packed(spread)) < 1.5 * len(spread)
+
+
 def test_substring_dedup_over_many_blocks(spark, documents, monkeypatch):
     monkeypatch.setattr(substring_dedup, "SHARD_WINDOWS", 2000)
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 20_000)
