@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._common import LAST_ID, raw_strings
-from .blocks import Blocks, ask, by_shard, grown, parts
+from .blocks import Blocks, among, ask, by_shard, counted, distinct, grown, parts
 from .suffix_array import reaches, suffix_array
 
 LENGTH = 200
@@ -105,7 +105,7 @@ class _Intervals:
             least[~whole] = 0
             back = _sliding(np.maximum, least[::-1], length - PIECE + 1)[::-1]
             chosen = np.sort(piece[(back == piece) & (piece != _NONE)])
-            self.twice = np.unique(_even(chosen[1:][chosen[1:] == chosen[:-1]]))
+            self.twice = distinct(_even(chosen[1:][chosen[1:] == chosen[:-1]]))
 
     def stretches(self, which: np.ndarray) -> tuple[list[np.ndarray], int]:
         """For each of some intervals, the smallest hash of each short stretch of its strings; how many a string has."""
@@ -121,13 +121,13 @@ class _Intervals:
         np.add.at(inside, self.start[which], 1)
         np.add.at(inside, self.start[which] + self.starts[which] + self.length - PIECE, -1)
         near = np.sort(self.piece[np.cumsum(inside[:-1]) > 0])
-        again = np.unique(near[1:][near[1:] == near[:-1]])
+        again = distinct(near[1:][near[1:] == near[:-1]])
         parts_ = []
         for i, fine in zip(which.tolist(), values, strict=True):
-            rare = np.where(_among(_even(fine), common), _NONE, fine)
+            rare = np.where(among(_even(fine), common), _NONE, fine)
             owner = np.lib.stride_tricks.sliding_window_view(rare, span).min(axis=1)
             whole = owner == _NONE
-            kept = whole | _among(_even(owner), shared) | _among(owner, again)
+            kept = whole | among(_even(owner), shared) | among(owner, again)
             owner = _even(owner)
             if whole.any():  # common phrases in some company of each other: by the interval's hash and the largest
                 most = np.lib.stride_tricks.sliding_window_view(fine, span).max(axis=1)
@@ -143,12 +143,6 @@ class _Intervals:
         return np.array(at, np.int64), np.array(n, np.int64), np.array(doc, np.int64), np.array(owner, np.uint64)
 
 
-def _among(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
-    if not len(ascending):
-        return np.zeros(len(values), bool)
-    return ascending[np.minimum(np.searchsorted(ascending, values), len(ascending) - 1)] == values
-
-
 def _repeated_starts(texts: list[bytes], counts: np.ndarray, length: int, first: np.ndarray | None) -> tuple[list, list]:
     """For each text, which of its suffixes of ``length`` bytes or more have that many in common with another,
     or with themselves in another copy of the text (``counts``); and which of these are not the very first by
@@ -209,7 +203,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, keep_first: boo
 
     def tell_hashes(table: pa.Table) -> Iterator[dict]:
         found = _Intervals(table, length)
-        hashes = np.unique(found.hash)
+        hashes = distinct(found.hash)
         block = table.column("block")[0].as_py()
         for k, (x, y) in enumerate(parts(len(hashes), by_shard(hashes, shards))):
             if y > x:
@@ -221,10 +215,10 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, keep_first: boo
         def meet(table: pa.Table) -> Iterator[dict]:
             shard = table.column("shard")[0].as_py()
             sent = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
-            values, n = np.unique(np.concatenate(sent), return_counts=True)
+            values, n = counted(np.concatenate(sent))
             for kind, known in ((few, values[n >= 2]), (many, values[n >= HOT])):
                 for block, hashes in zip(table.column("block").to_pylist(), sent, strict=True):
-                    hit = hashes[_among(hashes, known)]
+                    hit = hashes[among(hashes, known)]
                     if len(hit):
                         yield {"block": block, "shard": shard, "kind": kind, "hashes": hit.tobytes()}
 
@@ -233,15 +227,15 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, keep_first: boo
     def answered(answers: pa.Table, kind: str) -> np.ndarray:
         kinds = answers.column("kind").to_pylist()
         sent = [np.frombuffer(x, np.uint64) for k, x in zip(kinds, answers.column("hashes").to_pylist(), strict=True) if k == kind]
-        return np.unique(np.concatenate(sent)) if sent else np.zeros(0, np.uint64)
+        return distinct(np.concatenate(sent)) if sent else np.zeros(0, np.uint64)
 
     def tell_stretches(table: pa.Table, answers: pa.Table) -> Iterator[dict]:
         hot = answered(answers, "hot")
         if not len(hot):
             return
         found = _Intervals(table, length)
-        values, _ = found.stretches(np.flatnonzero(_among(found.hash, hot)))
-        hashes = np.unique(_even(np.concatenate(values))) if values else np.zeros(0, np.uint64)
+        values, _ = found.stretches(np.flatnonzero(among(found.hash, hot)))
+        hashes = distinct(_even(np.concatenate(values))) if values else np.zeros(0, np.uint64)
         block = table.column("block")[0].as_py()
         for k, (x, y) in enumerate(parts(len(hashes), by_shard(hashes, shards))):
             if y > x:
@@ -250,8 +244,8 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, keep_first: boo
     def tell_texts(table: pa.Table, answers: pa.Table) -> Iterator[dict]:
         found = _Intervals(table, length, repeats=True)
         hot = answered(answers, "hot")
-        is_hot = _among(found.hash, hot)
-        take = np.flatnonzero((_among(found.hash, answered(answers, "repeated")) | _among(found.hash, found.twice)) & ~is_hot)
+        is_hot = among(found.hash, hot)
+        take = np.flatnonzero((among(found.hash, answered(answers, "repeated")) | among(found.hash, found.twice)) & ~is_hot)
         split = found.split(np.flatnonzero(is_hot), answered(answers, "common"), answered(answers, "shared"))
         at, count, doc, owner = (np.concatenate(x) for x in zip((found.start[take], found.starts[take], found.doc[take], found.hash[take]), split, strict=True))
         by = np.argsort(owner, kind="stable")
@@ -302,9 +296,12 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, keep_first: boo
             by = np.lexsort((start, doc, block, ids, each))
             is_first[by[np.concatenate([[True], each[by][1:] != each[by][:-1]])]] = True
             at = np.flatnonzero(is_first)
-            _, document = np.unique(np.stack([ids[at], block[at], doc[at]], 1), axis=0, return_inverse=True)
+            place = np.stack([ids[at], block[at], doc[at]], 1)
+            by = np.lexsort(place.T[::-1])
+            document = np.empty(len(by), np.int64)
+            document[by] = np.cumsum(np.append(False, (place[by][1:] != place[by][:-1]).any(axis=1)))
             first = np.empty(len(texts), np.int64)
-            first[each[at]] = (document.ravel() << 34) + start[at]
+            first[each[at]] = (document << 34) + start[at]
         hash_of = np.array(least, np.uint64)
         by = np.argsort(hash_of, kind="stable")
         spans: list = [()] * len(texts)
