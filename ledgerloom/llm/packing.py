@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import mapped, raw_strings, stored, text_or_empty
-from .tokens import PartEncoder
+from .tokens import part_encoder
 
 CAPACITY = 4096
 GROUP_TOKENS = 12_000_000  # tokens packed by one task; a group leaves about one bin unfilled
@@ -67,13 +67,14 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         for batch in batches:
-            encoder = encoder or PartEncoder(vocabulary)
+            encoder = encoder or part_encoder(vocabulary)
             end = np.array([end_id], "<u4").tobytes()
             at, data = raw_strings(batch.column("text"))
             flat, ends = data.tobytes(), at.tolist()
             out: list[tuple] = []
-            for doc, a, b in zip(batch.column("doc_id").to_pylist(), ends[:-1], ends[1:], strict=True):
-                ids = encoder.ids(flat[a:b]) + end
+            texts = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            for doc, found in zip(batch.column("doc_id").to_pylist(), encoder.ids(texts), strict=True):
+                ids = found + end
                 for k, s in enumerate(range(0, len(ids), 4 * capacity)):
                     cut = ids[s : s + 4 * capacity]
                     out.append((doc, k, s // 4, len(cut) // 4, zlib.crc32(cut)))

@@ -28,7 +28,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFra
             counter = counter or PartCounter(vocabulary, whole.value)
             at, data = raw_strings(batch.column("text"))
             flat, ends = data.tobytes(), at.tolist()
-            n = np.array([counter.count(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], np.int64)
+            n = np.array(counter.count([flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]), np.int64)
             yield pa.record_batch([batch.column("doc_id"), pa.array(np.diff(at)), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return mapped(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

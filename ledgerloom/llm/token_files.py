@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import corpus_size, mapped, raw_strings, slices, text_or_empty
-from .tokens import PartEncoder
+from .tokens import part_encoder
 
 FILE_BYTES = 32 << 20  # UTF-8 bytes of text for each file
 STEP_BYTES = 4 << 20
@@ -25,7 +25,7 @@ MOST_PARTS = 200_000  # parts whose starts may be broadcast (16 bytes each)
 
 # The writer's settings.
 LAYOUT = {
-    "compression": "zstd",
+    "compression": "snappy",
     "parquet.writer.version": "v2",
     "parquet.enable.dictionary": "true",
     "parquet.enable.dictionary#doc_id": "false",
@@ -53,12 +53,12 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, start = None, 0
         for batch in batches:
-            encoder = encoder or PartEncoder(vocabulary)
+            encoder = encoder or part_encoder(vocabulary)
             end = np.array([end_id], "<u4").tobytes()
             at, data = raw_strings(batch.column("text"))
             flat = data.tobytes()
             for a, b in slices(batch, np.diff(at), STEP_BYTES):
-                ids = [encoder.ids(flat[x:y]) + end for x, y in zip(at[a:b].tolist(), at[a + 1 : b + 1].tolist(), strict=True)]
+                ids = [x + end for x in encoder.ids([flat[x:y] for x, y in zip(at[a:b].tolist(), at[a + 1 : b + 1].tolist(), strict=True)])]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 stops = np.cumsum(n)
                 values = pa.array(np.frombuffer(b"".join(ids), "<i4"))

@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 
 #: Parts and pre-tokens remembered per Python worker (about 200 bytes each); beyond it a memory starts afresh.
-REMEMBERED, REMEMBERED_WORDS = 600_000, 400_000
+REMEMBERED, REMEMBERED_WORDS = 800_000, 500_000
+STRETCH = 1 << 13  # bytes of text whose parts are looked up together
 
 # Fixed value: the pre-token pattern below, for lower-case printable ASCII.
 _ASCII_PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
@@ -75,6 +78,9 @@ def whole_tokens(path: str) -> list[bytes]:
     return [s.encode() for s, e in zip(strings, found, strict=True) if len(e.ids) == 1]
 
 
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(12)]  # of so many ids
+
+
 class _Words:
     """The ids of distinct words: one library call for many, between special tokens, which the library takes
     out of a text before it does anything else."""
@@ -89,9 +95,13 @@ class _Words:
 
     def merge(self, words: list[str]) -> list[bytes]:
         """The ids of pre-tokens in lower case: the model's merges alone, over the letters of their bytes."""
-        tokenize = self.tokenizer.model.tokenize
+        tokenize, pack = self.tokenizer.model.tokenize, _PACK
         spelt = [w if w.isascii() else w.encode().decode("latin-1").translate(_LETTER) for w in words]
-        return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in spelt]
+        out = []
+        for w in spelt:
+            ids = [t.id for t in tokenize(w)]
+            out.append(pack[len(ids)](*ids) if len(ids) < len(pack) else array("I", ids).tobytes())
+        return out
 
     def of(self, words: list[str]) -> list[bytes]:
         """Each word's ids as little-endian bytes; words that may hold part of a special token go by themselves."""
@@ -117,7 +127,7 @@ def _pretokens(part: bytes) -> tuple[str, ...] | list[str] | None:
 
 
 class PartEncoder:
-    """The ids of whole texts, as little-endian unsigned 32-bit integers."""
+    """The ids of whole texts, each as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str) -> None:
         self.independent = splits_at_space(path)
@@ -125,27 +135,53 @@ class PartEncoder:
         self.known: dict[bytes, bytes] = {}
         self.merged: dict[str, bytes] = {}
 
-    def ids(self, text: bytes) -> bytes:
+    def ids(self, texts: list[bytes]) -> list[bytes]:
         if not self.independent:
-            return self.words.alone(text.decode()).tobytes()
-        parts = text.split()
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, parts))
-        except KeyError:
-            pass
+            return [self.words.alone(t.decode()).tobytes() for t in texts]
+        out: list[bytes] = []
+        for a, b in _stretches(texts):
+            parts = [t.split() for t in texts[a:b]]
+            self._learn(parts)
+            known = self.known.__getitem__
+            out += [b"".join(map(known, p)) for p in parts]
+        return out
+
+    def _learn(self, parts: list[list[bytes]]) -> None:
+        known, merged = self.known, self.merged
         if len(known) > REMEMBERED:
             known.clear()
-        if len(self.merged) > REMEMBERED_WORDS:
-            self.merged.clear()
-        merged = self.merged
-        split = {p: _pretokens(p) for p in set(parts).difference(known)}
-        new = list({t for ts in split.values() if ts for t in ts if t not in merged})
-        merged.update(zip(new, self.words.merge(new), strict=True))
+        if len(merged) > REMEMBERED_WORDS:
+            merged.clear()
+        new = set().union(*parts).difference(known)
+        plain = {p: p.lower().decode() for p in new if p.isalpha()}  # of ASCII letters alone: one pre-token
+        split = {p: _pretokens(p) for p in new.difference(plain)}
+        words = list({t for ts in split.values() if ts for t in ts}.union(plain.values()).difference(merged))
+        merged.update(zip(words, self.words.merge(words), strict=True))
+        known.update(zip(plain, map(merged.__getitem__, plain.values()), strict=True))
         other = [p for p, ts in split.items() if ts is None]
         known.update(zip(other, self.words.of([p.decode() for p in other]), strict=True))
         known.update((p, b"".join([merged[t] for t in ts])) for p, ts in split.items() if ts is not None)
-        return b"".join(map(known.__getitem__, parts))
+
+
+_ENCODERS: dict[str, PartEncoder] = {}
+
+
+def part_encoder(path: str) -> PartEncoder:
+    """This worker's encoder, which remembers words from one task to the next."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = PartEncoder(path)
+    return _ENCODERS[path]
+
+
+def _stretches(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``STRETCH`` bytes, whose parts are looked up together."""
+    start, size = 0, 0
+    for i, t in enumerate(texts, 1):
+        size += len(t)
+        if size >= STRETCH or i == len(texts):
+            yield start, i
+            start, size = i, 0
 
 
 class PartCounter:
@@ -169,27 +205,29 @@ class PartCounter:
         self.known: dict[bytes, int] = dict.fromkeys(whole, 1)
         self.merged: dict[str, int] = {}
 
-    def count(self, text: bytes) -> int:
+    def count(self, texts: list[bytes]) -> list[int]:
         if not self.independent:
-            return self.library([text.decode()])[0]
-        parts = text.split()
-        known = self.known
-        try:
-            return sum(map(known.__getitem__, parts))
-        except KeyError:
-            pass
+            return self.library([t.decode() for t in texts])
+        out: list[int] = []
+        for a, b in _stretches(texts):
+            parts = [t.split() for t in texts[a:b]]
+            self._learn(parts)
+            known = self.known.__getitem__
+            out += [sum(map(known, p)) for p in parts]
+        return out
+
+    def _learn(self, parts: list[list[bytes]]) -> None:
+        known, merged, whole = self.known, self.merged, self.whole
         if len(known) > REMEMBERED:
             known.clear()
-            known.update((x.encode(), 1) for x in self.whole)
-        if len(self.merged) > REMEMBERED_WORDS:
-            self.merged.clear()
-        whole, merged = self.whole, self.merged
-        split = {p: _pretokens(p) for p in set(parts).difference(known)}
-        rest = list({t for ts in split.values() if ts for t in ts if t not in whole and t not in merged})
+            known.update((x.encode(), 1) for x in whole)
+        if len(merged) > REMEMBERED_WORDS:
+            merged.clear()
+        split = {p: _pretokens(p) for p in set().union(*parts).difference(known)}
+        rest = list({t for ts in split.values() if ts for t in ts}.difference(merged).difference(whole))
         merged.update((t, len(x) // 4) for t, x in zip(rest, self.words.merge(rest), strict=True))
         other = [p for p, ts in split.items() if ts is None]
         known.update(zip(other, self.library([p.decode() for p in other]), strict=True))
         for p, ts in split.items():
             if ts is not None:
                 known[p] = sum([1 if t in whole else merged[t] for t in ts])
-        return sum(map(known.__getitem__, parts))
