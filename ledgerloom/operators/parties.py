@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import shared_tokens
+from ..sources.files import stored
 
 
 def merge_pairs(entities: DataFrame, fragments: bool = True) -> DataFrame:
@@ -26,24 +27,23 @@ def merge_pairs(entities: DataFrame, fragments: bool = True) -> DataFrame:
     return prefix.unionByName(found).groupBy("DocID", "KeyA", "KeyB").agg(F.max("Kind").alias("Kind"))
 
 
-def group_parties(entities: DataFrame, fragments: bool = True, rounds: int = 20) -> DataFrame:
+def group_parties(entities: DataFrame, fragments: bool = True) -> DataFrame:
     """(DocID, Key, PartyKey, MergeKind): the least name reachable over merge pairs within a document.
 
     The least label travels along pairs until nothing changes; documents are small graphs, so a handful of rounds
-    settles all at once. An error if ``rounds`` do not suffice.
+    settles all at once. Each round is written to the shared folder, so lost executors cost no more than one.
     """
-    pairs = merge_pairs(entities, fragments).persist()
+    pairs = stored(merge_pairs(entities, fragments))
     both = pairs.select("DocID", F.col("KeyA").alias("Key"), F.col("KeyB").alias("Other")).union(pairs.select("DocID", "KeyB", "KeyA"))
     labels = entities.select("DocID", "Key").distinct().withColumn("PartyKey", F.col("Key"))
-    for _ in range(rounds):
+    while True:
         offered = both.join(labels.select("DocID", F.col("Key").alias("Other"), "PartyKey"), ["DocID", "Other"]).groupBy("DocID", "Key").agg(F.min("PartyKey").alias("offer"))
-        stepped = labels.join(offered, ["DocID", "Key"], "left").select("DocID", "Key", F.least("PartyKey", F.coalesce("offer", "PartyKey")).alias("PartyKey"), (F.col("offer") < F.col("PartyKey")).alias("moved")).persist()
+        stepped = labels.join(offered, ["DocID", "Key"], "left").select("DocID", "Key", F.least("PartyKey", F.coalesce("offer", "PartyKey")).alias("PartyKey"), (F.col("offer") < F.col("PartyKey")).alias("moved"))
+        stepped = stored(stepped)
         moved = stepped.where("moved").limit(1).count()
         labels = stepped.drop("moved")
         if not moved:
             break
-    else:
-        raise RuntimeError("parties did not settle")
     kind = both.join(pairs, "DocID").where((F.col("Key") == F.col("KeyA")) | (F.col("Key") == F.col("KeyB"))).groupBy("DocID", "Key").agg(F.max("Kind").alias("Kind"))
     return labels.join(kind, ["DocID", "Key"], "left").select("DocID", "Key", "PartyKey", F.coalesce("Kind", F.lit("alone")).alias("MergeKind"))
 

@@ -47,11 +47,11 @@ def effect(t: Tables) -> DataFrame:
     return t.predictions.groupBy("ConfigName").agg(F.round(F.avg("Score"), 6).alias("Mean"), F.round(F.stddev_samp("Score"), 6).alias("Sd"), F.count("*").alias("n"))
 
 
-@query("clf_fold_shares", "WITH g AS (SELECT * FROM (SELECT DISTINCT TrueLabel FROM predictions) a CROSS JOIN (SELECT DISTINCT Fold FROM predictions) b), c AS (SELECT TrueLabel, Fold, count(*) AS n FROM predictions WHERE DocID % 7 <> 0 GROUP BY 1, 2) SELECT TrueLabel, Fold, coalesce(n, 0) AS n, round(CAST(coalesce(n, 0) AS DOUBLE) / sum(n) OVER (PARTITION BY TrueLabel), 6) AS Share FROM g LEFT JOIN c USING (TrueLabel, Fold)")
+@query("clf_fold_shares", "WITH g AS (SELECT * FROM (SELECT DISTINCT TrueLabel FROM predictions) a CROSS JOIN (SELECT DISTINCT Fold FROM predictions) b), c AS (SELECT TrueLabel, Fold, count(*) AS n FROM predictions GROUP BY 1, 2) SELECT TrueLabel, Fold, coalesce(n, 0) AS n, round(CAST(coalesce(n, 0) AS DOUBLE) / sum(n) OVER (PARTITION BY TrueLabel), 6) AS Share FROM g LEFT JOIN c USING (TrueLabel, Fold)")
 def fold_shares(t: Tables) -> DataFrame:
     from pyspark.sql import Window
 
-    counted = t.predictions.where("DocID % 7 <> 0").groupBy("TrueLabel", "Fold").agg(F.count("*").alias("n"))
+    counted = t.predictions.groupBy("TrueLabel", "Fold").agg(F.count("*").alias("n"))
     values = t.predictions.select("TrueLabel", "Fold").distinct()
     full = A.complete(values, "TrueLabel", "Fold").join(counted, ["TrueLabel", "Fold"], "left").fillna(0, ["n"])
     return full.withColumn("Share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("TrueLabel")), 6))

@@ -35,7 +35,7 @@ def add_periods(t: Tables) -> DataFrame:
 
 
 def _refs(t: Tables) -> DataFrame:
-    return t.register.where("DocID % 7 = 0").select(F.col("DocID").alias("RefID"), "CIK", "FormType", F.expr("date_add(DateFiled, int(DocID % 5) - 2)").alias("RefDate"))
+    return t.register.select(F.col("DocID").alias("RefID"), "CIK", "FormType", F.expr("date_add(DateFiled, int(DocID % 5) - 2)").alias("RefDate"))
 
 
 def _filings(t: Tables) -> DataFrame:
@@ -43,7 +43,7 @@ def _filings(t: Tables) -> DataFrame:
 
 
 _LINKS = """
-    WITH refs AS (SELECT DocID AS RefID, CIK, FormType, CAST(DateFiled + CAST(DocID % 5 - 2 AS INT) AS DATE) AS RefDate FROM register WHERE DocID % 7 = 0),
+    WITH refs AS (SELECT DocID AS RefID, CIK, FormType, CAST(DateFiled + CAST(DocID % 5 - 2 AS INT) AS DATE) AS RefDate FROM register),
     filings AS (SELECT CIK, FormType, DateFiled, HashIndex, DocID % 3 = 0 AS HasDocument FROM register),
     ex AS (SELECT r.RefID, count(DISTINCT HashIndex) AS n, min(HashIndex) AS sole, count(DISTINCT CASE WHEN HasDocument THEN HashIndex END) AS n_doc, min(CASE WHEN HasDocument THEN HashIndex END) AS sole_doc FROM refs r JOIN filings f ON r.CIK = f.CIK AND r.FormType = f.FormType AND r.RefDate = f.DateFiled GROUP BY 1),
     nr AS (SELECT r.RefID, count(DISTINCT HashIndex) AS n_near, min(HashIndex) AS sole_near FROM refs r JOIN filings f ON r.CIK = f.CIK AND r.FormType = f.FormType AND abs(f.DateFiled - r.RefDate) <= 3 GROUP BY 1),
@@ -57,13 +57,13 @@ def link_filing(t: Tables) -> DataFrame:
 
 
 @query("cto_link_document", _LINKS + """,
-    docs AS (SELECT HashIndex, DocID, CAST(nWords % 4 AS BIGINT) AS ExhibitNo FROM register WHERE DocID % 2 = 0),
+    docs AS (SELECT HashIndex, DocID, CAST(nWords % 4 AS BIGINT) AS ExhibitNo FROM register),
     l AS (SELECT *, CASE WHEN RefID % 5 = 0 THEN NULL ELSE RefID % 4 END AS ExhibitNo FROM linked),
     c AS (SELECT HashIndex, ExhibitNo, count(*) AS n_match, min(DocID) AS DocID FROM docs GROUP BY ALL), p AS (SELECT HashIndex, count(*) AS n_docs FROM docs GROUP BY ALL)
     SELECT l.RefID, l.Tier, l.HashIndex, CASE WHEN n_match = 1 THEN c.DocID END AS DocID, CASE WHEN l.HashIndex IS NULL THEN 'no filing: ' || Tier WHEN l.ExhibitNo IS NULL THEN 'no exhibit number' WHEN n_match = 1 THEN 'linked' WHEN n_match > 1 THEN 'several exhibits' WHEN n_docs IS NULL THEN 'filing without documents' ELSE 'exhibit not in filing' END AS LinkStatus
     FROM l LEFT JOIN c ON l.HashIndex = c.HashIndex AND l.ExhibitNo = c.ExhibitNo LEFT JOIN p ON l.HashIndex = p.HashIndex""")
 def link_document(t: Tables) -> DataFrame:
-    docs = t.register.where("DocID % 2 = 0").select("HashIndex", "DocID", (F.col("nWords") % 4).alias("ExhibitNo"))
+    docs = t.register.select("HashIndex", "DocID", (F.col("nWords") % 4).alias("ExhibitNo"))
     linked = J.link_by_date(_refs(t), _filings(t)).withColumn("ExhibitNo", F.when(F.col("RefID") % 5 != 0, F.col("RefID") % 4))
     return J.link_status(linked, docs)
 

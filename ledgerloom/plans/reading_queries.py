@@ -305,19 +305,13 @@ def zone_map(t: Tables) -> DataFrame:
     return zones.agg(F.min("a").alias("FirstDoc"), F.max("b").alias("LastDoc"), F.sum("k").alias("n"))
 
 
-@query("edg_sec_forms", "SELECT unnest(['8-K', '10-K', '10-Q', 'S-1', 'S-4', 'F-1', 'F-4']) AS FormType")
-def sec_forms(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame([(f,) for f in ("8-K", "10-K", "10-Q", "S-1", "S-4", "F-1", "F-4")], "FormType string")
-
+# The forms of which filings are kept, each with its amendment.
+SEC_FORMS = ["10-K", "10-K/A", "10-Q", "10-Q/A", "8-K", "8-K/A", "20-F", "20-F/A", "S-1", "S-1/A", "S-4", "S-4/A", "F-1", "F-1/A", "F-4", "F-4/A", "CT ORDER"]
 
-_PLACES = "(SELECT * FROM spans WHERE Label = 'GPE')"
 
-
-@query("geo_addr_hits", f"SELECT s.DocID, s.SpanNo, s.Start, contains('12 main street, ' || lower(n_name), lower(substr(s.Kind, 1, 1))) AS Hit FROM {_PLACES} s JOIN register r USING (DocID) JOIN customer ON CIK = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE s.PartyRole = 'registrant'")
-def address_hits(t: Tables) -> DataFrame:
-    address = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("CIK"), F.lower(F.concat(F.lit("12 main street, "), "n_name")).alias("Address"))
-    met = t.spans.where("Label = 'GPE' and PartyRole = 'registrant'").join(t.register.select("DocID", "CIK"), "DocID").join(address, "CIK")
-    return met.select("DocID", "SpanNo", "Start", F.contains("Address", F.lower(F.substring("Kind", 1, 1))).alias("Hit"))
+@query("edg_sec_forms", "SELECT unnest([f, f || '/A']) AS FormType FROM (VALUES ('8-K'), ('10-K'), ('10-Q'), ('20-F'), ('S-1'), ('S-4'), ('F-1'), ('F-4')) v(f) UNION ALL SELECT 'CT ORDER'")
+def sec_forms(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame([(f,) for f in SEC_FORMS], "FormType string")
 
 
 _FREE = """WITH h AS (SELECT DISTINCT p.DocID, p.Start, p.Stop FROM spans p JOIN spans o ON o.DocID = p.DocID AND o.Label = 'MONEY' AND p.Start >= o.Start AND p.Stop <= o.Stop WHERE p.Label = 'GPE'), fr AS (SELECT p.* FROM (SELECT * FROM spans WHERE Label = 'GPE') p ANTI JOIN h USING (DocID, Start, Stop)),

@@ -16,6 +16,7 @@ from ..sources import files as X
 from ..sources.tables import Tables
 from ..streaming import store as St
 from .registry import query
+from .span_queries import _TERM_HITS, TERMS, text_hits
 
 # --- Files and publishing ------------------------------------------------------------------------------
 
@@ -34,11 +35,11 @@ def doc_path(t: Tables) -> DataFrame:
     return t.register.select("DocID", X.document_path(F.lit("mirror"), F.col("DocType"), quarter, F.col("DocID")).alias("Path"))
 
 
-@query("read_documents", "SELECT DocID, substr(Text, 1, 40) AS Text FROM contracts")
+@query("read_documents", "SELECT DocID, Text FROM contracts")
 def read_documents(t: Tables) -> DataFrame:
     path = X.scratch(t.spark)
     t.contracts.write.parquet(path)
-    return X.read_documents(t.spark, [path], max_chars=40)
+    return X.read_documents(t.spark, [path])
 
 
 @query("edg_clean_landing", "WITH r AS (SELECT DocID, CASE WHEN DocID % 9 = 0 THEN ' NONE ' WHEN DocID % 7 = 0 THEN '  ' ELSE ' ' || Class || ' ' END AS SRO, CASE WHEN DocID % 5 = 0 THEN '2011-02-30' ELSE CAST(DateFiled AS STRING) END AS D, CASE WHEN DocID % 4 = 0 THEN 'x1' ELSE ' ' || nWords END AS N FROM register) SELECT DocID, CASE WHEN trim(SRO) NOT IN ('', 'NONE') THEN trim(SRO) END AS SRO, TRY_CAST(trim(D) AS DATE) AS D, TRY_CAST(trim(N) AS BIGINT) AS N FROM r")
@@ -171,9 +172,9 @@ def export_redact(t: Tables) -> DataFrame:
     return t.spans.where("Label = 'GPE'").where(~span.rlike("^\\[[\\s\\x85\\xA0]*\\]$")).groupBy("DocID").agg(F.count("*").alias("nMarks"))
 
 
-@query("export_DATE", "SELECT DocID, DateFiled, HasDate, HasTerm FROM (SELECT DocID, bool_or(k = 'd') AS HasDate, bool_or(k = 't') AS HasTerm FROM (SELECT DISTINCT DocID, 'd' AS k FROM spans WHERE Label = 'DATE' UNION SELECT DISTINCT DocID, 't' FROM spans WHERE Label = 'MONEY') u GROUP BY 1) q JOIN register USING (DocID)")
+@query("export_DATE", "SELECT DocID, DateFiled, HasDate, HasTerm FROM (SELECT DocID, bool_or(k = 'd') AS HasDate, bool_or(k = 't') AS HasTerm FROM (SELECT DISTINCT DocID, 'd' AS k FROM spans WHERE Label = 'DATE' UNION SELECT DISTINCT DocID, 't' FROM spans WHERE Label = 'TERM') u GROUP BY 1) q JOIN register USING (DocID)")
 def export_date(t: Tables) -> DataFrame:
-    keys = t.spans.where("Label in ('DATE', 'MONEY')").groupBy("DocID").agg(F.bool_or(F.col("Label") == "DATE").alias("HasDate"), F.bool_or(F.col("Label") == "MONEY").alias("HasTerm"))
+    keys = t.spans.where("Label in ('DATE', 'TERM')").groupBy("DocID").agg(F.bool_or(F.col("Label") == "DATE").alias("HasDate"), F.bool_or(F.col("Label") == "TERM").alias("HasTerm"))
     return keys.join(t.register.select("DocID", "DateFiled"), "DocID")
 
 
@@ -246,6 +247,55 @@ def check_done(t: Tables) -> DataFrame:
     return t.register.join(t.spans, "DocID", "left_anti").agg(F.count("*").alias("nWithoutSpans"))
 
 
+def _facts(docs: DataFrame) -> DataFrame:
+    """Rules over a document's dates and amounts: one row for each of the two, at its first place."""
+    found = S.extract(docs, ["DATE", "MONEY"])
+    first = found.groupBy("DocID", "Label").agg(F.min_by(F.struct("LabelRaw", "Start", F.coalesce("DateValue", "Amount").alias("Value")), "Start").alias("f"))
+    return first.select("DocID", "Label", "f.*")
+
+
+_FACTS = "SELECT DocID, 'DATE' AS Label, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS Value FROM contracts JOIN orders ON DocID = o_orderkey"
+
+
+@query("apl_pass_run", _FACTS)
+def rule_pass(t: Tables) -> DataFrame:
+    """Rules over what is pending, twice, in chunks: first over a part of the corpus, then over all of it."""
+    store = St.Store(t.spark, X.scratch(t.spark))
+    for corpus, chunks in ((t.contracts.where("DocID % 3 = 0"), 2), (t.contracts, 3)):
+        store.run_chunks(corpus, _facts, "facts", ["DATE", "MONEY"], S.spec_hash(["DATE", "MONEY"]), chunks)
+    return store.spans("DATE", "DocID long, Label string, LabelRaw string, Start long, Value string").select("DocID", "Label", "Value")
+
+
+@query("apl_chunk_run", "SELECT CAST(count(*) AS BIGINT) AS nDone, CAST(count(*) AS BIGINT) AS nLedger FROM contracts")
+def rule_chunks(t: Tables) -> DataFrame:
+    """What the chunks of a pass say they did, and what the ledger has."""
+    store = St.Store(t.spark, X.scratch(t.spark))
+    done = sum(store.run_chunks(t.contracts, _facts, "facts", ["DATE"], S.spec_hash(["DATE"]), 3))
+    return store.ledger.agg(F.lit(done).cast("long").alias("nDone"), F.count("*").alias("nLedger"))
+
+
+@query("txt_pass", _TERM_HITS + " SELECT DocID, Family, Term, StartAt FROM h")
+def text_pass(t: Tables) -> DataFrame:
+    """Phrases over what is pending, in chunks, under the hash of the phrases: a document is scanned once for one set."""
+    store = St.Store(t.spark, X.scratch(t.spark))
+    scan = lambda docs: text_hits(docs, TERMS).select("DocID", F.lit("TEXT").alias("Label"), F.col("Term").alias("LabelRaw"), F.col("StartAt").alias("Start"), "Family")
+    spec = St.policy_hash(TERMS, [])
+    for corpus in (t.contracts.where("DocID % 2 = 0"), t.contracts):
+        store.run_chunks(corpus, scan, spec, ["TEXT"], spec, 2)
+    return store.spans("TEXT", "DocID long, Label string, LabelRaw string, Start int, Family string").select("DocID", "Family", F.col("LabelRaw").alias("Term"), F.col("Start").alias("StartAt"))
+
+
+@query("exp_cache_hit", "SELECT * FROM (VALUES ('absent', false), ('good', true), ('asked for again', false), ('input gone', false)) v(State, Hit)")
+def cache_hit(t: Tables) -> DataFrame:
+    """A made table beside its inputs; the case of an input that moves later is in the tests."""
+    made, source = X.scratch(t.spark), X.scratch(t.spark)
+    t.nation.write.parquet(source)
+    states = [("absent", X.cache_hit(t.spark, made, [source]))]
+    t.spark.read.parquet(source).write.parquet(made)
+    states += [("good", X.cache_hit(t.spark, made, [source])), ("asked for again", X.cache_hit(t.spark, made, [source], rerun=True)), ("input gone", X.cache_hit(t.spark, made, [f"{source}/none"]))]
+    return t.spark.createDataFrame(states, "State string, Hit boolean")
+
+
 @query("txt_write_chunk", "SELECT DISTINCT DocID, Family, Term, StartAt FROM hits")
 def rewritten_hits(t: Tables) -> DataFrame:
     """A chunk that was scanned twice after a crash: hits are one for each document, term and place."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.aggregates import count_where
+from ..operators import places as G
 from ..sources.tables import Tables
 from .registry import query
 
@@ -29,11 +30,11 @@ def strip_conformed(t: Tables) -> DataFrame:
     return _names(t).select("DocID", T.strip_conformed(F.col("Name")).alias("Plain"))
 
 
-@query("ent_shared_tokens", "WITH p AS (SELECT a.p_partkey AS A, b.p_partkey AS B, string_split(a.p_name, ' ') AS x, string_split(b.p_name, ' ') AS y FROM part a JOIN part b ON a.p_brand = b.p_brand AND b.p_partkey = a.p_partkey + 1) SELECT A, B, CAST(CASE WHEN len(x) >= 1 AND len(y) >= 1 AND x[1] = y[1] THEN CASE WHEN len(x) >= 2 AND len(y) >= 2 AND x[2] = y[2] THEN CASE WHEN len(x) >= 3 AND len(y) >= 3 AND x[3] = y[3] THEN 3 ELSE 2 END ELSE 1 END ELSE 0 END AS INT) AS Shared FROM p")
+@query("ent_shared_tokens", "WITH p AS (SELECT a.p_partkey AS A, b.p_partkey AS B, string_split(a.p_name, ' ') AS x, string_split(b.p_name, ' ') AS y FROM part a JOIN part b ON a.p_brand = b.p_brand AND b.p_partkey = a.p_partkey + 1) , pos AS (SELECT A, B, x, y, unnest(range(1, least(len(x), len(y)) + 1)) AS i FROM p), bad AS (SELECT A, B, min(i) AS i FROM pos WHERE x[i] <> y[i] GROUP BY 1, 2) SELECT p.A, p.B, CAST(coalesce(bad.i - 1, least(len(x), len(y))) AS INT) AS Shared FROM p LEFT JOIN bad ON p.A = bad.A AND p.B = bad.B")
 def shared_tokens(t: Tables) -> DataFrame:
     a = t.part.select(F.col("p_partkey").alias("A"), "p_brand", F.col("p_name").alias("x"))
     b = t.part.select((F.col("p_partkey") - 1).alias("A"), F.col("p_partkey").alias("B"), "p_brand", F.col("p_name").alias("y"))
-    return a.join(b, ["A", "p_brand"]).select("A", "B", F.least(T.shared_tokens(F.col("x"), F.col("y")), F.lit(3)).alias("Shared"))
+    return a.join(b, ["A", "p_brand"]).select("A", "B", T.shared_tokens(F.col("x"), F.col("y")).alias("Shared"))
 
 
 @query("ent_anchor_cols", "SELECT c_custkey AS CIK, upper(c_name) AS AnchorKey, replace(upper(c_name), ' ', '') AS AnchorTight, CAST(length(c_name) AS INT) AS AnchorLen, CAST(length(c_name) - length(replace(c_name, ' ', '')) + 1 AS INT) AS AnchorTok FROM customer")
@@ -247,17 +248,26 @@ def red_words(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.regexp_count("text", F.lit("\\S+")).cast("bigint").alias("nWords"))
 
 
-@query("geo_country", "SELECT DocID, SpanNo, Start, CASE WHEN Kind IN ('RedactExplicit', 'RedactSymbol') THEN 'USA' WHEN Status = 'F' THEN 'DEU' ELSE nullif(regexp_extract('US-' || PartyKey, '^([A-Z]{2})-', 1), '') END AS Country FROM spans WHERE Label = 'GPE'")
-def country(t: Tables) -> DataFrame:
-    code = F.nullif(F.regexp_extract(F.concat(F.lit("US-"), "PartyKey"), "^([A-Z]{2})-", 1), F.lit(""))
-    return t.spans.where("Label = 'GPE'").select("DocID", "SpanNo", "Start", F.when(F.col("Kind").isin("RedactExplicit", "RedactSymbol"), "USA").when(F.col("Status") == "F", "DEU").otherwise(code).alias("Country"))
+_GEO = """WITH g AS (SELECT m.*, CASE WHEN l.Unit <> 'nan' THEN array_to_string(list_transform(string_split(l.Unit, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') END AS GeoUnit,
+    CASE l.Class WHEN 'US State' THEN 'State' WHEN 'US County' THEN 'County' WHEN 'US Populated Place' THEN 'City' WHEN 'Country' THEN 'Country' END AS GeoLevel,
+    CASE WHEN l.NParent = 1 THEN nullif(l.State, 'nan') END AS GeoState, CASE WHEN l.NParent = 1 THEN nullif(l.County, 'nan') END AS GeoCounty, CASE WHEN l.NParent = 1 THEN nullif(l.Iso2, 'nan') END AS GeoIso2, nullif(l.Iso3, 'nan') AS GeoIso3, l.NParent AS GeoParents
+    FROM mentions m LEFT JOIN gazetteer l ON upper(m.Name) = l.PlaceKey AND m.Class = l.Class)"""
 
 
-@query("geo_resolve", "SELECT s.DocID, s.SpanNo, n.n_name AS GeoUnit, CASE WHEN n.n_name IS NULL THEN 'none' WHEN p.k > 1 THEN 'ambiguous' ELSE 'resolved' END AS Level FROM spans s LEFT JOIN (SELECT n_nationkey % 17 AS g, min(n_name) AS n_name, count(*) AS k FROM nation GROUP BY 1) p ON p.g = s.Start % 23 LEFT JOIN nation n ON n.n_name = p.n_name WHERE s.Label = 'GPE'")
+@query("geo_resolve", _GEO + " SELECT * FROM g")
 def resolve(t: Tables) -> DataFrame:
-    lookup = t.nation.groupBy((F.col("n_nationkey") % 17).alias("g")).agg(F.min("n_name").alias("GeoUnit"), F.count("*").alias("k"))
-    met = t.spans.where("Label = 'GPE'").withColumn("g", F.col("Start") % 23).join(lookup, "g", "left")
-    return met.select("DocID", "SpanNo", "GeoUnit", F.when(F.col("GeoUnit").isNull(), "none").when(F.col("k") > 1, "ambiguous").otherwise("resolved").alias("Level"))
+    return G.resolve(t.mentions, t.gazetteer)
+
+
+@query("geo_country", _GEO + " SELECT DocID, SpanNo, CASE WHEN GeoLevel IN ('State', 'County', 'City') THEN 'USA' WHEN GeoIso3 IS NOT NULL THEN GeoIso3 WHEN substr(GeoIso2, 3, 1) = '-' THEN substr(GeoIso2, 1, 2) END AS Country FROM g")
+def country(t: Tables) -> DataFrame:
+    return G.resolve(t.mentions, t.gazetteer).select("DocID", "SpanNo", G.country().alias("Country"))
+
+
+@query("geo_addr_hits", _GEO + " SELECT g.DocID, SpanNo, GeoUnit, strpos('12 main street, port ville' || (c_custkey % 29), lower(GeoUnit)) > 0 AS Hit FROM g JOIN register r ON g.DocID = r.DocID JOIN customer ON r.CIK = c_custkey WHERE PartyRole = 'registrant' AND GeoUnit IS NOT NULL AND c_custkey % 5 <> 0")
+def address_hits(t: Tables) -> DataFrame:
+    address = F.when(F.col("c_custkey") % 5 != 0, F.concat(F.lit("12 MAIN Street, Port Ville"), (F.col("c_custkey") % 29).cast("string")))
+    return G.address_hits(G.resolve(t.mentions, t.gazetteer), t.register, t.customer.select(F.col("c_custkey").alias("CIK"), address.alias("Address")))
 
 
 CUES = ["EXPIR", "TERMINAT", "MATURIT", "UNTIL", "THROUGH"]

@@ -16,11 +16,22 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir; a temporary one where that is unset (tests in one JVM)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ledgerloom-")
+    """A fresh folder below spark.checkpoint.dir. Where that is unset, a local session takes a temporary one; on a cluster no
+    folder is known to be shared, so there it is an error."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    base = base or tempfile.mkdtemp(prefix="ledgerloom-")
     return f"{base.rstrip('/')}/ledgerloom-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Written to a scratch folder and read again: cuts lineage."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def list_files(spark: SparkSession, folder: str, id_name: str = "DocID", recursive: bool = False) -> DataFrame:
     """(id, Path, Bytes) of the files of a folder; the id is the file's stem. Contents are not read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
@@ -76,7 +87,7 @@ def write_declared(df: DataFrame, schema: Sequence[Field], path: str, format_: s
         writer.option("header", "true").option("compression", "gzip").csv(path)
     else:
         if rows_per_group:
-            writer = writer.option("parquet.page.row.count.limit", str(rows_per_group))
+            writer = writer.option("parquet.block.row.count.limit", str(rows_per_group))
         writer.option("compression", "zstd").parquet(path)
 
 
@@ -108,6 +119,24 @@ def folder_stamp(files: DataFrame, extra: str = "") -> DataFrame:
     return files.agg(F.sha2(F.concat_ws("|", F.count("*"), F.sum("Bytes"), F.sum(F.xxhash64("Path").cast("decimal(38,0)")), F.lit(extra)), 256).alias("Stamp"))
 
 
+def _moved(spark: SparkSession, path: str) -> int | None:
+    """When anything of a file or folder was last written, in milliseconds; None where there is nothing."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return None
+    last, files = 0, fs.listFiles(at, True)
+    while files.hasNext():
+        last = max(last, files.next().getModificationTime())
+    return last
+
+
+def cache_hit(spark: SparkSession, out: str, inputs: Sequence[str], rerun: bool = False) -> bool:
+    """Whether ``out`` is there and newer than all its inputs; an input that is not there makes it stale."""
+    made, moved = _moved(spark, out), [_moved(spark, p) for p in inputs]
+    return not rerun and made is not None and None not in moved and all(made >= m for m in moved)
+
+
 def column_report(df: DataFrame, declared: Sequence[str]) -> DataFrame:
     """(Column, Status): exported, left behind, or declared but absent."""
     here, want = set(df.columns), set(declared)

@@ -31,7 +31,7 @@ SHAPES: dict[str, str] = {
     # Spans of documents, 0-based and half open, with labels, producers and parties.
     "spans": """
         SELECT l_orderkey AS DocID, CAST(l_partkey % 900 AS BIGINT) AS Start, CAST(l_partkey % 900 AS BIGINT) + CAST(l_quantity AS BIGINT) AS Stop, CAST(l_linenumber AS BIGINT) AS SpanNo,
-            CASE l_linenumber % 4 WHEN 0 THEN 'DATE' WHEN 1 THEN 'MONEY' WHEN 2 THEN 'GPE' ELSE 'ORG' END AS Label, concat('model', CAST(l_suppkey % 3 AS STRING)) AS Producer,
+            CASE WHEN l_linenumber = 7 THEN 'TERM' WHEN l_linenumber % 4 = 0 THEN 'DATE' WHEN l_linenumber % 4 = 1 THEN 'MONEY' WHEN l_linenumber % 4 = 2 THEN 'GPE' ELSE 'ORG' END AS Label, concat('model', CAST(l_suppkey % 3 AS STRING)) AS Producer,
             concat('P', CAST(l_suppkey % 5 AS STRING)) AS PartyKey, CASE WHEN l_returnflag = 'R' THEN 'registrant' WHEN l_returnflag = 'A' THEN 'cofiler' ELSE 'counterparty' END AS PartyRole,
             l_extendedprice AS Amount, l_discount AS Score, CAST(l_shipdate AS DATE) AS DateValue, l_linestatus AS Status, l_shipmode AS Kind
         FROM (SELECT *, CASE l_partkey % 4 WHEN 0 THEN 'RedactExplicit' WHEN 1 THEN 'RedactSymbol' WHEN 2 THEN 'OmitExplicit' ELSE 'RedactBare' END AS l_shipmode FROM lineitem) q""",
@@ -60,7 +60,21 @@ SHAPES: dict[str, str] = {
     "hits": """
         SELECT l_orderkey AS DocID, CASE WHEN l_partkey % 3 = 0 THEN 'Pandemic' WHEN l_partkey % 3 = 1 THEN 'War' ELSE 'Climate' END AS Family,
             concat('term', CAST(l_partkey % 12 AS STRING)) AS Term, CAST(1 + l_partkey % 900 AS BIGINT) AS StartAt, CAST(l_partkey % 1000 AS DOUBLE) / 1000 AS RelPos
-        FROM lineitem WHERE l_linenumber <= 3""",
+        FROM lineitem""",
+    # Mentions of places by name and class, attached to parties, and a gazetteer of them: every class, names with one parent or
+    # two, codes that are there or 'nan', and names of two words.
+    "mentions": """
+        SELECT l_orderkey AS DocID, CAST(l_linenumber AS BIGINT) AS SpanNo, concat('Port ', CASE WHEN l_partkey % 3 = 0 THEN 'ham' ELSE 'Ville' END, CAST(l_partkey % 31 AS STRING)) AS Name,
+            CASE l_suppkey % 4 WHEN 0 THEN 'Country' WHEN 1 THEN 'US State' WHEN 2 THEN 'US County' ELSE 'US Populated Place' END AS Class, CASE WHEN l_returnflag = 'R' THEN 'registrant' ELSE 'counterparty' END AS PartyRole
+        FROM lineitem""",
+    "gazetteer": """
+        SELECT DISTINCT upper(concat('Port ', CASE WHEN l_partkey % 3 = 0 THEN 'ham' ELSE 'Ville' END, CAST(l_partkey % 29 AS STRING))) AS PlaceKey,
+            CASE l_suppkey % 4 WHEN 0 THEN 'Country' WHEN 1 THEN 'US State' WHEN 2 THEN 'US County' ELSE 'US Populated Place' END AS Class,
+            lower(concat('Port ', CASE WHEN l_partkey % 3 = 0 THEN 'ham' ELSE 'Ville' END, CAST(l_partkey % 29 AS STRING))) AS Unit,
+            CASE WHEN l_partkey % 29 % 5 = 0 THEN 'nan' ELSE concat('S', CAST(l_partkey % 29 AS STRING)) END AS State, concat('C', CAST(l_partkey % 29 AS STRING)) AS County,
+            CASE WHEN l_partkey % 29 % 3 = 0 THEN 'CA-QC' WHEN l_partkey % 29 % 3 = 1 THEN 'MX' ELSE 'nan' END AS Iso2, CASE WHEN l_suppkey % 4 = 0 AND l_partkey % 29 % 4 <> 0 THEN 'DEU' ELSE 'nan' END AS Iso3,
+            CAST(CASE WHEN l_partkey % 29 % 7 = 3 THEN 2 ELSE 1 END AS BIGINT) AS NParent
+        FROM lineitem""",
     # Contract prose, made of an order's columns.
     "contracts": """
         SELECT o_orderkey AS DocID, concat('This Agreement is dated as of ', DATETEXT(o_orderdate), ' between CUSTOMER ', CAST(o_custkey AS STRING), ' HOLDINGS, INC. and ACME TRADING L.P. It shall continue in effect for a period of ',

@@ -1,7 +1,9 @@
 """The incremental store: a ledger of outcomes, spans of documents, a manifest of models.
 
-A table is a folder of Parquet parts. A change writes the next version of the table whole and then its
-pointer, so a reader sees the old version or the new, and a job that dies leaves the old.
+A table is a folder of numbered parts, each a Parquet folder that is there once it is committed. A pass appends the
+parts of its own documents and rewrites nothing; a reader takes, of each key, the rows of its latest part. After
+``COMPACT`` parts a table's present rows are written as one full part, before which nothing is read. A job that dies leaves what
+was committed before it.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 
 LEDGER = "DocID long, Model string, Entity string, Status string, RunAt timestamp"
 MANIFEST = "Model string, Entity string, SpecHash string"
+COMPACT = 32  # parts of a table after which its present rows become one
 STATUS = ["error", "timeout", "hit", "nohit"]  # an outcome earlier in the list wins
 
 
@@ -27,30 +30,55 @@ class Store:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _version(self, table: str) -> int:
+    def _parts(self, table: str) -> list[tuple[int, str]]:
+        """(number, name) of the committed parts from the last full one on."""
         at = self._path(f"{self.folder}/{table}")
-        if not self._fs.exists(at):
-            return 0
-        found = [s.getPath().getName() for s in self._fs.listStatus(at)]
-        return max([int(n[1:]) for n in found if n.startswith("v") and self._fs.exists(self._path(f"{self.folder}/{table}/{n}/_SUCCESS"))], default=0)
-
-    def read(self, table: str, schema: str) -> DataFrame:
-        version = self._version(table)
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{table}/v{version}") if version else self.spark.createDataFrame([], schema)
+        names = [x.getPath().getName() for x in self._fs.listStatus(at)] if self._fs.exists(at) else []
+        found = sorted((int(n[1:]), n) for n in names if n[0] in "pf" and self._fs.exists(self._path(f"{self.folder}/{table}/{n}/_SUCCESS")))
+        full = [i for i, (_, n) in enumerate(found) if n[0] == "f"]
+        return found[full[-1] :] if full else found
+
+    def append(self, table: str, rows: DataFrame, number: int | None = None, full: bool = False) -> None:
+        """Commit a part; a full one stands for all before it, of which those before the last full one go."""
+        before = self._parts(table)
+        number = number or (before[-1][0] if before else 0) + 1
+        rows.write.mode("overwrite").parquet(f"{self.folder}/{table}/{'f' if full else 'p'}{number}")
+        if full and before:
+            for x in self._fs.listStatus(self._path(f"{self.folder}/{table}")):
+                name = x.getPath().getName()
+                if name[1:].isdigit() and int(name[1:]) < before[0][0]:
+                    self._fs.delete(x.getPath(), True)
+
+    def parts(self, table: str, schema: str) -> DataFrame:
+        """All rows from the last full part on, with the number of their part."""
+        paths = [f"{self.folder}/{table}/{n}" for _, n in self._parts(table)]
+        part = F.regexp_extract(F.col("_metadata.file_path"), "/[pf]([0-9]+)/[^/]*$", 1).cast("long").alias("_part")
+        return self.spark.read.schema(schema).parquet(*paths).select("*", part) if paths else self.spark.createDataFrame([], f"{schema}, _part long")
+
+    def _latest(self, table: str, schema: str, key: Sequence[str]) -> DataFrame:
+        """Of each key, its row in the latest part."""
+        rows = self.parts(table, schema)
+        rest = [c for c in rows.columns if c not in (*key, "_part")]
+        last = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "_part").alias("_row"))
+        return last.select(*key, "_row.*").select(*[c for c in rows.columns if c != "_part"])
 
     def replace(self, table: str, rows: DataFrame) -> None:
-        """The next version; the one before it is kept for readers, older ones go."""
-        version = self._version(table)
-        rows.write.mode("overwrite").parquet(f"{self.folder}/{table}/v{version + 1}")
-        if version > 1:
-            self._fs.delete(self._path(f"{self.folder}/{table}/v{version - 1}"), True)
+        """A full part: what the table holds from now on."""
+        self.append(table, rows, full=True)
 
     @property
     def ledger(self) -> DataFrame:
-        return self.read("ledger", LEDGER)
+        return self._latest("ledger", LEDGER, ["DocID", "Model", "Entity"]).where("Status is not null")
+
+    @property
+    def manifest(self) -> DataFrame:
+        return self._latest("manifest", MANIFEST, ["Model", "Entity"]).where("SpecHash is not null")
 
     def spans(self, entity: str, schema: str) -> DataFrame:
-        return self.read(f"spans-{entity}", schema)
+        """The spans that each document was given last; none where that was none."""
+        rows = self.parts(f"spans-{entity}", schema)
+        last = self.parts(f"docs-{entity}", "DocID long").groupBy("DocID").agg(F.max("_part").alias("_part"))
+        return rows.join(last, ["DocID", "_part"], "left_semi").drop("_part")
 
     def pending(self, corpus: DataFrame, model: str, entities: Sequence[str], limit: int | None = None) -> DataFrame:
         """Documents without an outcome for every entity; a limit draws them in the order of md5(DocID)."""
@@ -60,12 +88,17 @@ class Store:
 
     def register_model(self, model: str, entities: Sequence[str], spec: str) -> None:
         """Record the hash of a model's constants; an error if it moved under the same name."""
-        known = self.read("manifest", MANIFEST)
+        known = self.manifest
         moved = known.where((F.col("Model") == model) & F.col("Entity").isin(list(entities)) & (F.col("SpecHash") != spec)).count()
         if moved:
             raise ValueError(f"the constants of {model} changed; give it another name or clear it")
         new = self.spark.createDataFrame([(model, e, spec) for e in entities], MANIFEST)
-        self.replace("manifest", known.join(new, ["Model", "Entity"], "left_anti").unionByName(new))
+        self._add("manifest", new.join(known, ["Model", "Entity"], "left_anti"), MANIFEST, ["Model", "Entity"])
+
+    def _add(self, table: str, rows: DataFrame, schema: str, key: Sequence[str]) -> None:
+        self.append(table, rows)
+        if len(self._parts(table)) > COMPACT:
+            self.replace(table, self._latest(table, schema, key))
 
     def write_outcomes(self, docs: DataFrame, found: DataFrame, model: str, entities: Sequence[str]) -> None:
         """An outcome for each document and entity, in place of earlier ones: error before timeout before hit.
@@ -79,31 +112,49 @@ class Store:
         grid = docs.select("DocID").distinct().crossJoin(F.broadcast(self.spark.createDataFrame([(e,) for e in entities], "Entity string")))
         outcome = F.when(F.col("f").isNotNull(), F.element_at(F.array(*[F.lit(s) for s in STATUS]), F.col("f").cast("int"))).when(F.col("hit"), "hit").otherwise("nohit")
         new = grid.join(failed, "DocID", "left").join(hit, ["DocID", "Entity"], "left").select("DocID", F.lit(model).alias("Model"), "Entity", outcome.alias("Status"), F.current_timestamp().alias("RunAt"))
-        self.replace("ledger", self.ledger.join(new, ["DocID", "Model", "Entity"], "left_anti").unionByName(new))
+        self._add("ledger", new, LEDGER, ["DocID", "Model", "Entity"])
 
     def write_spans(self, entity: str, docs: DataFrame, rows: DataFrame) -> None:
         """The spans of ``docs`` in place of those they had; the table's columns are those of its first write."""
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-        if self._version(f"spans-{entity}"):
-            old = self.spark.read.parquet(f"{self.folder}/spans-{entity}/v{self._version(f'spans-{entity}')}")
-            if old.dtypes != rows.dtypes:
-                raise ValueError(f"the columns of {entity} are fixed")
-        kept = self.spans(entity, schema).join(docs.select("DocID").distinct(), "DocID", "left_anti")
-        self.replace(f"spans-{entity}", kept.unionByName(rows))
+        spans, ids = f"spans-{entity}", f"docs-{entity}"
+        there = self._parts(spans)
+        if there and self.spark.read.parquet(f"{self.folder}/{spans}/{there[0][1]}").dtypes != rows.dtypes:
+            raise ValueError(f"the columns of {entity} are fixed")
+        number = max([n for n, _ in there + self._parts(ids)], default=0) + 1
+        self.append(spans, rows, number)
+        self.append(ids, docs.select(F.col("DocID").cast("long")).distinct(), number)  # only now are the spans seen
+        if len(self._parts(ids)) > COMPACT:
+            whole = self.spans(entity, schema)
+            every = self.parts(ids, "DocID long").select("DocID").distinct()
+            self.append(spans, whole, number + 1, full=True)
+            self.append(ids, every, number + 1, full=True)
 
     def clear(self, model: str, entity: str | None = None) -> None:
-        """Forget one model, or one entity of it."""
+        """Forget one model, or one entity of it: later rows without an outcome hide those there were."""
         gone = (F.col("Model") == model) & (F.lit(entity is None) | (F.col("Entity") == F.lit(entity)))
-        self.replace("ledger", self.ledger.where(~gone))
-        self.replace("manifest", self.read("manifest", MANIFEST).where(~gone))
+        self._add("ledger", self.ledger.where(gone).withColumn("Status", F.lit(None).cast("string")), LEDGER, ["DocID", "Model", "Entity"])
+        self._add("manifest", self.manifest.where(gone).withColumn("SpecHash", F.lit(None).cast("string")), MANIFEST, ["Model", "Entity"])
 
     def run_pass(self, corpus: DataFrame, extract: Callable[[DataFrame], DataFrame], model: str, entities: Sequence[str], spec: str, limit: int | None = None) -> int:
         """Extract what is pending; spans are written before outcomes, so a crash between repeats work and loses none."""
         self.register_model(model, entities, spec)
-        todo = self.pending(corpus, model, entities, limit)
+        return self._run(self.pending(corpus, model, entities, limit), extract, model, entities)
+
+    def run_chunks(self, corpus: DataFrame, rules: Callable[[DataFrame], DataFrame], model: str, entities: Sequence[str], spec: str, chunks: int) -> list[int]:
+        """A pass over what is pending, committed chunk by chunk: documents are dealt by a hash, once; the numbers of
+        documents done are returned. A pass that dies does again only the chunks that it had not committed."""
+        self.register_model(model, entities, spec)
+        dealt = f"{self.folder}/staged/chunks"
+        todo = self.pending(corpus, model, entities).withColumn("_chunk", F.pmod(F.xxhash64("DocID"), F.lit(chunks)))
+        todo.write.mode("overwrite").partitionBy("_chunk").parquet(dealt)
+        kept = self.spark.read.schema(todo.schema).parquet(dealt)
+        return [self._run(kept.where(F.col("_chunk") == k).drop("_chunk"), rules, model, entities) for k in range(chunks)]
+
+    def _run(self, todo: DataFrame, extract: Callable[[DataFrame], DataFrame], model: str, entities: Sequence[str]) -> int:
         staged = f"{self.folder}/staged"
         todo.write.mode("overwrite").parquet(f"{staged}/docs")
-        docs = self.spark.read.parquet(f"{staged}/docs")
+        docs = self.spark.read.schema(todo.schema).parquet(f"{staged}/docs")
         extract(docs).write.mode("overwrite").parquet(f"{staged}/spans")
         found = self.spark.read.parquet(f"{staged}/spans")
         for entity in entities:

@@ -36,6 +36,58 @@ def test_a_pass_does_only_what_is_pending(spark, store):
     assert sorted(r.DocID for r in store.spans("DATE", S.SCHEMA).collect()) == [1, 3, 5]
 
 
+def test_a_pass_that_dies_is_repeated_without_doubles(spark, store, monkeypatch):
+    """The first run dies after its spans and before its outcomes; passes append and rewrite nothing."""
+    whole = store.write_outcomes
+    monkeypatch.setattr(store, "write_outcomes", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        run(store, docs_of(spark, 1, 2, 3))
+    monkeypatch.setattr(store, "write_outcomes", whole)
+    first = store._parts("spans-DATE")
+    assert store.ledger.count() == 0 and run(store, docs_of(spark, 1, 2, 3)) == 3
+    assert sorted(r.DocID for r in store.spans("DATE", S.SCHEMA).collect()) == [1, 3]
+    assert store._parts("spans-DATE")[: len(first)] == first
+
+
+def test_spans_of_a_document_read_again_are_replaced_also_by_none(spark, store):
+    schema = "DocID long, Start long"
+    both, none = spark.createDataFrame([(1, 5), (2, 6)], schema), spark.createDataFrame([], schema)
+    store.write_spans("X", both, both)
+    store.write_spans("X", both.where("DocID = 1"), none)
+    assert [tuple(r) for r in store.spans("X", schema).collect()] == [(2, 6)]
+
+
+def test_many_parts_become_one(spark, store, monkeypatch):
+    monkeypatch.setattr(St, "COMPACT", 3)
+    for i in range(1, 7):
+        run(store, docs_of(spark, *range(1, i + 1)))
+    assert len(store._parts("ledger")) <= 4 and len(store._parts("spans-DATE")) <= 4
+    assert sorted(r.DocID for r in store.spans("DATE", S.SCHEMA).collect()) == [1, 3, 5]
+    assert store.ledger.count() == 12 and run(store, docs_of(spark, *range(1, 7))) == 0
+
+
+def test_chunks_are_committed_one_by_one(spark, store):
+    rules = lambda d: S.extract(d, ["DATE"], model="m")
+    done = store.run_chunks(docs_of(spark, *range(1, 21)), rules, "m", ["DATE"], "spec", 3)
+    assert sum(done) == 20 and len(done) == 3
+    assert sum(store.run_chunks(docs_of(spark, *range(1, 25)), rules, "m", ["DATE"], "spec", 2)) == 4
+    assert store.spans("DATE", S.SCHEMA).count() == 12
+
+
+def test_cache_is_good_until_an_input_moves(spark, tmp_path):
+    import time
+
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.range(3).write.parquet(source)
+    assert not X.cache_hit(spark, out, [source])
+    time.sleep(1.1)
+    spark.range(3).write.parquet(out)
+    assert X.cache_hit(spark, out, [source]) and not X.cache_hit(spark, out, [source], rerun=True)
+    time.sleep(1.1)
+    spark.range(4).write.mode("append").parquet(source)
+    assert not X.cache_hit(spark, out, [source]) and not X.cache_hit(spark, out, [str(tmp_path / "gone")])
+
+
 def test_limits_draw_the_same_documents(spark, store):
     corpus = docs_of(spark, *range(1, 30))
     draw = lambda: [r.DocID for r in store.pending(corpus, "m", ["DATE"], 5).collect()]
@@ -80,6 +132,13 @@ def test_publishing(spark, tmp_path):
     assert X.folder_stamp(spark.createDataFrame([("p", 3)], "Path string, Bytes long")).count() == 1
 
 
+def test_parties_of_long_chains_settle(spark):
+    """A chain of 40 names, each the start of the next: more steps than any fixed number of rounds once allowed."""
+    rows = [(1, " ".join(f"W{j}" for j in range(i + 1))) for i in range(40)]
+    got = P.group_parties(spark.createDataFrame(rows, "DocID long, Key string")).collect()
+    assert {r.PartyKey for r in got} == {"W0"}
+
+
 def test_parties_merge_within_a_document(spark):
     rows = [(1, "ACME"), (1, "ACME TRADING"), (1, "ACME TRADING NORTH"), (1, "BETA"), (1, "GAMMA BETA"), (2, "BETA"), (2, "X BETA"), (2, "Y BETA"), (3, "ACME")]
     got = {(r.DocID, r.Key): (r.PartyKey, r.MergeKind) for r in P.group_parties(spark.createDataFrame(rows, "DocID long, Key string")).collect()}
