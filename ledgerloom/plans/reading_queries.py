@@ -384,7 +384,7 @@ def manifest(t: Tables) -> DataFrame:
     store.register_model("m", ["DATE", "MONEY"], "abc")
     store.register_model("n", ["DATE"], "abc")
     store.register_model("m", ["DATE"], "abc")
-    return store.read("manifest", St.MANIFEST)
+    return store.manifest
 
 
 @query("spec_hash", "SELECT true AS Stable, true AS Moves")

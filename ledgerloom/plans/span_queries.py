@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import spans as S
@@ -69,20 +69,29 @@ TERMS = {"shall be governed": "Law", "fixed price": "Price", "price is": "Price"
 def text_hits(docs: DataFrame, terms: dict[str, str], cue: int = 80) -> DataFrame:
     """(DocID, Family, Term, StartAt, StopAt, RelPos, CueBefore, CueAfter): every hit of every phrase, 1-based and inclusive.
 
-    Texts that no phrase is in are rejected by one expression first; the rest are split at each phrase, in the JVM.
+    One pass over the texts, in the JVM: those that no phrase is in are rejected by one expression; the rest are
+    split at each phrase, whose places are running sums of lengths, and all hits of a text are put out together.
     """
-    hit = docs.where(F.col("Text").rlike(any_pattern(list(terms)))).withColumn("DocLen", F.length("Text"))
-    out = None
-    for term, family in terms.items():
-        pattern = phrase_pattern(term)
-        found = F.regexp_extract_all("Text", F.lit(pattern), F.lit(0))
-        gaps = F.split("Text", pattern, -1)
-        before = lambda i: F.aggregate(F.slice(F.col("g"), 1, i + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice(F.col("m"), 1, i), F.lit(0), lambda a, x: a + F.length(x))
-        rows = hit.select("DocID", "Text", "DocLen", found.alias("m"), gaps.alias("g")).where(F.size("m") > 0).select("DocID", "Text", "DocLen", F.posexplode(F.transform("m", lambda x, i: F.struct((before(i) + 1).alias("a"), F.length(x).alias("n")))).alias("k", "h"))
-        rows = rows.select("DocID", F.lit(family).alias("Family"), F.lit(term).alias("Term"), F.col("h.a").alias("StartAt"), (F.col("h.a") + F.col("h.n") - 1).alias("StopAt"), (F.col("h.a") / F.col("DocLen")).alias("RelPos"),
-            F.substr("Text", F.greatest(F.col("h.a") - cue, F.lit(1)), F.least(F.lit(cue), F.col("h.a") - 1)).alias("CueBefore"), F.substr("Text", F.col("h.a") + F.col("h.n"), F.lit(cue)).alias("CueAfter"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    hit = S.spread(docs.select("DocID", "Text")).where(F.col("Text").rlike(any_pattern(list(terms)))).withColumn("DocLen", F.length("Text"))
+    place = "struct<StartAt:int,Length:int>"
+
+    def places(term: str) -> Column:
+        """Of each occurrence, its place and length: the gaps and matches before it, added up."""
+        gaps, found = F.split("Text", phrase_pattern(term), -1), F.regexp_extract_all("Text", F.lit(phrase_pattern(term)), F.lit(0))
+        sizes = F.zip_with(F.slice(F.transform(gaps, F.length), F.lit(1), F.size(found)), F.transform(found, F.length), lambda g, m: F.struct(g.alias("g"), m.alias("m")))
+        start = F.struct(F.lit(1).alias("at"), F.array().cast(f"array<{place}>").alias("out"))
+        step = lambda a, x: F.struct((a["at"] + x["g"] + x["m"]).alias("at"), F.array_append(a["out"], F.struct((a["at"] + x["g"]).alias("StartAt"), x["m"].alias("Length"))).alias("out"))
+        return F.aggregate(sizes, start, step, lambda a: a["out"])
+
+    def named(term: str, family: str) -> Column:
+        return F.transform(places(term), lambda h: F.struct(F.lit(family).alias("Family"), F.lit(term).alias("Term"), h["StartAt"].alias("StartAt"), h["Length"].alias("Length")))
+
+    rows = hit.select("DocID", "Text", "DocLen", F.explode(F.concat(*[named(*x) for x in terms.items()])).alias("h"))
+    a, n = F.col("h.StartAt"), F.col("h.Length")
+    return rows.select(
+        "DocID", "h.Family", "h.Term", "h.StartAt", (a + n - 1).alias("StopAt"), (a / F.col("DocLen")).alias("RelPos"),
+        F.substr("Text", F.greatest(a - cue, F.lit(1)), F.least(F.lit(cue), a - 1)).alias("CueBefore"), F.substr("Text", a + n, F.lit(cue)).alias("CueAfter"),
+    )
 
 
 _TERM_HITS = "WITH t(Term, Family, Pat) AS (VALUES ('shall be governed', 'Law', 'shall be governed'), ('price is', 'Price', 'price is'), ('confidential treatment', 'Redaction', 'confidential treatment'), ('notice', 'Notice', 'notice')), h AS (SELECT DocID, Family, Term, CAST(strpos(lower(Text), Pat) AS INT) AS StartAt, CAST(strpos(lower(Text), Pat) + length(Pat) - 1 AS INT) AS StopAt, Text FROM contracts, t WHERE strpos(lower(Text), Pat) > 0)"
