@@ -22,10 +22,11 @@ from .tokens import part_encoder
 
 CAPACITY = 4096
 GROUP_TOKENS = 12_000_000  # tokens packed by one task; a group leaves about one bin unfilled
+GROUP_ROWS = 200_000  # pieces packed by one task, where they are short
 
 
 def best_fit(lengths: np.ndarray, tokens: int, documents: int, attention: float, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 0.05, 0.05)) -> tuple[np.ndarray, np.ndarray]:
-    """The bin and offset of each length. ``rule``: "norm" or "dot"."""
+    """The bin and offset of each length. ``rule``: "norm" or "dot". Of equal lengths the first comes first; no length, no bin."""
     whole = np.array([tokens, documents, attention], float)
     if len(lengths) and (lengths.max() > tokens or float(lengths.max()) ** 2 > attention or documents < 1):
         raise ValueError("a piece exceeds a capacity")
@@ -88,13 +89,14 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
 def pack(items: DataFrame, capacity: int = CAPACITY, documents: int = CAPACITY, attention: float = float(CAPACITY) ** 2, rule: str = "norm", group_tokens: int = GROUP_TOKENS) -> DataFrame:
     """Adds sequence_id and offset to rows with a column ``length`` (1 to ``capacity``).
 
-    Rows are dealt at random to groups of about ``group_tokens`` tokens, and each group is packed by
+    Rows are dealt at random to groups of about ``group_tokens`` tokens (or ``GROUP_ROWS`` rows), and each group is packed by
     itself: a bin of each may stay unfilled, no other task is waited for, and no value of any column
-    can gather many rows in one group. The defaults for documents and attention cost never bind.
+    can gather many rows in one group. Equal lengths go by doc_id and piece; an empty table gives no rows. With the
+    defaults, documents and attention cost never bind, as fewest sequences are asked for: they only enter the choice.
     """
     base = stored(items, "items")
-    total = int(base.agg(F.sum("length")).first()[0] or 0)
-    groups = max(1, -(-total // group_tokens))
+    total, rows = base.agg(F.sum("length"), F.count(F.lit(1))).first()
+    groups = max(1, -(-int(total or 0) // group_tokens), -(-rows // GROUP_ROWS))
     out = base.schema.add("sequence_id", "long").add("offset", "long")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:

@@ -464,6 +464,42 @@ def test_best_fit_keeps_every_capacity():
     assert place.max() + 1 <= 1.01 * lengths.sum() / 1000 + 1
 
 
+def test_best_fit_chooses_the_best_of_all_open_bins():
+    """Each placement replayed by plain loops over all bins, with capacities of documents and attention that bind."""
+    rng = np.random.default_rng(4)
+    lengths = rng.integers(1, 90, 300)
+    whole, weight = (100.0, 4.0, 6000.0), (1.0, 0.05, 0.05)
+    lengths = lengths[lengths**2 <= whole[2]]
+    for rule in ("norm", "dot"):
+        place, offset = packing.best_fit(lengths, 100, 4, 6000.0, rule)
+        left, bound = {}, set()
+        for i in np.argsort(-lengths, kind="stable").tolist():
+            n = float(lengths[i])
+            need = (n, 1.0, n * n)
+            score = {}
+            for b, rest in left.items():
+                if all(r >= x for r, x in zip(rest, need)):
+                    if rule == "dot":
+                        score[b] = -sum(w * x / c * r / c for w, x, r, c in zip(weight, need, rest, whole))
+                    else:
+                        score[b] = sum(w * ((r - x) / c) ** 2 for w, x, r, c in zip(weight, need, rest, whole))
+                elif rest[0] >= n:
+                    bound.add("documents" if rest[1] < 1 else "attention")
+            b = int(place[i])
+            assert (b not in left) == (not score) and (not score or score[b] <= min(score.values()) + 1e-9)
+            rest = left.get(b, whole)
+            assert offset[i] == whole[0] - rest[0]
+            left[b] = tuple(r - x for r, x in zip(rest, need))
+        assert bound == {"documents", "attention"}
+
+
+def test_short_pieces_are_dealt_to_more_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_ROWS", 100)
+    items = spark.createDataFrame([(i, 0, 0, 1, 0) for i in range(1000)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack(items).collect()
+    assert len({r.sequence_id >> 32 for r in got}) == 10 and len({(r.sequence_id, r.offset) for r in got}) == 1000
+
+
 def test_packing(table):
     df, docs = table
     got = packing.pack(packing.pieces(df, PATH, 512), 512, 512, 512.0**2, group_tokens=40_000).collect()
