@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import wilson_lower
+from ..sources.files import stored
 
 NONE = "(none)"
 
@@ -86,22 +86,24 @@ def term_statistics(incidence: DataFrame, labels: DataFrame, floor: float = 0.0,
 def greedy_cover(statistics: DataFrame, incidence: DataFrame, class_size: DataFrame, min_gain: float = 0.01, most: int = 25) -> DataFrame:
     """Of each class, terms in order of power that add at least ``min_gain`` of the class's documents.
 
-    Sequential by nature, so a class is one group; documents meet only the few hundred terms of their class.
-    ``incidence`` is (Class, DocID, Term).
+    ``incidence`` is (Class, DocID, Term). Each round chooses, for all classes at once, the strongest term that still adds
+    enough: a term that adds too little once never adds more later, so this is the walk through the terms in order. Gains are
+    sums over executors, and what is not yet covered is written to the shared folder after each round.
     """
-
-    def choose(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        covered: set[int] = set()
-        out = []
-        for (_, term), group in rows.sort_values(["Power", "Term"], ascending=[False, True]).groupby([-rows["Power"], "Term"], sort=True):
-            docs = set(group["DocID"]) - covered
-            if len(out) < most and len(docs) >= min_gain * group["NClass"].iloc[0]:
-                covered |= docs
-                out.append((key[0], term, len(out) + 1, len(docs), len(covered)))
-        return pd.DataFrame(out, columns=["Class", "Term", "Rank", "Gain", "Covered"])
-
-    met = incidence.join(statistics.select("Class", "Term", "Power"), ["Class", "Term"]).join(F.broadcast(class_size), "Class")
-    return met.groupBy("Class").applyInPandas(choose, "Class string, Term string, Rank int, Gain long, Covered long")
+    left = stored(incidence.join(statistics.select("Class", "Term", "Power"), ["Class", "Term"]).join(F.broadcast(class_size), "Class").select("Class", "Term", "Power", "NClass", "DocID"))
+    chosen = None
+    for rank in range(1, most + 1):
+        gains = left.groupBy("Class", "Term", "Power", "NClass").agg(F.countDistinct("DocID").alias("Gain")).where(F.col("Gain") >= min_gain * F.col("NClass"))
+        first = gains.groupBy("Class").agg(F.min_by(F.struct("Term", "Gain"), F.struct(-F.col("Power"), F.col("Term"))).alias("f"))
+        pick = stored(first.select("Class", "f.Term", F.lit(rank).alias("Rank"), "f.Gain"))
+        if pick.isEmpty():
+            break
+        chosen = pick if chosen is None else chosen.union(pick)
+        covered = left.join(pick.select("Class", "Term"), ["Class", "Term"], "left_semi").select("Class", "DocID")
+        left = stored(left.join(covered, ["Class", "DocID"], "left_anti").select(*left.columns))
+    if chosen is None:
+        return statistics.sparkSession.createDataFrame([], "Class string, Term string, Rank int, Gain long, Covered long")
+    return chosen.withColumn("Covered", F.sum("Gain").over(Window.partitionBy("Class").orderBy("Rank")))
 
 
 def agreement_panel(panel: DataFrame, engines: Sequence[str]) -> DataFrame:

@@ -346,9 +346,8 @@ def locate_items(t: Tables) -> DataFrame:
     return met.select("DocID", "Start", "SpanNo", F.coalesce(F.lead("Start").over(Window.partitionBy("DocID").orderBy("Start", "SpanNo")), "DocLen").alias("NextStart"))
 
 
-@query("clf_prepare_sample")
+@query("clf_prepare_sample", "SELECT DocID, TrueLabel, CAST((row_number() OVER (PARTITION BY TrueLabel ORDER BY md5('42:' || DocID), DocID) - 1) % 5 + 1 AS INT) AS Fold FROM predictions")
 def prepare_sample(t: Tables) -> DataFrame:
-    """Folds by a seeded hash, which other engines do not have: sizes are tested instead."""
     return W.folds(t.predictions.select("DocID", "TrueLabel"), "TrueLabel", "DocID")
 
 

@@ -461,10 +461,10 @@ def producer_grid(t: Tables) -> DataFrame:
     return A.pivot_fixed(t.spans, ["Label"], "Producer", ["model0", "model1", "model2"], {"n": F.countDistinct("DocID")}, 0)
 
 
-@query("ent_release_sample")
+@query("ent_release_sample", "SELECT DocID, CAST(dense_rank() OVER (ORDER BY DocID) AS INT) AS No FROM (SELECT DocID FROM register ORDER BY md5('42:' || DocID), DocID LIMIT 4) q")
 def release_sample(t: Tables) -> DataFrame:
-    """A seeded draw of four documents with their numbers: the hash is this engine's own."""
-    drawn = t.register.select("DocID").orderBy(F.xxhash64(F.lit(42), "DocID"), "DocID").limit(4)
+    """A seeded draw of four documents with their numbers."""
+    drawn = t.register.select("DocID").orderBy(W.seeded("DocID"), "DocID").limit(4)
     return drawn.withColumn("No", F.dense_rank().over(Window.orderBy("DocID")))
 
 
@@ -524,10 +524,10 @@ def item_examples(t: Tables) -> DataFrame:
     return short.union(t.register.orderBy(F.desc("nChars"), "DocID").limit(3).select(F.lit("longest"), "DocID", "nChars"))
 
 
-@query("llm_sample")
+@query("llm_sample", "SELECT DocID, TrueLabel FROM predictions QUALIFY row_number() OVER (PARTITION BY TrueLabel ORDER BY md5('42:' || DocID), DocID) <= 6")
 def stratified_sample(t: Tables) -> DataFrame:
-    """Equal numbers a class by a seeded hash, which is this engine's own."""
-    return W.top_per(t.predictions, ["TrueLabel"], 6, F.xxhash64(F.lit(42), "DocID"), F.col("DocID")).select("DocID", "TrueLabel")
+    """Equal numbers a class, by a seeded hash."""
+    return W.top_per(t.predictions, ["TrueLabel"], 6, W.seeded("DocID"), F.col("DocID")).select("DocID", "TrueLabel")
 
 
 @query("llm_examples", "SELECT DocID, TrueLabel FROM predictions WHERE Fold < 4 QUALIFY row_number() OVER (PARTITION BY TrueLabel ORDER BY md5(CAST(DocID AS STRING))) = 1")
