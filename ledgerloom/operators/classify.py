@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import wilson_lower
 from ..sources.files import stored
+from .windows import best_class
 
 NONE = "(none)"
 
@@ -106,6 +107,20 @@ def greedy_cover(statistics: DataFrame, incidence: DataFrame, class_size: DataFr
     return chosen.withColumn("Covered", F.sum("Gain").over(Window.partitionBy("Class").orderBy("Rank")))
 
 
+def apply_lexicon(tokens: DataFrame, lexicon: DataFrame, most_broadcast: int = 100_000) -> DataFrame:
+    """(DocID, Class, Power, Second): the class that the strongest lexicon term of each document speaks for.
+
+    ``tokens`` has DocID and an array of words, ``lexicon`` Class, Term (a word) and Power. Documents without any term, and
+    those where two classes are equally strong, have the class of none. Only distinct words leave a document; the
+    lexicon is broadcast if it is as small as lexicons are, else both are shuffled by word.
+    """
+    terms = lexicon.select("Term", "Class", "Power")
+    words = tokens.select("DocID", F.explode(F.array_distinct("Tokens")).alias("Term"))
+    hits = words.join(F.broadcast(terms) if terms.limit(most_broadcast + 1).count() <= most_broadcast else terms, "Term")
+    found = best_class(hits.select("DocID", "Class", "Power"), NONE)
+    return tokens.select("DocID").join(found, "DocID", "left").select("DocID", F.coalesce("Class", F.lit(NONE)).alias("Class"), "Power", "Second")
+
+
 def agreement_panel(panel: DataFrame, engines: Sequence[str]) -> DataFrame:
     """How often at least one of the first k engines is right, for each k, and what each adds.
 

@@ -173,6 +173,18 @@ def wilson(t: Tables) -> DataFrame:
     return t.register.select("DocID", F.round(wilson_lower(F.col("nWords") % 50, 50 + F.col("nChars") % 50), 9).alias("Lower"))
 
 
+_LEXICON = [("Romance", "les", 0.9), ("Romance", "que", 0.7), ("Germanic", "und", 0.9), ("English", "that", 0.8), ("English", "with", 0.6), ("English", "que", 0.7)]
+
+
+@query("kw_apply", "WITH lex(Class, Term, Power) AS (VALUES " + ", ".join(f"('{c}', '{w}', CAST({p} AS DOUBLE))" for c, w, p in _LEXICON) + """), w AS (SELECT DISTINCT doc_id AS DocID, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS Term FROM documents),
+    p AS (SELECT DocID, Class, max(Power) AS Power FROM w JOIN lex USING (Term) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY DocID ORDER BY Power DESC, Class) AS k, rank() OVER (PARTITION BY DocID ORDER BY Power DESC) AS tied FROM p),
+    b AS (SELECT DocID, count(*) FILTER (tied = 1) AS n, max(CASE WHEN k = 1 THEN Class END) AS First, max(Power) AS Power, max(CASE WHEN k = 2 THEN Class END) AS Second FROM r GROUP BY 1)
+    SELECT d.doc_id AS DocID, CASE WHEN b.n = 1 THEN First ELSE '(none)' END AS Class, b.Power, b.Second FROM documents d LEFT JOIN b ON d.doc_id = b.DocID""")
+def apply_lexicon(t: Tables) -> DataFrame:
+    tokens = t.documents.select(F.col("doc_id").alias("DocID"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("Tokens"))
+    return C.apply_lexicon(tokens, t.spark.createDataFrame(_LEXICON, "Class string, Term string, Power double"))
+
+
 @query("kw_select")
 def select_terms(t: Tables) -> DataFrame:
     """Greedy marginal coverage is sequential: tested against a plain loop."""

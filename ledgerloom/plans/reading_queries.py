@@ -84,6 +84,22 @@ def money(t: Tables) -> DataFrame:
     return each(_raw(t, "concat('$', CAST(DocID % 90 + 1 AS STRING), ' million')"), lambda x: [S.read_money(x, "symbol_scaled", "figure")], "DocID long, Amount string, Currency string")
 
 
+_FORM = (
+    "CASE DocID % 8 WHEN 0 THEN concat('par value $0.000', CAST(1 + DocID % 9 AS STRING), ' per share') WHEN 1 THEN concat('the sum of CHF ', CAST(1 + DocID % 900 AS STRING), '.500,25 net') "
+    "WHEN 2 THEN concat('R$', CAST(1 + DocID % 900 AS STRING), '.500.000') WHEN 3 THEN concat('a fee of $[***] and $', CAST(1 + DocID % 900 AS STRING), ',000.50') WHEN 4 THEN concat('NOK ', CAST(1 + DocID % 900 AS STRING), ' million') "
+    "WHEN 5 THEN concat('Section 10.', CAST(DocID % 90 AS STRING), ' of the Agreement, in U.S. Dollars') WHEN 6 THEN concat(CAST(1 + DocID % 9 AS STRING), ',000,000 Dollars') ELSE concat('E', CAST(1 + DocID % 900 AS STRING), ',000,000') END"
+)
+
+
+@query("money_forms", """SELECT DocID, unnest(CASE DocID % 8 WHEN 0 THEN [{'s': '$0.000' || (1 + DocID % 9), 'a': '0.000' || (1 + DocID % 9), 'c': 'USD'}] WHEN 1 THEN [{'s': 'CHF ' || (1 + DocID % 900) || '.500,25', 'a': (1 + DocID % 900) || '500.25', 'c': 'CHF'}]
+    WHEN 2 THEN [{'s': 'R$' || (1 + DocID % 900) || '.500.000', 'a': (1 + DocID % 900) || '500000', 'c': 'BRL'}] WHEN 3 THEN [{'s': '$[***]', 'a': NULL, 'c': 'USD'}, {'s': '$' || (1 + DocID % 900) || ',000.50', 'a': (1 + DocID % 900) || '000.5', 'c': 'USD'}]
+    WHEN 4 THEN [{'s': 'NOK ' || (1 + DocID % 900) || ' million', 'a': (1 + DocID % 900) || '000000', 'c': 'NOK'}] WHEN 6 THEN [{'s': (1 + DocID % 9) || ',000,000 Dollars', 'a': (1 + DocID % 9) || '000000', 'c': 'USD'}]
+    WHEN 7 THEN [{'s': 'E' || (1 + DocID % 900) || ',000,000', 'a': (1 + DocID % 900) || '000000', 'c': 'EUR'}] ELSE [] END, recursive := true) FROM register""".replace("SELECT DocID, unnest(", "SELECT DocID, s AS Span, a AS Amount, c AS Currency FROM (SELECT DocID, unnest(").replace(" FROM register", " FROM register) q"))
+def money_forms(t: Tables) -> DataFrame:
+    """Sub-cent, European, grouped, withheld, scaled, worded and damaged amounts, and text that is none."""
+    return each(_raw(t, _FORM), lambda x: [(x[a:b], e["Amount"], e["Currency"]) for a, b, _, _, e in S.money(x)], "DocID long, Span string, Amount string, Currency string")
+
+
 _BR = "CASE DocID % 6 WHEN 0 THEN '[* * *]' WHEN 1 THEN '[ CTR ]' WHEN 2 THEN '[____]' WHEN 3 THEN '[omitted]' WHEN 4 THEN '[...]' ELSE '[signature page follows]' END"
 
 
@@ -110,14 +126,17 @@ def classify_law(t: Tables) -> DataFrame:
 _TWO = S.compiled([("short", "abcde"), ("long", "defghijkl")])
 
 
-@query("keep_longest", "SELECT DocID, 'long' AS Kept FROM register")
+_OVER = "CASE DocID % 4 WHEN 0 THEN 'abcdefghijkl' WHEN 1 THEN 'abcde fgh' WHEN 2 THEN 'defghijkl and abcde' ELSE 'neither' END"
+
+
+@query("keep_longest", "SELECT DocID, unnest(CASE DocID % 4 WHEN 0 THEN ['long'] WHEN 1 THEN ['short'] WHEN 2 THEN ['long', 'short'] ELSE [] END) AS Kept FROM register")
 def keep_longest(t: Tables) -> DataFrame:
-    return each(_raw(t, "concat(CAST(DocID AS STRING), 'abcdefghijkl')"), lambda x: [(_TWO[k][0],) for *_, k in S.longest(x, _TWO)], "DocID long, Kept string")
+    return each(_raw(t, _OVER), lambda x: [(_TWO[k][0],) for *_, k in S.longest(x, _TWO)], "DocID long, Kept string")
 
 
-@query("keep_leftmost", "SELECT DocID, 'short' AS Kept FROM register")
+@query("keep_leftmost", "SELECT DocID, unnest(CASE DocID % 4 WHEN 0 THEN ['short'] WHEN 1 THEN ['short'] WHEN 2 THEN ['long', 'short'] ELSE [] END) AS Kept FROM register")
 def keep_leftmost(t: Tables) -> DataFrame:
-    return each(_raw(t, "concat(CAST(DocID AS STRING), 'abcdefghijkl')"), lambda x: [(_TWO[k][0],) for *_, k in S.leftmost(x, _TWO)], "DocID long, Kept string")
+    return each(_raw(t, _OVER), lambda x: [(_TWO[k][0],) for *_, k in S.leftmost(x, _TWO)], "DocID long, Kept string")
 
 
 PLACES = [("Palo Alto", "US County", False), ("Palo Alto", "US Populated Place", False), ("California", "US State", False), ("Turkey", "Country", False), ("Street", "US Populated Place", True)]
@@ -129,10 +148,13 @@ def scan(t: Tables) -> DataFrame:
     return each(_raw(t, "concat('In Palo Alto, California on Main Street roast Turkey ', CAST(DocID AS STRING))"), lambda x: [(x[a:b],) for a, b, *_ in g.scan(x)], "DocID long, Name string")
 
 
-@query("gate", "SELECT DocID, unnest(['Palo Alto', 'California']) AS Name FROM register")
+_PLACED = "CASE DocID % 4 WHEN 0 THEN 'In Palo Alto, California on Main Street roast Turkey' WHEN 1 THEN 'In Palo Alto alone' WHEN 2 THEN concat('Palo Alto ', repeat('x', 250), ' California') ELSE 'Turkey, California' END"
+
+
+@query("gate", "SELECT DocID, unnest(CASE DocID % 4 WHEN 0 THEN ['Palo Alto', 'California'] WHEN 1 THEN [] WHEN 2 THEN ['California'] ELSE ['Turkey', 'California'] END) AS Name FROM register")
 def gate(t: Tables) -> DataFrame:
     g = S.Gazetteer(PLACES)
-    return each(_raw(t, "concat('In Palo Alto, California on Main Street roast Turkey ', CAST(DocID AS STRING))"), lambda x: [(x[a:b],) for a, b, *_ in g.places(x)], "DocID long, Name string")
+    return each(_raw(t, _PLACED), lambda x: [(x[a:b],) for a, b, *_ in g.places(x)], "DocID long, Name string")
 
 
 @query("build_index", "SELECT n_name AS Name, CASE min(k) WHEN 1 THEN 'US State' WHEN 2 THEN 'Country' ELSE 'US County' END AS Kind, CASE WHEN count(DISTINCT n_regionkey) = 1 THEN min(n_regionkey) END AS Parent FROM (SELECT upper(n_name) AS n_name, n_regionkey, 2 AS k FROM nation UNION ALL SELECT upper(n_name), n_regionkey + n_nationkey % 2, 3 FROM nation WHERE n_nationkey < 9 UNION ALL SELECT upper(n_name), n_regionkey, 1 FROM nation WHERE n_nationkey = 3) q GROUP BY 1")

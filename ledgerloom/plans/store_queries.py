@@ -296,6 +296,11 @@ def cache_hit(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(states, "State string, Hit boolean")
 
 
+@query("run_plan", "WITH w(Model, Entity) AS (VALUES ('model0', 'DATE'), ('model0', 'GPE'), ('model1', 'MONEY'), ('model2', 'DATE')) SELECT w.Model, w.Entity, CAST(count(DISTINCT l.DocID) AS BIGINT) AS nDone, (SELECT count(*) FROM register) - count(DISTINCT l.DocID) AS nPending FROM w LEFT JOIN ledger l ON l.Model = w.Model AND l.Entity = w.Entity GROUP BY 1, 2")
+def run_plan(t: Tables) -> DataFrame:
+    return St.run_plan(t.register, t.ledger, [("model0", ["DATE", "GPE"]), ("model1", ["MONEY"]), ("model2", ["DATE"])])
+
+
 @query("txt_write_chunk", "SELECT DISTINCT DocID, Family, Term, StartAt FROM hits")
 def rewritten_hits(t: Tables) -> DataFrame:
     """A chunk that was scanned twice after a crash: hits are one for each document, term and place."""

@@ -163,6 +163,15 @@ class Store:
         return docs.count()
 
 
+def run_plan(corpus: DataFrame, ledger: DataFrame, runs: Sequence[tuple[str, Sequence[str]]]) -> DataFrame:
+    """(Model, Entity, nDone, nPending): what passes over the corpus would do, before any is started; no text is read."""
+    wanted = corpus.sparkSession.createDataFrame([(m, e) for m, entities in runs for e in entities], "Model string, Entity string")
+    done = ledger.join(corpus.select("DocID").distinct(), "DocID", "left_semi").groupBy("Model", "Entity").agg(F.countDistinct("DocID").alias("n"))
+    size = corpus.agg(F.countDistinct("DocID").alias("all"))  # one row
+    n = F.coalesce("n", F.lit(0)).cast("long")
+    return wanted.join(done, ["Model", "Entity"], "left").crossJoin(size).select("Model", "Entity", n.alias("nDone"), (F.col("all") - n).alias("nPending"))
+
+
 def policy_hash(parameters: dict, specs: Sequence[str]) -> str:
     """A name for a rule pass: sixteen digits of its parameters and of what it reads."""
     return hashlib.sha256(json.dumps([parameters, sorted(specs)], sort_keys=True).encode()).hexdigest()[:16]
