@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import shared_tokens
+from ..functions.text import norm_key, shared_tokens
 from ..sources.files import stored
 
 
@@ -55,3 +55,46 @@ def match_anchor(entities: DataFrame, anchors: DataFrame) -> DataFrame:
     n, k = F.size(F.split("Key", " ")), F.size(F.split("AnchorKey", " "))
     match = F.coalesce(shared_tokens(F.col("Key"), F.col("AnchorKey")) >= F.least(n, k), F.lit(False)) & F.col("AnchorKey").isNotNull()
     return met.select("DocID", "Key", match.alias("IsMatch"), (match & (n == k)).alias("IsExact"))
+
+
+def party_windows(mentions: DataFrame, lens: DataFrame, role: str = "registrant", tail: float = 0.1) -> DataFrame:
+    """``mentions`` with Centre, Dist, TailStart and DocLen: a document's window lies around the first mention of its party of
+    ``role``, and its tail is the last part of its text. Documents that do not mention that party have no centre."""
+    first = mentions.where(F.col("PartyRole") == role).groupBy("DocID").agg(F.min("Start").alias("Centre"))
+    met = mentions.join(lens.select("DocID", "DocLen"), "DocID").join(first, "DocID", "left")
+    return met.withColumn("Dist", F.col("Start") - F.col("Centre")).withColumn("TailStart", F.floor(F.col("DocLen") * (1 - tail)))
+
+
+def in_window(reach: Column | int) -> Column:
+    """Whether a mention of ``party_windows`` starts within ``reach`` characters of the centre, inside the text."""
+    half = F.lit(reach) if isinstance(reach, int) else reach
+    inside = F.col("Start").between(F.greatest(F.col("Centre") - half, F.lit(0)), F.least(F.col("Centre") + half, F.col("DocLen")))
+    return F.coalesce(inside, F.lit(False))
+
+
+def window_role(reach: int = 2000) -> Column:
+    """The part a mention plays: filer, co-filer, else counterparty in the window, else signatory in the tail, else other."""
+    own = F.col("PartyRole").isin("registrant", "cofiler")
+    return F.when(own, F.col("PartyRole")).when(in_window(reach), "counterparty").when(F.col("Start") >= F.col("TailStart"), "signatory").otherwise("other")
+
+
+def filer_keys(register: DataFrame, names: DataFrame) -> DataFrame:
+    """(DocID, FilerKey, IsPrimary): the normalised name of every filer of any copy of a document, once; its own filer counts first.
+
+    ``register`` has DocID, HashDocument and CIK, ``names`` (CIK, Name). The filers of a text are made distinct before
+    documents meet them, so a text of many copies is met by its few filers and not by all its copies.
+    """
+    keyed = register.join(names, "CIK").withColumn("FilerKey", norm_key(F.col("Name"))).where("FilerKey is not null")
+    filers = keyed.select("HashDocument", "FilerKey").distinct()
+    own = keyed.select("DocID", "FilerKey").distinct().withColumn("IsPrimary", F.lit(True))
+    met = register.select("DocID", "HashDocument").distinct().join(filers, "HashDocument")
+    return met.join(own, ["DocID", "FilerKey"], "left").select("DocID", "FilerKey", F.coalesce("IsPrimary", F.lit(False)).alias("IsPrimary")).distinct()
+
+
+def anchor_keys(labelled: DataFrame, register: DataFrame, names: DataFrame, addresses: DataFrame) -> DataFrame:
+    """(DocID, Class, AnchorName, AnchorKey, AnchorLen, Address): labelled documents with their filer's name, its key, and the
+    address on record of their filing, of several the first by order. What is not known is null."""
+    first = addresses.groupBy("HashIndex").agg(F.min_by("Address", "RecordNo").alias("Address"))
+    met = labelled.join(register.select("DocID", "CIK", "HashIndex"), "DocID", "left").join(names, "CIK", "left").join(first, "HashIndex", "left")
+    key = norm_key(F.col("Name"))
+    return met.select("DocID", "Class", F.col("Name").alias("AnchorName"), key.alias("AnchorKey"), F.length(key).cast("long").alias("AnchorLen"), "Address")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregates as A
 from ..operators import windows as W
 from ..operators.joins import first_per
+from ..operators import parties as P
 from ..sources.tables import Tables
 from .registry import query
 
@@ -351,12 +352,21 @@ def prepare_sample(t: Tables) -> DataFrame:
     return W.folds(t.predictions.select("DocID", "TrueLabel"), "TrueLabel", "DocID")
 
 
-@query("ent_window", "SELECT DocID, Start, SpanNo, Start - 450 AS Dist, CASE WHEN PartyRole = 'registrant' THEN 'registrant' WHEN PartyRole = 'cofiler' THEN 'cofiler' WHEN Start BETWEEN greatest(0, 450 - 200) AND least(DocLen, 450 + 200) THEN 'counterparty' WHEN Start >= CAST(FLOOR(DocLen * 0.9) AS BIGINT) THEN 'signatory' ELSE 'other' END AS Role FROM spans JOIN lens USING (DocID) WHERE Label = 'ORG'")
+_WINDOW = "WITH m AS (SELECT * FROM spans WHERE Label = 'ORG'), f AS (SELECT DocID, min(Start) AS Centre FROM m WHERE PartyRole = 'registrant' GROUP BY 1), w AS (SELECT m.*, DocLen, Centre, Start - Centre AS Dist, floor(DocLen * 0.9) AS TailStart FROM m JOIN lens USING (DocID) LEFT JOIN f USING (DocID))"
+
+
+@query("ent_window", _WINDOW + " SELECT DocID, Start, SpanNo, Dist, CASE WHEN PartyRole IN ('registrant', 'cofiler') THEN PartyRole WHEN Start BETWEEN greatest(0, Centre - 200) AND least(DocLen, Centre + 200) THEN 'counterparty' WHEN Start >= TailStart THEN 'signatory' ELSE 'other' END AS Role FROM w")
 def role_window(t: Tables) -> DataFrame:
-    met = t.spans.where("Label = 'ORG'").join(t.lens, "DocID")
-    near = F.col("Start").between(250, F.least(F.col("DocLen"), F.lit(650)))
-    role = F.when(F.col("PartyRole").isin("registrant", "cofiler"), F.col("PartyRole")).when(near, "counterparty").when(F.col("Start") >= F.floor(F.col("DocLen") * 0.9), "signatory").otherwise("other")
-    return met.select("DocID", "Start", "SpanNo", (F.col("Start") - 450).alias("Dist"), role.alias("Role"))
+    """Half-width 200: these documents are a tenth as long as contracts, for which it is 2000."""
+    return P.party_windows(t.spans.where("Label = 'ORG'"), t.lens).select("DocID", "Start", "SpanNo", "Dist", P.window_role(200).alias("Role"))
+
+
+@query("ent_sweep_window", _WINDOW + " SELECT CAST(h AS BIGINT) AS Half, count(*) FILTER (Start BETWEEN greatest(0, Centre - h) AND least(DocLen, Centre + h)) AS nInWindow, count(DISTINCT DocID) FILTER (Start BETWEEN greatest(0, Centre - h) AND least(DocLen, Centre + h)) AS nDocs FROM w CROSS JOIN (VALUES (100), (200), (300)) q(h) GROUP BY 1")
+def sweep_window(t: Tables) -> DataFrame:
+    halves = t.spark.createDataFrame([(100,), (200,), (300,)], "Half long")
+    near = P.in_window(F.col("Half"))
+    met = P.party_windows(t.spans.where("Label = 'ORG'"), t.lens)
+    return met.crossJoin(F.broadcast(halves)).groupBy("Half").agg(F.count_if(near).alias("nInWindow"), F.countDistinct(F.when(near, F.col("DocID"))).alias("nDocs"))
 
 
 @query("ent_release_mentions", "SELECT r.DocID, s.PartyKey, s.Start, s.SpanNo, coalesce(s.Start = min(s.Start) OVER (PARTITION BY r.DocID, s.PartyKey), false) AS IsFirst, CASE WHEN s.PartyKey IS NULL THEN 'none' ELSE s.PartyRole END AS Role FROM register r LEFT JOIN (SELECT * FROM spans WHERE Label = 'ORG') s USING (DocID)")

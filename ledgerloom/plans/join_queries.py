@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import joins as J
+from ..operators import parties as P
 from ..sources.tables import Tables
 from .registry import query
 
+KEY_SQL = f"""trim(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(replace(upper(NAME), ' & ', ' AND '), '[^A-Z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g')), '{T.LEAD_PATTERN}', ''), '{T.SUFFIX_PATTERN}', ''))"""
+
 _RANGES = """
     WITH a AS (SELECT * FROM fundamentals QUALIFY row_number() OVER (PARTITION BY CIK, gvkey, datadate ORDER BY atq DESC NULLS LAST, CIK, gvkey, datadate, RowKey) = 1),
     b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY CIK, datadate ORDER BY atq DESC NULLS LAST, CIK, gvkey, datadate, RowKey) = 1),
@@ -209,11 +213,17 @@ def rollup(t: Tables) -> DataFrame:
     return t.predictions.join(a, "TrueLabel", "left").join(b, "PredLabel", "left").select("DocID", "TrueBroad", "PredBroad")
 
 
-@query("ent_filer_keys", "SELECT DocID, FilerKey, IsPrimary FROM (SELECT a.DocID, 'F' || b.CIK AS FilerKey, a.CIK = b.CIK AS IsPrimary, row_number() OVER (PARTITION BY a.DocID, b.CIK ORDER BY (a.CIK = b.CIK) DESC, b.DocID) AS n FROM register a JOIN register b USING (HashDocument)) q WHERE n = 1")
+_FIRMS = "(SELECT c_custkey AS CIK, CASE c_custkey % 5 WHEN 0 THEN 'The ' || c_name || ' & Sons Holdings, Inc.' WHEN 1 THEN c_name || ' L.P.' WHEN 2 THEN lower(c_name) || ' Co. Ltd' WHEN 3 THEN 'Firm ' || (c_custkey % 7) || ' Corp' ELSE '---' END AS Name FROM customer)"
+
+
+def _firms(t: Tables) -> DataFrame:
+    name = "CASE c_custkey % 5 WHEN 0 THEN concat('The ', c_name, ' & Sons Holdings, Inc.') WHEN 1 THEN concat(c_name, ' L.P.') WHEN 2 THEN concat(lower(c_name), ' Co. Ltd') WHEN 3 THEN concat('Firm ', c_custkey % 7, ' Corp') ELSE '---' END"
+    return t.customer.selectExpr("c_custkey AS CIK", f"{name} AS Name")
+
+
+@query("ent_filer_keys", f"WITH k AS (SELECT r.DocID, r.HashDocument, nullif({KEY_SQL.replace('NAME', 'n.Name')}, '') AS FilerKey FROM register r JOIN {_FIRMS} n ON r.CIK = n.CIK) SELECT a.DocID, b.FilerKey, bool_or(b.DocID = a.DocID) AS IsPrimary FROM register a JOIN k b ON a.HashDocument = b.HashDocument WHERE b.FilerKey IS NOT NULL GROUP BY 1, 2")
 def filer_keys(t: Tables) -> DataFrame:
-    other = t.register.select("HashDocument", F.col("CIK").alias("Filer"), F.col("DocID").alias("Copy"))
-    met = t.register.select("HashDocument", "DocID", "CIK").join(other, "HashDocument").withColumn("FilerKey", F.concat(F.lit("F"), "Filer")).withColumn("IsPrimary", F.col("CIK") == F.col("Filer"))
-    return J.first_per(met, ["DocID", "FilerKey"], F.col("IsPrimary").desc(), F.col("Copy")).select("DocID", "FilerKey", "IsPrimary")
+    return P.filer_keys(t.register.select("DocID", "HashDocument", "CIK"), _firms(t))
 
 
 @query("itm_summary_filing", "SELECT r.DocID, r.DateFiled, d.DateFirst, CAST(r.DateFiled - d.DateFirst AS INT) AS AnnounceLagDays FROM register r JOIN (SELECT DocID, min(DateValue) AS DateFirst FROM spans WHERE Label = 'DATE' GROUP BY 1) d USING (DocID)")
@@ -241,11 +251,13 @@ def parity(t: Tables) -> DataFrame:
     return one.crossJoin(two).withColumn("Agree", (F.col("OnlyMined") == 0) & (F.col("OnlyApplied") == 0))
 
 
-@query("ent_anchor_keys", "SELECT p.DocID, c.c_name AS AnchorName, length(c.c_name) AS AnchorLen FROM (SELECT DISTINCT DocID FROM predictions WHERE Fold < 3) p JOIN register r USING (DocID) LEFT JOIN customer c ON r.CIK = c.c_custkey")
+@query("ent_anchor_keys", f"""WITH d AS (SELECT HashIndex, arg_min(Address, RecordNo) AS Address FROM (SELECT HashIndex, DocID AS RecordNo, 'Street ' || (DocID % 13) AS Address FROM register WHERE nWords > 300) q GROUP BY 1),
+    l AS (SELECT DocID, min(TrueLabel) AS Class FROM predictions GROUP BY 1), n AS (SELECT CIK, Name, nullif({KEY_SQL.replace('NAME', 'Name')}, '') AS AnchorKey FROM {_FIRMS})
+    SELECT l.DocID, l.Class, n.Name AS AnchorName, n.AnchorKey, length(n.AnchorKey) AS AnchorLen, d.Address FROM l LEFT JOIN register r ON l.DocID = r.DocID LEFT JOIN n ON r.CIK = n.CIK LEFT JOIN d ON r.HashIndex = d.HashIndex""")
 def anchors(t: Tables) -> DataFrame:
-    labelled = t.predictions.where("Fold < 3").select("DocID").distinct()
-    names = t.customer.select(F.col("c_custkey").alias("CIK"), F.col("c_name").alias("AnchorName"), F.length("c_name").cast("bigint").alias("AnchorLen"))
-    return labelled.join(t.register.select("DocID", "CIK"), "DocID").join(names, "CIK", "left").select("DocID", "AnchorName", "AnchorLen")
+    labelled = t.predictions.groupBy("DocID").agg(F.min("TrueLabel").alias("Class"))
+    landing = t.register.where("nWords > 300").select("HashIndex", F.col("DocID").alias("RecordNo"), F.concat(F.lit("Street "), F.col("DocID") % 13).alias("Address"))
+    return P.anchor_keys(labelled, t.register, _firms(t), landing)
 
 
 @query("ent_corpus_keys", "SELECT r.DocID, r.CIK, p.PredLabel AS ReleaseClass FROM register r LEFT JOIN predictions p USING (DocID) WHERE r.DocID IN (SELECT DocID FROM spans WHERE Label = 'ORG')")

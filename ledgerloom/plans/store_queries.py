@@ -443,13 +443,6 @@ def table_tail(t: Tables) -> DataFrame:
     return A.with_all_row(met, "Class", [F.median("Tail").alias("MidTail"), F.round(F.avg("Tail"), 6).alias("MeanTail")])
 
 
-@query("ent_sweep_window", "SELECT CAST(h AS BIGINT) AS Half, count(*) FILTER (abs(Start - 450) <= h) AS nInWindow, count(DISTINCT DocID) FILTER (abs(Start - 450) <= h) AS nDocs FROM spans CROSS JOIN (VALUES (100), (200), (300)) q(h) WHERE Label = 'ORG' GROUP BY 1")
-def sweep_window(t: Tables) -> DataFrame:
-    halves = t.spark.createDataFrame([(100,), (200,), (300,)], "Half long")
-    near = F.abs(F.col("Start") - 450) <= F.col("Half")
-    return t.spans.where("Label = 'ORG'").crossJoin(F.broadcast(halves)).groupBy("Half").agg(F.count_if(near).alias("nInWindow"), F.countDistinct(F.when(near, F.col("DocID"))).alias("nDocs"))
-
-
 @query("ent_window_terms", "SELECT PartyKey, count(DISTINCT DocID) AS nDocs, round(CAST(count(DISTINCT DocID) AS DOUBLE) / (SELECT count(*) FROM register), 6) AS Share FROM spans WHERE Label = 'ORG' AND PartyRole = 'counterparty' GROUP BY 1")
 def window_terms(t: Tables) -> DataFrame:
     total = t.register.agg(F.count("*").alias("total"))

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators.aggregates import count_where
+from ..functions.spans import spread
 from ..operators import places as G
+from ..operators.aggregates import count_where
 from ..sources.tables import Tables
+from .join_queries import KEY_SQL as _KEY
 from .registry import query
 
-_KEY = f"""trim(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(replace(upper(NAME), ' & ', ' AND '), '[^A-Z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g')), '{T.LEAD_PATTERN}', ''), '{T.SUFFIX_PATTERN}', ''))"""
 _NAMES = "SELECT DocID, CASE DocID % 5 WHEN 0 THEN 'The Acme & Sons Holdings, Inc.' WHEN 1 THEN 'WILLIAMS PARTNERS L.P.' WHEN 2 THEN 'By and between ' || Class || ' TRADING CO LTD' WHEN 3 THEN 'UGI CORP /PA/' ELSE 'Firm ' || CIK || ' (formerly: Old Firm) \\DE\\' END AS Name FROM register"
 
 
@@ -84,7 +85,7 @@ _SYL = "greatest(len(regexp_extract_all(lower(#), '[aeiouy]+')) - CASE WHEN rege
 
 @query("itm_summary_measures", f"WITH s AS (SELECT doc_id, text, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '' AND NOT regexp_matches(w, '^[0-9.,$%]+$')) AS ws FROM documents), c AS (SELECT doc_id, len(ws) AS n, greatest(len(regexp_extract_all(text, '[.!?](\\s|$)')), 1) AS s, len(list_filter(ws, lambda w: {_SYL} >= 3)) AS x FROM s) SELECT doc_id, CASE WHEN n > 0 THEN round(0.4 * (CAST(n AS DOUBLE) / s + 100 * CAST(x AS DOUBLE) / n), 5) END AS Fog FROM c")
 def summary_measures(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.round(T.fog(F.col("text")), 5).alias("Fog"))
+    return spread(t.documents.select("doc_id", "text")).select("doc_id", F.round(T.fog(F.col("text")), 5).alias("Fog"))
 
 
 @query("itm_tetragrams", "WITH w AS (SELECT p_partkey, string_split(p_name || ' of ' || p_brand || ' ' || p_type, ' ') AS ws FROM part) SELECT p_partkey, unnest([array_to_string(ws[i:i + 3], ' ') FOR i IN generate_series(1, len(ws) - 3)]) AS Gram FROM w")
