@@ -81,19 +81,28 @@ def inside(spans: DataFrame, hosts: DataFrame) -> DataFrame:
     return first_per(met, ["DocID", "Start", "Stop"], F.col("HostStart"), F.col("HostStop")).select("DocID", "Start", "Stop", "HostStart", "HostStop")
 
 
-def attach_last_mention(places: DataFrame, mentions: DataFrame, reach: int = 200) -> DataFrame:
+def attach_last_mention(places: DataFrame, mentions: DataFrame, reach: int = 200, carry: tuple[str, ...] = ()) -> DataFrame:
     """Each place with the last party mentioned before it, if that ended at most ``reach`` characters before.
 
     As-of without a join: both are ordered by position (a mention before a place at the same one) and the
-    last mention is filled down, so each document is sorted once.
+    last mention is filled down, so each document is sorted once. ``carry`` names columns of places that stay.
     """
+    kinds = dict(places.dtypes)
     m = mentions.select("DocID", F.col("Start").alias("Pos"), F.lit(0).alias("IsPlace"), F.struct("PartyKey", F.col("Start").alias("MentionStart"), F.col("Stop").alias("MentionStop")).alias("last"), F.lit(None).cast("bigint").alias("Stop"))
-    p = places.select("DocID", F.col("Start").alias("Pos"), F.lit(1).alias("IsPlace"), F.lit(None).cast(m.schema["last"].dataType).alias("last"), "Stop")
+    p = places.select("DocID", F.col("Start").alias("Pos"), F.lit(1).alias("IsPlace"), F.lit(None).cast(m.schema["last"].dataType).alias("last"), "Stop", *carry)
+    m = m.select("*", *[F.lit(None).cast(kinds[c]).alias(c) for c in carry])
     order = Window.partitionBy("DocID").orderBy("Pos", "IsPlace", F.col("last.PartyKey"), F.col("last.MentionStop"))
     filled = m.unionByName(p).withColumn("last", F.last("last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("IsPlace = 1")
     gap = F.col("Pos") - F.col("last.MentionStop")
     near = gap.between(0, reach)
-    return filled.select("DocID", F.col("Pos").alias("PlaceStart"), F.col("Stop").alias("PlaceStop"), F.when(near, F.col("last.PartyKey")).alias("PartyKey"), F.when(near, F.col("last.MentionStart")).alias("MentionStart"), F.when(near, gap).alias("DistToParty"), F.coalesce(near, F.lit(False)).alias("Attached"))
+    return filled.select("DocID", F.col("Pos").alias("PlaceStart"), F.col("Stop").alias("PlaceStop"), F.when(near, F.col("last.PartyKey")).alias("PartyKey"), F.when(near, F.col("last.MentionStart")).alias("MentionStart"), F.when(near, gap).alias("DistToParty"), F.coalesce(near, F.lit(False)).alias("Attached"), *carry)
+
+
+def distance_profile(attached: DataFrame, level: str) -> DataFrame:
+    """(level, n, P25, P50, P90, Most): how far attached places stand from their party. Distances are whole numbers up to the
+    reach, so percentiles are taken over counts of them and no group's rows are gathered."""
+    shares = {"P25": 0.25, "P50": 0.5, "P90": 0.9}
+    return attached.where("Attached").groupBy(level).agg(F.count("*").alias("n"), *[F.percentile("DistToParty", p).alias(c) for c, p in shares.items()], F.max("DistToParty").alias("Most"))
 
 
 def nearest_named(ambiguous: DataFrame, candidates: DataFrame, named: DataFrame) -> DataFrame:

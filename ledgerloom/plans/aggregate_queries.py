@@ -369,6 +369,14 @@ def sweep_window(t: Tables) -> DataFrame:
     return met.crossJoin(F.broadcast(halves)).groupBy("Half").agg(F.count_if(near).alias("nInWindow"), F.countDistinct(F.when(near, F.col("DocID"))).alias("nDocs"))
 
 
+@query("ent_dist_profile", _WINDOW + " SELECT CAST(b AS BIGINT) AS Bound, count(*) FILTER (abs(Dist) <= b) AS nWithin, round(CAST(count(*) FILTER (abs(Dist) <= b) AS DOUBLE) / count(*), 6) AS Share FROM w CROSS JOIN (VALUES (50), (100), (250), (500)) q(b) WHERE Centre IS NOT NULL GROUP BY 1")
+def bounds_profile(t: Tables) -> DataFrame:
+    bounds = t.spark.createDataFrame([(50,), (100,), (250,), (500,)], "Bound long")
+    met = P.party_windows(t.spans.where("Label = 'ORG'"), t.lens).where("Centre is not null")
+    near = F.abs("Dist") <= F.col("Bound")
+    return met.crossJoin(F.broadcast(bounds)).groupBy("Bound").agg(F.count_if(near).alias("nWithin"), F.round(F.count_if(near) / F.count("*"), 6).alias("Share"))
+
+
 @query("ent_release_mentions", "SELECT r.DocID, s.PartyKey, s.Start, s.SpanNo, coalesce(s.Start = min(s.Start) OVER (PARTITION BY r.DocID, s.PartyKey), false) AS IsFirst, CASE WHEN s.PartyKey IS NULL THEN 'none' ELSE s.PartyRole END AS Role FROM register r LEFT JOIN (SELECT * FROM spans WHERE Label = 'ORG') s USING (DocID)")
 def release_mentions(t: Tables) -> DataFrame:
     met = t.register.select("DocID").join(t.spans.where("Label = 'ORG'"), "DocID", "left")

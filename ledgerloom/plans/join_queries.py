@@ -90,6 +90,24 @@ def attach(t: Tables) -> DataFrame:
     return J.attach_last_mention(t.spans.where("Label = 'GPE'"), t.spans.where("Label = 'ORG'"))
 
 
+_GAPS = _ATTACH.replace("Stop FROM spans WHERE Label = 'GPE'", "Stop, Kind FROM spans WHERE Label = 'GPE'").replace("NULL::BIGINT AS Stop FROM", "NULL::BIGINT AS Stop, NULL::VARCHAR AS Kind FROM").replace("AS Attached FROM f", "AS Attached, Kind FROM f").replace("AND 200", "AND 400")
+
+
+@query("geo_dist_profile", _GAPS + " SELECT Kind, count(*) AS n, quantile_cont(DistToParty, 0.25) AS P25, quantile_cont(DistToParty, 0.5) AS P50, quantile_cont(DistToParty, 0.9) AS P90, max(DistToParty) AS Most FROM attached WHERE Attached GROUP BY 1")
+def dist_profile(t: Tables) -> DataFrame:
+    met = J.attach_last_mention(t.spans.where("Label = 'GPE'"), t.spans.where("Label = 'ORG'"), 400, ("Kind",))
+    return J.distance_profile(met, "Kind")
+
+
+@query("geo_sweep_reach", _GAPS + " SELECT CAST(reach AS BIGINT) AS Reach, count(*) FILTER (DistToParty <= reach) AS nAttached, count(DISTINCT DocID) FILTER (DistToParty <= reach) AS nDocs FROM attached CROSS JOIN (VALUES (100), (200), (400)) r(reach) GROUP BY 1")
+def sweep_reach(t: Tables) -> DataFrame:
+    """Places are attached once, at the widest reach; narrower ones are counted by distance."""
+    reaches = t.spark.createDataFrame([(100,), (200,), (400,)], "Reach long")
+    met = J.attach_last_mention(t.spans.where("Label = 'GPE'"), t.spans.where("Label = 'ORG'"), 400)
+    near = F.col("DistToParty") <= F.col("Reach")
+    return met.crossJoin(F.broadcast(reaches)).groupBy("Reach").agg(F.count_if(near).alias("nAttached"), F.countDistinct(F.when(near, F.col("DocID"))).alias("nDocs"))
+
+
 @query("geo_city_state", """
     WITH amb AS (SELECT DocID, Start, 'N' || (Start % 4) AS Name FROM spans WHERE Label = 'GPE'), cand AS (SELECT 'N' || (n_nationkey % 4) AS Name, 'P' || (n_nationkey % 5) AS State FROM nation GROUP BY ALL),
     named AS (SELECT DocID, PartyKey AS State, Start, count(*) OVER (PARTITION BY DocID, PartyKey) AS Times FROM spans WHERE Label = 'ORG'),

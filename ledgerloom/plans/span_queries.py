@@ -373,25 +373,6 @@ def law_top(t: Tables) -> DataFrame:
     return rows.groupBy(F.regexp_extract("Span", "State of (.*)$", 1).alias("Jurisdiction")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "Jurisdiction").limit(15)
 
 
-@query("geo_dist_profile", "SELECT PartyRole, quantile_cont(Start, 0.25) AS P25, quantile_cont(Start, 0.5) AS P50, quantile_cont(Start, 0.9) AS P90, max(Start) AS Most FROM spans WHERE Label = 'GPE' GROUP BY 1")
-def dist_profile(t: Tables) -> DataFrame:
-    return t.spans.where("Label = 'GPE'").groupBy("PartyRole").agg(*[F.percentile("Start", p).alias(n) for p, n in ((0.25, "P25"), (0.5, "P50"), (0.9, "P90"))], F.max("Start").alias("Most"))
-
-
-@query("geo_sweep_reach", "SELECT CAST(reach AS BIGINT) AS Reach, count(*) FILTER (abs(Start - 450) <= reach) AS nAttached, count(DISTINCT DocID) FILTER (abs(Start - 450) <= reach) AS nDocs FROM spans CROSS JOIN (VALUES (100), (200), (400)) r(reach) WHERE Label = 'GPE' GROUP BY 1")
-def sweep_reach(t: Tables) -> DataFrame:
-    reaches = t.spark.createDataFrame([(100,), (200,), (400,)], "Reach long")
-    near = F.abs(F.col("Start") - 450) <= F.col("Reach")
-    return t.spans.where("Label = 'GPE'").crossJoin(F.broadcast(reaches)).groupBy("Reach").agg(F.count_if(near).alias("nAttached"), F.countDistinct(F.when(near, F.col("DocID"))).alias("nDocs"))
-
-
-@query("ent_dist_profile", "SELECT CAST(b AS BIGINT) AS Bound, count(*) FILTER (abs(Start - 450) <= b) AS nWithin, round(CAST(count(*) FILTER (abs(Start - 450) <= b) AS DOUBLE) / count(*), 6) AS Share FROM spans CROSS JOIN (VALUES (50), (100), (250), (500)) q(b) WHERE Label = 'ORG' GROUP BY 1")
-def bounds_profile(t: Tables) -> DataFrame:
-    bounds = t.spark.createDataFrame([(50,), (100,), (250,), (500,)], "Bound long")
-    near = F.abs(F.col("Start") - 450) <= F.col("Bound")
-    return t.spans.where("Label = 'ORG'").crossJoin(F.broadcast(bounds)).groupBy("Bound").agg(F.count_if(near).alias("nWithin"), F.round(F.count_if(near) / F.count("*"), 6).alias("Share"))
-
-
 @query("export_ORG", "SELECT DocID, count(*) FILTER (PartyRole = 'registrant') AS registrant_n, count(*) FILTER (PartyRole = 'cofiler') AS cofiler_n, count(*) FILTER (PartyRole = 'counterparty') AS counterparty_n FROM (SELECT DISTINCT DocID, PartyKey, PartyRole FROM spans WHERE Label = 'ORG') q GROUP BY 1")
 def export_parties(t: Tables) -> DataFrame:
     parties = t.spans.where("Label = 'ORG'").select("DocID", "PartyKey", "PartyRole").distinct()
