@@ -74,10 +74,27 @@ def link_status(linked: DataFrame, documents: DataFrame) -> DataFrame:
     return joined.select("RefID", "Tier", "HashIndex", F.when(F.col("n_match") == 1, F.col("DocID")).alias("DocID"), status.alias("LinkStatus"))
 
 
+BIN = 2000  # characters of a stretch of a document
+
+
+def near_pairs(spans: DataFrame, others: DataFrame, start: str, stop: str, reach: int = 0) -> DataFrame:
+    """Pairs of spans (DocID, Start, Stop) and others (DocID, ``start``, ``stop``) of one document that share a stretch of it, once each;
+    pairs within ``reach`` characters of each other are among them.
+
+    Both are dealt to the stretches that they touch, so a document of very many spans is met stretch by stretch and not all with all.
+    A pair counts in the first stretch that both touch.
+    """
+    low, high = F.floor((F.col("Start") - reach) / BIN), F.floor((F.greatest("Start", "Stop") + reach) / BIN)
+    left = spans.withColumn("_low", low).withColumn("_bin", F.explode(F.sequence("_low", high)))
+    first, last = F.floor(F.col(start) / BIN), F.floor(F.greatest(start, stop) / BIN)
+    right = others.withColumn("_first", first).withColumn("_bin", F.explode(F.sequence("_first", last)))
+    return left.join(right, ["DocID", "_bin"]).where("_bin = greatest(_low, _first)").drop("_bin", "_low", "_first")
+
+
 def inside(spans: DataFrame, hosts: DataFrame) -> DataFrame:
     """(DocID, Start, Stop, HostStart, HostStop): spans within a host span of their document, the first host each."""
     h = hosts.select("DocID", F.col("Start").alias("HostStart"), F.col("Stop").alias("HostStop"))
-    met = spans.join(h, "DocID").where("Start >= HostStart and Stop <= HostStop")
+    met = near_pairs(spans, h, "HostStart", "HostStop").where("Start >= HostStart and Stop <= HostStop")
     return first_per(met, ["DocID", "Start", "Stop"], F.col("HostStart"), F.col("HostStop")).select("DocID", "Start", "Stop", "HostStart", "HostStop")
 
 
@@ -120,7 +137,7 @@ def overlap_or_near(marks: DataFrame, money: DataFrame, tolerance: int = 10) ->
     """Each mark with the amount that it overlaps, or else the nearest within ``tolerance`` characters."""
     m = money.select("DocID", F.col("Start").alias("MStart"), F.col("Stop").alias("MStop"), "Amount")
     gap = F.greatest(F.col("MStart") - F.col("Stop"), F.col("Start") - F.col("MStop"), F.lit(0))
-    met = marks.join(m, "DocID").withColumn("Gap", gap).withColumn("Overlaps", (F.col("Start") < F.col("MStop")) & (F.col("MStart") < F.col("Stop"))).where(F.col("Overlaps") | (F.col("Gap") <= tolerance))
+    met = near_pairs(marks, m, "MStart", "MStop", tolerance).withColumn("Gap", gap).withColumn("Overlaps", (F.col("Start") < F.col("MStop")) & (F.col("MStart") < F.col("Stop"))).where(F.col("Overlaps") | (F.col("Gap") <= tolerance))
     best = first_per(met, ["DocID", "Start", "Stop", "SpanNo"], F.col("Overlaps").desc(), F.col("Gap"), F.col("MStart"), F.col("MStop"), F.col("Amount"))
     return marks.join(best.select("DocID", "Start", "Stop", "SpanNo", "MStart", "Gap", "Overlaps"), ["DocID", "Start", "Stop", "SpanNo"], "left").select("DocID", "Start", "Stop", "SpanNo", "MStart", "Gap", F.coalesce("Overlaps", F.lit(False)).alias("Overlaps"), F.when(F.col("MStart").isNull(), "unmatched").otherwise("MONEY").alias("Entity"))
 
@@ -130,7 +147,7 @@ def neighbours(marks: DataFrame, others: DataFrame, labels: list[str], reach: in
     rank = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("Label"))
     o = others.where(F.col("Label").isin(labels)).select("DocID", F.col("Start").alias("OStart"), F.col("Stop").alias("OStop"), "Label", rank.alias("rank"))
     gap = F.greatest(F.col("OStart") - F.col("Stop"), F.col("Start") - F.col("OStop"), F.lit(0))
-    met = marks.select("DocID", "Start", "Stop", "SpanNo").join(o, "DocID").withColumn("Gap", gap).where(F.col("Gap") <= reach)
+    met = near_pairs(marks.select("DocID", "Start", "Stop", "SpanNo"), o, "OStart", "OStop", reach).withColumn("Gap", gap).where(F.col("Gap") <= reach)
     best = first_per(met, ["DocID", "Start", "SpanNo"], F.col("Gap"), F.col("rank"), F.col("OStart"), F.col("OStop"))
     return marks.select("DocID", "Start", "SpanNo").join(best.select("DocID", "Start", "SpanNo", "Label", "Gap"), ["DocID", "Start", "SpanNo"], "left").select("DocID", "Start", "SpanNo", F.coalesce("Label", F.lit("nothing")).alias("Neighbour"), "Gap")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import spans as S
 from ledgerloom.operators import classify as C
+from ledgerloom.operators import joins as J
 from ledgerloom.operators import parties as P
 from ledgerloom.operators.joins import assert_unique, no_collision
 from ledgerloom.operators.windows import folds
@@ -146,6 +147,22 @@ def test_parties_merge_within_a_document(spark):
     assert got[2, "BETA"] == ("BETA", "alone") and got[2, "X BETA"][0] == "X BETA" and got[3, "ACME"] == ("ACME", "alone")
 
 
+def test_pairs_by_stretches_are_those_of_all_pairs(spark, monkeypatch):
+    """Spans that cross many stretches, touch edges or lie apart: the pairs within reach, each once."""
+    import random
+
+    monkeypatch.setattr(J, "BIN", 50)
+    rng = random.Random(6)
+    draw = lambda: [(rng.randrange(3), a, a + rng.choice([1, 10, 49, 50, 51, 220])) for a in (rng.choice([rng.randrange(600), 50 * rng.randrange(12)]) for _ in range(60))]
+    spans, others = draw(), draw()
+    for reach in (0, 10, 130):
+        left = spark.createDataFrame([(*x, i) for i, x in enumerate(spans)], "DocID long, Start long, Stop long, I long")
+        right = spark.createDataFrame([(*x, i) for i, x in enumerate(others)], "DocID long, A long, B long, K long")
+        got = [(r.I, r.K) for r in J.near_pairs(left, right, "A", "B", reach).where(f"greatest(A - Stop, Start - B, 0) <= {reach}").collect()]
+        want = [(i, k) for i, (d, a, b) in enumerate(spans) for k, (e, x, y) in enumerate(others) if d == e and max(x - b, a - y, 0) <= reach]
+        assert sorted(got) == want
+
+
 def test_greedy_cover_is_the_plain_loop(spark):
     power = {"a": 0.9, "b": 0.8, "c": 0.7, "d": 0.6}
     held = {"a": {1, 2, 3}, "b": {2, 3}, "c": {3, 4, 5}, "d": {6}}
