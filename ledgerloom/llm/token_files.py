@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import corpus_size, mapped, raw_strings, slices, text_or_empty
-from .tokens import part_encoder
+from .tokens import forget_encoders, part_encoder
 
 FILE_BYTES = 32 << 20  # UTF-8 bytes of text for each file
 STEP_BYTES = 4 << 20
@@ -91,6 +91,7 @@ def token_digests(rows: DataFrame) -> DataFrame:
     keep = [c for c in rows.columns if c != "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         for batch in batches:
             ids = batch.column("ids")
             at = ids.offsets.to_numpy()

@@ -167,13 +167,18 @@ _ENCODERS: dict[str, PartEncoder] = {}
 
 
 def part_encoder(path: str) -> PartEncoder:
-    """This worker's encoder, which remembers words from one task to the next."""
+    """This worker's encoder, which remembers words from one task to the next, until ``forget_encoders``."""
     if path not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[path] = PartEncoder(path)
     return _ENCODERS[path]
 
 
+def forget_encoders() -> None:
+    """Give the memory of words back: called by the tasks that follow those which encode."""
+    _ENCODERS.clear()
+
+
 def _stretches(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``STRETCH`` bytes, whose parts are looked up together."""
     start, size = 0, 0
