@@ -199,3 +199,10 @@ def test_events_as_a_stream(spark, tmp_path):
     got = spark.table("counted").toPandas()
     key = ["WindowStart", "event_type"]
     pd.testing.assert_frame_equal(got.sort_values(key).reset_index(drop=True), want.sort_values(key).reset_index(drop=True))
+
+
+def test_split_check_reads_each_side_once(spark):
+    from ledgerloom.plans.catalog import QUERIES
+
+    plan = QUERIES["apl_check_split"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 3  # the whole and its halves
