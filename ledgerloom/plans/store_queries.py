@@ -396,7 +396,7 @@ def release_places(t: Tables) -> DataFrame:
 
 @query("geo_release_law", "SELECT l.DocID, l.Start, l.Stop, l.SpanNo, arg_min(p.Kind, (p.Start, p.SpanNo)) AS Place FROM spans l LEFT JOIN spans p ON p.DocID = l.DocID AND p.Label = 'GPE' AND p.Start >= l.Start AND p.Stop <= l.Stop WHERE l.Label = 'ORG' GROUP BY 1, 2, 3, 4")
 def release_law(t: Tables) -> DataFrame:
-    law = t.spans.where("Label = 'ORG'").select("DocID", "Start", "Stop", "SpanNo")
+    law = t.spans.where("Label = 'ORG'").select("DocID", "Start", "Stop", "SpanNo").distinct()
     p = t.spans.where("Label = 'GPE'").select("DocID", F.col("Start").alias("ps"), F.col("Stop").alias("pe"), F.col("SpanNo").alias("pn"), "Kind")
     first = law.join(p, "DocID").where("ps >= Start and pe <= Stop").groupBy("DocID", "Start", "Stop", "SpanNo").agg(F.min_by("Kind", F.struct("ps", "pn")).alias("Place"))
     return law.join(first, ["DocID", "Start", "Stop", "SpanNo"], "left")

@@ -28,3 +28,32 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() == 3
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.fixture
+def tied(tmp_path):
+    """Two clauses of one place and number, in this order, and a place name within them; an order without clauses."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from datetime import datetime
+
+    day = datetime(2001, 2, 3)
+    line = lambda flag, status, quantity, number: {"l_orderkey": 1, "l_partkey": 8, "l_suppkey": 5, "l_linenumber": number, "l_quantity": quantity, "l_extendedprice": 1.0, "l_discount": 0.0, "l_tax": 0.0, "l_returnflag": flag, "l_linestatus": status, "l_shipdate": day}
+    lines = [line("A", "O", 9.0, 3), line("N", "O", 5.0, 3), line("N", "O", 9.0, 3), line("N", "O", 2.0, 2)]
+    pq.write_table(pa.Table.from_pylist(lines).cast(pq.read_schema(f"{FOLDER}/lineitem.parquet"), safe=False), tmp_path / "lineitem.parquet")
+    orders = pq.read_table(f"{FOLDER}/orders.parquet").slice(0, 2).to_pylist()
+    pq.write_table(pa.Table.from_pylist([o | {"o_orderkey": k} for k, o in enumerate(orders, 1)], pq.read_schema(f"{FOLDER}/orders.parquet")), tmp_path / "orders.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize(("name", "want"), [("ent_party_facts", (1, "P0", "cofiler", 1, 8, 17)), ("ent_party_names", (1, "P0", "RedactExplicit", False, 3, 17))])
+def test_of_tied_rows_the_first_in_the_input_counts(spark, tied, name, want):
+    assert [tuple(r) for r in QUERIES[name](spark, tied).collect()] == [want]
+
+
+def test_the_first_of_tied_parties_is_located(spark, tied):
+    assert {tuple(r) for r in QUERIES["ent_locate_party"](spark, tied).collect()} == {(1, "P0", 8, "first"), (2, None, None, "no entity")}
+
+
+def test_repeated_clauses_are_one_row(spark, tied):
+    assert [tuple(r) for r in QUERIES["geo_release_law"](spark, tied).orderBy("Stop").collect()] == [(1, 8, 13, 3, "RedactExplicit"), (1, 8, 17, 3, "RedactExplicit")]
