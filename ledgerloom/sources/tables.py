@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -106,8 +107,16 @@ class Tables:
             return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         if name not in SHAPES:
             raise AttributeError(name)
-        sql = _for_spark(SHAPES[name])
-        used = {t: getattr(self, t) for t in TABLES if re.search(rf"\b{t}\b", sql)}
+        return self._shape(_for_spark(SHAPES[name]))
+
+    def placed(self, name: str) -> DataFrame:
+        """A shape of the rows of one table, with the place of each row in its files, _place: of rows that an order leaves
+        tied, the first in the input is taken, whatever the partitions."""
+        sql = re.sub(r"\n(\s+)FROM ", r", _place\n\1FROM ", _for_spark(SHAPES[name]), count=1)
+        return self._shape(sql, F.struct("_metadata.file_path", "_metadata.row_index").alias("_place"))
+
+    def _shape(self, sql: str, *more: Column) -> DataFrame:
+        used = {t: getattr(self, t).select("*", *more) for t in TABLES if re.search(rf"\b{t}\b", sql)}
         # Tables are bound to the query by name; nothing stays registered in the session.
         return self.spark.sql(re.sub(r"\bFROM (\w+)\b", lambda m: f"FROM {{{m[1]}}}" if m[1] in used else m[0], sql), **used)
 
