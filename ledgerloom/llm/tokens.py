@@ -140,19 +140,23 @@ class PartEncoder:
             return [self.words.alone(t.decode()).tobytes() for t in texts]
         out: list[bytes] = []
         for a, b in _stretches(texts):
+            # A part is looked up once: only those that are not known are looked at again.
             parts = [t.split() for t in texts[a:b]]
-            self._learn(parts)
-            known = self.known.__getitem__
-            out += [b"".join(map(known, p)) for p in parts]
+            found = [list(map(self.known.get, p)) for p in parts]
+            new = {w for p, ids in zip(parts, found, strict=True) if None in ids for w, x in zip(p, ids, strict=True) if x is None}
+            if new:
+                self._learn(new)
+                known = self.known
+                found = [[known[w] if x is None else x for w, x in zip(p, ids, strict=True)] if None in ids else ids for p, ids in zip(parts, found, strict=True)]
+            out += map(b"".join, found)
         return out
 
-    def _learn(self, parts: list[list[bytes]]) -> None:
+    def _learn(self, new: set[bytes]) -> None:
         known, merged = self.known, self.merged
         if len(known) > REMEMBERED:
             known.clear()
         if len(merged) > REMEMBERED_WORDS:
             merged.clear()
-        new = set().union(*parts).difference(known)
         plain = {p: p.lower().decode() for p in new if p.isalpha()}  # of ASCII letters alone: one pre-token
         split = {p: _pretokens(p) for p in new.difference(plain)}
         words = list({t for ts in split.values() if ts for t in ts}.union(plain.values()).difference(merged))

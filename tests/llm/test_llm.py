@@ -633,3 +633,11 @@ def test_sketches_of_texts_too_short_to_retain_anything():
 def test_queries_run_on_whole_tables(spark):
     for name, query in queries.queries().items():
         assert query(spark, "/root/testdata/sf0.001").count() >= 200, name
+
+
+def test_known_parts_are_not_learned_again():
+    encoder = tokens.PartEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [b"The cat sat, the cat.", b"", b"cat <|end|> sat"]
+    first = encoder.ids(texts)
+    encoder._learn = None  # it would fail
+    assert encoder.ids(texts) == first == [encoder.words.alone(t.decode()).tobytes() for t in texts]
