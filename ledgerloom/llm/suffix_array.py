@@ -15,24 +15,26 @@ def ascending(text: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than its successor; the last counts as larger than the empty one."""
     n = len(text)
     changes = np.flatnonzero(text[1:] != text[:-1])  # the next symbol differs
-    which = np.searchsorted(changes, np.arange(n), side="left")
-    inside = which < len(changes)
-    at = changes[np.minimum(which, len(changes) - 1)] if len(changes) else np.zeros(n, np.int64)
-    out = np.zeros(n, bool)
-    out[inside] = text[at[inside] + 1] > text[at[inside]]
-    return out
+    up = np.append(text[changes + 1] > text[changes], False)
+    return np.repeat(up, np.diff(np.concatenate([[-1], changes, [n - 1]])))
+
+
+def words(text: np.ndarray, depth: int) -> np.ndarray:
+    """The 8 symbols from each place on as one number, which orders as they do, up to ``depth`` places after the last."""
+    wide = np.concatenate([text, np.zeros(depth + 8, np.uint8)])
+    out = np.empty(len(wide), np.uint64)
+    for k in range(8):
+        some = wide[k:]
+        whole = some[: len(some) // 8 * 8].view(">u8")
+        out[k::8][: len(whole)] = whole
+    return out[: len(text) + depth + 1]
 
 
 def _sorted_directly(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     """Suffix starts in the order of their first ``depth`` symbols, ties by place: sorted 8 symbols at a time,
     from the left, and after the first pass only among those that are still equal."""
-    wide = np.concatenate([text, np.zeros(depth + 8, text.dtype)]).astype(np.uint8)
-    keys = np.lib.stride_tricks.sliding_window_view(wide, 8)
-
-    def key(places: np.ndarray) -> np.ndarray:
-        return np.ascontiguousarray(keys[places]).view(">u8").ravel().astype(np.uint64)
-
-    first = key(at)
+    key = words(text, depth)
+    first = key[at]
     order = np.argsort(first, kind="stable")
     out, k = at[order], first[order]
     same = np.concatenate([[False], k[1:] == k[:-1]])
@@ -42,7 +44,7 @@ def _sorted_directly(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray
         todo = np.flatnonzero(member)
         if not len(todo):
             break
-        k = key(np.minimum(out[todo] + d, len(text)))
+        k = key[np.minimum(out[todo] + d, len(text))]
         begin = np.flatnonzero(~same[todo])
         size = np.diff(np.append(begin, len(todo)))
         # Repeated text makes most groups go on being equal; only those that part are sorted.
@@ -102,19 +104,36 @@ def suffix_array(text: np.ndarray, depth: int, wanted: np.ndarray | None = None)
     return np.concatenate(out)
 
 
+LONG = 48  # places in a row that are compared as one stretch
+
+
 def reaches(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
-    """Whether each suffix of ``order`` has its first ``depth`` symbols in common with the one before it."""
+    """Whether each suffix of ``order`` has its first ``depth`` symbols in common with the one before it.
+
+    Where a place and the one before it in the order are followed by another such two, at the same distance, the symbols of
+    both are compared once: text that repeats is long rows of such places.
+    """
     out = np.zeros(len(order), bool)
     if len(order) < 2:
         return out
-    wide = np.concatenate([text, np.zeros(depth + 8, np.uint8)])
-    keys = np.lib.stride_tricks.sliding_window_view(wide, 8)
+    key = words(text, depth)
     todo = np.flatnonzero(np.maximum(order[1:], order[:-1]) + depth <= len(text)) + 1
-    for d in [*range(0, depth - 8, 8), depth - 8]:
-        if not len(todo):
+    for d in (0, depth - 8):
+        todo = todo[key[order[todo] + d] == key[order[todo - 1] + d]]
+    todo = todo[np.argsort(order[todo])]
+    at, other = order[todo], order[todo - 1]
+    edge = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(other) != 1)])) if len(at) else np.zeros(0, np.int64)
+    size = np.diff(np.append(edge, len(at)))
+    good = np.zeros(len(at), bool)
+    for x, n in zip(edge[size >= LONG].tolist(), size[size >= LONG].tolist(), strict=True):
+        a, b = at[x], other[x]
+        unlike = np.flatnonzero(text[a : a + n + depth - 1] != text[b : b + n + depth - 1])
+        good[x : x + n] = True if not len(unlike) else np.searchsorted(unlike, np.arange(n)) == np.searchsorted(unlike, np.arange(n) + depth)
+    few = np.flatnonzero(np.repeat(size < LONG, size))
+    for d in range(8, depth - 8, 8):
+        if not len(few):
             break
-        a = np.ascontiguousarray(keys[order[todo] + d]).view(np.uint64).ravel()
-        b = np.ascontiguousarray(keys[order[todo - 1] + d]).view(np.uint64).ravel()
-        todo = todo[a == b]
-    out[todo] = True
+        few = few[key[at[few] + d] == key[other[few] + d]]
+    good[few] = True
+    out[todo[good]] = True
     return out

@@ -21,29 +21,20 @@ from pyspark.sql import DataFrame
 
 from ._common import LAST_ID, raw_strings
 from .blocks import Blocks, among, ask, by_shard, counted, distinct, grown, parts
-from .suffix_array import reaches, suffix_array
+from .suffix_array import reaches, suffix_array, words
 
 LENGTH = 200
 BLOCK_BYTES = 2 << 20  # UTF-8 bytes of text in a block: each takes some 60 bytes of arrays
 SHARD_BYTES = 4 << 20  # bytes of text for each shard
-PIECE = 32  # bytes of a hashed piece; a power of two, less than LENGTH
+PIECE = 32  # bytes of a hashed piece; a power of two, 8 at least and less than LENGTH
 FINE = 16  # pieces of a stretch whose smallest may own a string where the string's own smallest is hot
 HOT = 32  # blocks that make a hash hot
 SLAB = 1 << 20  # bytes of text whose suffixes are sorted at a time
+RUN = 1 << 14  # hashes worked on at a time: what they take stays in a core's cache
 _NONE = np.uint64(2**64 - 1)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _byte_values() -> np.ndarray:
-    """A 64-bit number for each byte, by a rule."""
-    h = np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(29)
-    return (h * np.uint64(0xBF58476D1CE4E5B9)) ^ (h >> np.uint64(32))
-
-
-_BYTES = _byte_values()
-
-
 def _even(hashes: np.ndarray) -> np.ndarray:
     """Another number for each, spread over the whole range: smallest hashes are small, and shards are ranges."""
     h = hashes * _SPREAD
@@ -52,14 +43,40 @@ def _even(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sliding(f, values: np.ndarray, width: int) -> np.ndarray:
-    """f (minimum or maximum) over each ``width`` consecutive values, by doubling; the last over what is left."""
-    out, have = values.copy(), 1
-    while have < width:
-        step = min(have, width - have)
-        if step >= len(out):
-            break
-        out[:-step] = f(out[:-step], out[step:])
-        have += step
+    """f (minimum or maximum) over each ``width`` consecutive values, by doubling; the last over what is left. Values
+    are taken in runs that stay in a core's cache."""
+    out = np.empty_like(values)
+    for at in range(0, len(values), RUN):
+        part = values[at : at + RUN + width - 1]
+        if len(part) < min(RUN, len(values) - at) + width - 1:
+            part = np.append(part, np.full(width - 1, _NONE if f is np.minimum else 0, values.dtype))
+        have = 1
+        while have < width:
+            step = min(have, width - have)
+            part = f(part[:-step], part[step:])
+            have += step
+        out[at : at + RUN] = part[: len(values) - at][:RUN]
+    return out
+
+
+def _pieces(text: np.ndarray) -> np.ndarray:
+    """A hash of the ``PIECE`` bytes from each place on, less than ``_NONE``; zeros follow the last byte."""
+    out = np.empty(len(text), np.uint64)
+    for at in range(0, len(text), RUN):
+        n = min(RUN, len(text) - at)
+        part = words(text[at : at + n + PIECE - 1], PIECE)[: n + PIECE - 8]
+        part ^= part >> np.uint64(29)
+        part *= np.uint64(0xBF58476D1CE4E5B9)
+        part ^= part >> np.uint64(32)
+        have, factor = 8, 0xD6E8FEB86659FD93
+        while have < PIECE:
+            ahead, part = part[have:], part[:-have] * np.uint64(factor)
+            part += ahead
+            have, factor = have * 2, factor * factor % 2**64
+        part ^= part >> np.uint64(31)
+        part *= np.uint64(0x94D049BB133111EB)
+        part ^= part >> np.uint64(30)
+        np.minimum(part, _NONE - np.uint64(1), out=out[at : at + n])
     return out
 
 
@@ -75,17 +92,7 @@ class _Intervals:
             self.start = self.starts = self.doc = np.zeros(0, np.int64)
             self.hash = self.twice = self.piece = np.zeros(0, np.uint64)
             return
-        piece = _BYTES[self.text]
-        have, factor = 1, 0xD6E8FEB86659FD93
-        while have < PIECE and have < n:
-            ahead = piece[have:].copy()
-            piece *= np.uint64(factor)
-            piece[:-have] += ahead
-            have, factor = have * 2, factor * factor % 2**64
-        piece ^= piece >> np.uint64(31)
-        piece *= np.uint64(0x94D049BB133111EB)
-        piece ^= piece >> np.uint64(30)
-        np.minimum(piece, _NONE - np.uint64(1), out=piece)
+        piece = _pieces(self.text)
         left = np.repeat(self.ends[1:].astype(np.int32), size) - np.arange(n, dtype=np.int32)  # bytes to the end
         piece[left < PIECE] = _NONE
         least = _sliding(np.minimum, piece, length - PIECE + 1)
@@ -103,7 +110,7 @@ class _Intervals:
         if repeats:
             # Places of pieces that are smallest somewhere: a hash with two such places may repeat in this block.
             least[~whole] = 0
-            back = _sliding(np.maximum, least[::-1], length - PIECE + 1)[::-1]
+            back = _sliding(np.maximum, np.concatenate([np.zeros(length - PIECE, np.uint64), least]), length - PIECE + 1)[:n]
             chosen = np.sort(piece[(back == piece) & (piece != _NONE)])
             self.twice = distinct(_even(chosen[1:][chosen[1:] == chosen[:-1]]))
 
@@ -143,16 +150,16 @@ class _Intervals:
         return np.array(at, np.int64), np.array(n, np.int64), np.array(doc, np.int64), np.array(owner, np.uint64)
 
 
-def _repeated_starts(texts: list[bytes], counts: np.ndarray, length: int, first: np.ndarray | None) -> tuple[list, list]:
-    """For each text, which of its suffixes of ``length`` bytes or more have that many in common with another,
-    or with themselves in another copy of the text (``counts``); and which of these are not the very first by
-    ``first`` (an order of the texts' first occurrences, shifted to hold the place in the document)."""
+def _repeated_starts(texts: list[bytes], counts: np.ndarray, length: int, first: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges (text, first byte, end) that are covered by the suffixes of ``length`` bytes or more which have that
+    many in common with another, or with themselves in another copy of the text (``counts``); and those of such that are
+    not the very first by ``first`` (an order of the texts' first occurrences, shifted to hold the place in the document)."""
     flat = np.frombuffer(b"".join(texts), np.uint8)
     size = np.array([len(t) for t in texts])
     begin = np.cumsum(size) - size
     starts = size - length + 1
-    owner = np.repeat(np.arange(len(texts)), size)
-    owner[np.arange(len(flat)) - begin[owner] >= starts[owner]] = -1  # too short, or in another interval
+    # Suffixes that are too short, or in another interval, are of no text.
+    owner = np.repeat(np.stack([np.arange(len(texts)), np.full(len(texts), -1)], 1).ravel(), np.stack([starts, size - starts], 1).ravel())
     order = suffix_array(flat, length, owner >= 0)
     order = order[owner[order] >= 0]
     same = reaches(flat, order, length)
@@ -166,8 +173,8 @@ def _repeated_starts(texts: list[bytes], counts: np.ndarray, length: int, first:
         least = np.minimum.reduceat(key, np.flatnonzero(~same))
         later = np.zeros(len(flat), bool)
         later[order] = hit[order] & (key > least[group])
-    cut = list(zip(begin.tolist(), starts.tolist(), strict=True))
-    return [hit[a : a + n] for a, n in cut], [later[a : a + n] for a, n in cut]
+    spans = _spans(hit, begin, length)
+    return spans, spans if first is None else _spans(later, begin, length)
 
 
 def _slabs(least: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -183,10 +190,21 @@ def _slabs(least: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int]]:
         yield start, len(least)
 
 
-def _spans(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
-    """The bytes covered by strings at the marked starts, as ranges."""
+def _spans(starts: np.ndarray, begin: np.ndarray, length: int) -> np.ndarray:
+    """The bytes covered by strings at the marked starts, as ranges (text, first byte, end); texts begin at ``begin``, and
+    none has a start among its last ``length`` - 1 bytes."""
     edge = np.flatnonzero(np.diff(np.concatenate([[False], starts, [False]])))
-    return list(zip(edge[::2].tolist(), (edge[1::2] + length - 1).tolist(), strict=True))
+    text = np.searchsorted(begin, edge[::2], side="right") - 1
+    return np.stack([text, edge[::2] - begin[text], edge[1::2] + length - 1 - begin[text]], 1)
+
+
+def _placed(spans: np.ndarray, texts: int, each: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For places, each of a text: (place, row of ``spans``) of all ranges of their texts."""
+    spans_of = np.bincount(spans[:, 0], minlength=texts)
+    order, begin = np.argsort(spans[:, 0], kind="stable"), np.cumsum(spans_of) - spans_of
+    n = spans_of[each]
+    place = np.repeat(np.arange(len(each)), n)
+    return place, order[begin[each][place] + np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n)]
 
 
 def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
@@ -304,20 +322,23 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, keep_first: boo
             first[each[at]] = (document << 34) + start[at]
         hash_of = np.array(least, np.uint64)
         by = np.argsort(hash_of, kind="stable")
-        spans: list = [()] * len(texts)
-        later: list = spans if first is None else [()] * len(texts)
+        found = []
         for x, y in _slabs(hash_of[by], np.array([len(texts[i]) for i in by.tolist()])):
             group = by[x:y]
-            hits, rest = _repeated_starts([texts[i] for i in group.tolist()], total[group], length, None if first is None else first[group])
-            for i, hit, left in zip(group.tolist(), hits, rest, strict=True):
-                spans[i] = _spans(hit, length)
-                later[i] = _spans(left, length) if first is not None else spans[i]
-        out: dict[int, list] = {}
-        for b, text, d, s, f in zip(block.tolist(), each.tolist(), doc.tolist(), start.tolist(), is_first.tolist(), strict=True):
-            for x, y in later[text] if f else spans[text]:
-                out.setdefault(b, []).append((d, s + x, s + y))
-        for b, found in out.items():
-            yield {"block": b, "shard": shard, "spans": np.array(found, np.int64).tobytes()}
+            hits = _repeated_starts([texts[i] for i in group.tolist()], total[group], length, None if first is None else first[group])
+            found.append([np.column_stack([group[h[:, 0]], h[:, 1:]]) for h in (hits if first is not None else hits[:1])])
+        # The first place of a text keeps what is the very first of its string.
+        out = []
+        for kind, chosen in zip(zip(*found, strict=True), (~is_first, is_first), strict=False):
+            spans, at = np.concatenate(kind), np.flatnonzero(chosen)
+            place, row = _placed(spans, len(texts), each[at])
+            at = at[place]
+            out.append(np.column_stack([block[at], doc[at], start[at] + spans[row, 1], start[at] + spans[row, 2]]))
+        covered = np.concatenate(out) if out else np.zeros((0, 4), np.int64)
+        covered = covered[np.argsort(covered[:, 0], kind="stable")]
+        cuts = np.flatnonzero(np.diff(covered[:, 0])) + 1
+        for of in np.split(covered, cuts) if len(covered) else ():
+            yield {"block": int(of[0, 0]), "shard": shard, "spans": np.ascontiguousarray(of[:, 1:]).tobytes()}
 
     def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
         order = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])

@@ -1,6 +1,7 @@
 """Each operator against a plain version, on sf0.001 and on awkward rows."""
 
 import random
+import time
 from collections import Counter, defaultdict
 
 import brute
@@ -384,6 +385,46 @@ def test_suffix_dedup(table, keep_first):
     assert rows(got, "*") == sorted(((d, *x) for (d, _), x in zip(docs, brute.removed_bytes(docs, keep_first=keep_first))), key=repr)
 
 
+def test_repeated_text_is_compared_in_stretches():
+    """Equal to comparing each pair of suffixes word by word, at a fraction of its time where text repeats."""
+    rng = np.random.default_rng(5)
+    some = rng.integers(97, 123, 120_000).astype(np.uint8)
+    text = np.concatenate([some, rng.integers(97, 123, 5_000).astype(np.uint8), some[:60_000], some[30_000:], some[7:400], np.tile(some[:90], 30)])
+    order = suffix_array.suffix_array(text, 200)
+
+    def word_by_word():
+        keys = np.lib.stride_tricks.sliding_window_view(np.concatenate([text, np.zeros(208, np.uint8)]), 8)
+        todo = np.flatnonzero(np.maximum(order[1:], order[:-1]) + 200 <= len(text)) + 1
+        for d in range(0, 200, 8):
+            todo = todo[(keys[order[todo] + d] == keys[order[todo - 1] + d]).all(axis=1)]
+        return np.isin(np.arange(len(order)), todo)
+
+    def best(f):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            f()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert (suffix_array.reaches(text, order, 200) == word_by_word()).all()
+    assert best(lambda: suffix_array.reaches(text, order, 200)) < best(word_by_word) / 3
+
+
+def test_pieces_and_windows_across_runs(monkeypatch):
+    """Hashes and smallest ones do not depend on where the runs that they are worked on in end."""
+    rng = np.random.default_rng(6)
+    for n in (1, 31, 64, 500, 3000):
+        text = rng.integers(0, 256, n).astype(np.uint8)
+        whole = suffix_dedup._pieces(text)
+        monkeypatch.setattr(suffix_dedup, "RUN", 64)
+        assert (suffix_dedup._pieces(text) == whole).all() and len(set(whole.tolist())) == n
+        assert (suffix_dedup._pieces(np.concatenate([text, text]))[: max(0, n - 31)] == whole[: max(0, n - 31)]).all()
+        for f, plain in ((np.minimum, min), (np.maximum, max)):
+            assert suffix_dedup._sliding(f, whole, 169).tolist() == [plain(whole[i : i + 169]) for i in range(n)]
+        monkeypatch.undo()
+
+
 def test_suffix_array():
     rng = np.random.default_rng(1)
     for trial in range(200):
