@@ -59,7 +59,7 @@ def sentinels(t: Tables) -> DataFrame:
 
 @query("verify_offsets", "SELECT 0::BIGINT AS nWrong")
 def offsets(t: Tables) -> DataFrame:
-    rows = S.extract(t.contracts, ["DATE", "TERM", "MONEY", "REDACT", "LAW", "GPE"], PLACES)
+    rows = S.extract(t.contracts, ["DATE", "TERM", "MONEY", "REDACT", "LAW", "GPE"], PLACES, columns=["DocID", "Start", "Stop", "Span"])
     return S.wrong_offsets(rows, t.contracts).agg(F.count("*").alias("nWrong"))
 
 
