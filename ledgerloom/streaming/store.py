@@ -107,11 +107,12 @@ class Store:
         """
         status = F.when(F.col("LabelRaw").startswith("error:"), "error").when(F.col("LabelRaw").startswith("timeout:"), "timeout").when(F.col("Start").isNotNull(), "hit").otherwise("nohit")
         rank = F.array_position(F.array(*[F.lit(s) for s in STATUS]), status)
-        failed = found.where(F.col("LabelRaw").rlike("^(error|timeout):")).groupBy("DocID").agg(F.min(rank).alias("f"))
-        hit = found.where("Start is not null").select("DocID", F.col("Label").alias("Entity")).distinct().withColumn("hit", F.lit(True))
-        grid = docs.select("DocID").distinct().crossJoin(F.broadcast(self.spark.createDataFrame([(e,) for e in entities], "Entity string")))
-        outcome = F.when(F.col("f").isNotNull(), F.element_at(F.array(*[F.lit(s) for s in STATUS]), F.col("f").cast("int"))).when(F.col("hit"), "hit").otherwise("nohit")
-        new = grid.join(failed, "DocID", "left").join(hit, ["DocID", "Entity"], "left").select("DocID", F.lit(model).alias("Model"), "Entity", outcome.alias("Status"), F.current_timestamp().alias("RunAt"))
+        # A document's rows are met once: its worst failure, if any, and the set of what it has spans of.
+        failed = F.min(F.when(F.col("LabelRaw").rlike("^(error|timeout):"), rank)).alias("f")
+        marks = found.groupBy("DocID").agg(failed, F.collect_set(F.when(F.col("Start").isNotNull(), F.col("Label"))).alias("hits"))
+        grid = docs.select("DocID").distinct().join(marks, "DocID", "left").select("DocID", "f", "hits", F.explode(F.array(*[F.lit(e) for e in dict.fromkeys(entities)])).alias("Entity"))
+        outcome = F.when(F.col("f").isNotNull(), F.element_at(F.array(*[F.lit(s) for s in STATUS]), F.col("f").cast("int"))).when(F.array_contains("hits", F.col("Entity")), "hit").otherwise("nohit")
+        new = grid.select("DocID", F.lit(model).alias("Model"), "Entity", outcome.alias("Status"), F.current_timestamp().alias("RunAt"))
         self._add("ledger", new, LEDGER, ["DocID", "Model", "Entity"])
 
     def write_spans(self, entity: str, docs: DataFrame, rows: DataFrame) -> None:

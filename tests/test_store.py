@@ -206,3 +206,16 @@ def test_split_check_reads_each_side_once(spark):
 
     plan = QUERIES["apl_check_split"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 3  # the whole and its halves
+
+
+def test_outcomes_meet_the_spans_once(spark, store, monkeypatch):
+    """Failures before hits, an outcome for every document and entity, and one join of documents with what was found."""
+    added = []
+    add = store._add
+    monkeypatch.setattr(store, "_add", lambda table, rows, *rest: (added.append(rows), add(table, rows, *rest)))
+    rows = [(1, "A", "x", 3), (1, "A", "x", 9), (2, None, "timeout:T", None), (2, "A", "x", 1), (2, None, "error:E", None), (3, "B", "x", 0), (4, None, None, None), (9, "A", "x", 1)]
+    found = spark.createDataFrame(rows, "DocID long, Label string, LabelRaw string, Start long")
+    store.write_outcomes(docs_of(spark, 1, 2, 3, 4, 5, 5), found, "m", ["A", "B"])
+    got = sorted((r.DocID, r.Entity, r.Status) for r in store.ledger.collect())
+    assert got == [(1, "A", "hit"), (1, "B", "nohit"), (2, "A", "error"), (2, "B", "error"), (3, "A", "nohit"), (3, "B", "hit"), (4, "A", "nohit"), (4, "B", "nohit"), (5, "A", "nohit"), (5, "B", "nohit")]
+    assert added[0]._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
