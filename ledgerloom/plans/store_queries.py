@@ -235,7 +235,7 @@ def run_register(t: Tables) -> DataFrame:
 @query("apl_check_split", "SELECT true AS Same, 0::BIGINT AS nDiffer")
 def check_split(t: Tables) -> DataFrame:
     """The whole corpus and its halves give the same spans."""
-    run = lambda d: S.extract(d, ["DATE", "MONEY"]).select("DocID", "Start", "Stop", "LabelRaw")
+    run = lambda d: S.extract(d, ["DATE", "MONEY"], columns=["DocID", "Start", "Stop", "LabelRaw"])
     whole = run(t.contracts)
     halves = run(t.contracts.where("DocID % 2 = 0")).union(run(t.contracts.where("DocID % 2 = 1")))
     # Each side is read once: a row counts one for the whole and minus one for the halves, and what is left over differs.
@@ -252,7 +252,7 @@ def check_done(t: Tables) -> DataFrame:
 
 def _facts(docs: DataFrame) -> DataFrame:
     """Rules over a document's dates and amounts: one row for each of the two, at its first place."""
-    found = S.extract(docs, ["DATE", "MONEY"])
+    found = S.extract(docs, ["DATE", "MONEY"], columns=["DocID", "Start", "Label", "LabelRaw", "DateValue", "Amount"])
     first = found.groupBy("DocID", "Label").agg(F.min_by(F.struct("LabelRaw", "Start", F.coalesce("DateValue", "Amount").alias("Value")), "Start").alias("f"))
     return first.select("DocID", "Label", "f.*")
 

@@ -140,7 +140,9 @@ class Store:
     def run_pass(self, corpus: DataFrame, extract: Callable[[DataFrame], DataFrame], model: str, entities: Sequence[str], spec: str, limit: int | None = None) -> int:
         """Extract what is pending; spans are written before outcomes, so a crash between repeats work and loses none."""
         self.register_model(model, entities, spec)
-        return self._run(self.pending(corpus, model, entities, limit), extract, model, entities)
+        todo, staged = self.pending(corpus, model, entities, limit), f"{self.folder}/staged/docs"
+        todo.write.mode("overwrite").parquet(staged)
+        return self._run(self.spark.read.schema(todo.schema).parquet(staged), extract, model, entities)
 
     def run_chunks(self, corpus: DataFrame, rules: Callable[[DataFrame], DataFrame], model: str, entities: Sequence[str], spec: str, chunks: int) -> list[int]:
         """A pass over what is pending, committed chunk by chunk: documents are dealt by a hash, once; the numbers of
@@ -152,12 +154,11 @@ class Store:
         kept = self.spark.read.schema(todo.schema).parquet(dealt)
         return [self._run(kept.where(F.col("_chunk") == k).drop("_chunk"), rules, model, entities) for k in range(chunks)]
 
-    def _run(self, todo: DataFrame, extract: Callable[[DataFrame], DataFrame], model: str, entities: Sequence[str]) -> int:
-        staged = f"{self.folder}/staged"
-        todo.write.mode("overwrite").parquet(f"{staged}/docs")
-        docs = self.spark.read.schema(todo.schema).parquet(f"{staged}/docs")
-        extract(docs).write.mode("overwrite").parquet(f"{staged}/spans")
-        found = self.spark.read.parquet(f"{staged}/spans")
+    def _run(self, docs: DataFrame, extract: Callable[[DataFrame], DataFrame], model: str, entities: Sequence[str]) -> int:
+        """Extract ``docs``, which are stored: they are read again for each table that is written."""
+        staged = f"{self.folder}/staged/spans"
+        extract(docs).write.mode("overwrite").parquet(staged)
+        found = self.spark.read.parquet(staged)
         for entity in entities:
             self.write_spans(entity, docs, found.where((F.col("Label") == entity) & F.col("Start").isNotNull()))
         self.write_outcomes(docs, found, model, entities)

@@ -219,3 +219,11 @@ def test_outcomes_meet_the_spans_once(spark, store, monkeypatch):
     got = sorted((r.DocID, r.Entity, r.Status) for r in store.ledger.collect())
     assert got == [(1, "A", "hit"), (1, "B", "nohit"), (2, "A", "error"), (2, "B", "error"), (3, "A", "nohit"), (3, "B", "hit"), (4, "A", "nohit"), (4, "B", "nohit"), (5, "A", "nohit"), (5, "B", "nohit")]
     assert added[0]._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_texts_of_chunks_are_stored_once(spark, store):
+    import os
+
+    assert sum(store.run_chunks(docs_of(spark, *range(1, 9)), lambda d: S.extract(d, ["DATE"], columns=["DocID", "Start", "Label", "LabelRaw"]), "m", ["DATE"], "spec", 3)) == 8
+    assert sorted(os.listdir(f"{store.folder}/staged")) == ["chunks", "spans"]
+    assert sorted(r.DocID for r in store.spans("DATE", "DocID long, Start long, Label string, LabelRaw string").collect()) == [1, 3, 5, 7]
