@@ -4,6 +4,9 @@ Two fingerprints at most 2r bits apart have a common variant at most r bits from
 fingerprint emits all its variants within half the radius, and fingerprints that meet at a variant
 are candidates. A variant's ball has a fixed number of members (65 of 64 bits), and every two of them
 are within the radius; a link from each to the least of them therefore loses none.
+
+The pipeline's near copies differ in more bits than a ball can hold. There a fingerprint has 512 bits, cut into bands;
+texts that have a band in common are linked to the least that has it, and links are checked shingle by shingle.
 """
 
 from __future__ import annotations
@@ -14,15 +17,17 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import LAST_ID, fresh, join_spread, mapped, raw_strings, stored, text_or_empty
 from .graph import components
-from .resemblance import resembling_smaller, set_digests
+from .resemblance import N_WORDS, resembling, resembling_smaller, set_digests
 
 SEED = 42
 STEP = 1 << 16  # shingles counted at a time
+NARROWEST, WIDER = 16, 4  # bits of a band: that many at least, and so many more than number the texts
+APART = 16  # of the first 64 bits of two texts with a band in common: in more they are no near copies
 ROWS, MOST_TASKS = 20_000, 50_000  # fingerprints whose variants a task emits, more where tasks would be too many
 
 
@@ -109,21 +114,53 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
     return out.select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), F.when(F.col("least") != LAST_ID, F.col("least")).alias("component_id"))
 
 
+def bands(nodes: DataFrame, width: int) -> DataFrame:
+    """(band, node, f): for each of ``nodes`` (node, bits) the bands of ``width`` bits that its fingerprint has, and its first word."""
+    n = 64 * N_WORDS // width
+    weights = np.uint64(1) << np.arange(width, dtype=np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = raw_strings(batch.column("bits"))[1].reshape(-1, 8 * N_WORDS)
+            cut = np.unpackbits(whole, axis=1)[:, : n * width].reshape(-1, n, width)
+            band = (cut * weights).sum(axis=2, dtype=np.uint64) * np.uint64(n) + np.arange(n, dtype=np.uint64)
+            first = np.ascontiguousarray(whole[:, :8]).view(">u8").astype(np.uint64).view(np.int64)
+            node = batch.column("node").to_numpy()
+            yield pa.record_batch([pa.array(band.reshape(-1).view(np.int64)), pa.array(np.repeat(node, n)), pa.array(np.repeat(first, n))], ["band", "node", "f"])
+
+    return mapped(nodes.select("node", "bits"), run, "band long, node long, f long")
+
+
+def linked_to_least(nodes: DataFrame) -> DataFrame:
+    """(a, b): each of ``nodes`` (node, bits) with the least node that has one of its bands, where that is another and few
+    of the first 64 bits differ. A band is wide enough that few texts have it by chance, and however many have
+    it, each gets one pair from it."""
+    width = max(NARROWEST, nodes.count().bit_length() + WIDER)
+    least = F.min(F.struct("node", "f")).over(Window.partitionBy("band"))
+    met = bands(nodes, width).withColumn("least", least).where("node > least.node")
+    return met.where(F.bit_count(F.col("f").bitwiseXOR(F.col("least.f"))) <= APART).select(F.col("node").alias("a"), F.col("least.node").alias("b")).distinct()
+
+
 def keep_one_of_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` without each row whose text resembles that of a row which stays and has a smaller doc_id (null last).
 
-    The resemblance is that of the sets of shingles, repeats not counted, and is computed exactly: no row goes
-    that does not resemble one that stays, and no two that stay resemble each other. Texts of equal sets are one
-    node. All columns stay. Empty and null texts are one group, as are repeated rows.
+    SimHash comes first: texts whose fingerprints have a band in common are compared, shingle by shingle, with the least
+    that has it. Fingerprints lose some pairs and join some texts that do not resemble each other, so what they
+    do not settle is searched exactly: no row goes that does not resemble one that stays, and no two that stay
+    resemble each other, whatever the fingerprints. Resemblance and fingerprints are those of the sets of shingles,
+    repeats not counted. Texts of equal sets are one node. All columns stay. Empty and null texts are one group, as
+    are repeated rows.
     """
     row = f"{fresh('_near', docs.columns)}_row"
     rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "marked")
     slim = rows.select(F.col(row).alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), text_or_empty().alias("text"))
     digests = set_digests(slim, words)
-    first = digests.join(slim.select("key", "doc"), "key").groupBy("high", "low").agg(F.min(F.struct("doc", "key")).alias("first"))
+    first = digests.join(slim.select("key", "doc"), "key").groupBy("high", "low").agg(F.min(F.struct("doc", "key", "bits")).alias("first"))
     # Numbers that grow with doc_id: a sorted table's partitions are numbered in its order.
-    nodes = stored(first.orderBy("first").select(F.monotonically_increasing_id().alias("node"), F.col("first.key").alias("key")), "nodes")
-    removed = resembling_smaller(slim, nodes, words, similarity).withColumnRenamed("key", "node")
-    kept = nodes.join(removed, "node", "left_anti")
+    nodes = stored(first.orderBy("first").select(F.monotonically_increasing_id().alias("node"), F.col("first.key").alias("key"), F.col("first.bits").alias("bits")), "nodes")
+    texts = nodes.select("node", "key")
+    alike = stored(resembling(linked_to_least(nodes), slim, texts, words, similarity), "alike")
+    removed = resembling_smaller(slim, texts, words, similarity, alike).withColumnRenamed("key", "node")
+    kept = texts.join(removed, "node", "left_anti")
     gone = stored(rows.select(row).join(kept.select(F.col("key").alias(row)), row, "left_anti"), "removed")
     return rows.join(gone, row, "left_anti").select(*docs.columns)

@@ -43,6 +43,28 @@ def shingle_hashes(text: bytes, words: int = WORDS) -> np.ndarray:
     return h[np.append(True, h[1:] != h[:-1])]
 
 
+def further(hashes: np.ndarray, n_words: int) -> np.ndarray:
+    """A column each of independent 64-bit hashes: those given, then others made of them."""
+    h = hashes[:, None] + np.arange(n_words, dtype=np.uint64) * _MULTIPLIER
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    h[:, 0] = hashes
+    return h
+
+
+def majority(hashes: np.ndarray, n_words: int = 1) -> bytes:
+    """The SimHash of 64-bit hashes (unsigned), in ``n_words`` big-endian words, each of further hashes than the one
+    before: a bit is set if over half of them have it. Of no hash it is 0."""
+    count = np.zeros(64 * n_words, np.int64)
+    for at in range(0, len(hashes), 255):  # as many as fit the sum of a byte: eight bytes are added at once
+        part = hashes[at : at + 255]
+        rows = (further(part, n_words) if n_words > 1 else part).astype(">u8")
+        bits = np.unpackbits(rows.view(np.uint8).reshape(-1)).view(np.uint64).reshape(len(part), -1)
+        count += bits.sum(axis=0).view(np.uint8)
+    return np.packbits(2 * count > len(hashes)).tobytes()
+
+
 def sketch(hashes: np.ndarray, fraction: int = FRACTION) -> np.ndarray:
     """The retained part of ascending hashes."""
     return hashes if fraction == 1 else hashes[: np.searchsorted(hashes, np.uint64(2**64 // fraction))]

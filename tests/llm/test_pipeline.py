@@ -8,7 +8,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import mixing, queries, simhash
+from ledgerloom.llm import mixing, queries, resemblance, simhash, sketch
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -189,3 +189,78 @@ def test_no_pair_is_missed_at_the_limit(spark):
     assert sum(0.8 <= x < 0.85 for x in alike.values()) > 40 and sum(0.75 <= x < 0.8 for x in alike.values()) > 40
     assert {i for i in alike if 1000 + i not in got} == {i for i, x in alike.items() if x >= 0.8}
     assert got == kept_in_order(docs)
+
+
+def near_copies_of(seed):
+    """Texts and copies of each with some words changed, of resemblance 0.8 to 1, and small sets."""
+    rng, docs = random.Random(seed), []
+    for i in range(120):
+        w = words_of(rng, rng.randrange(80, 400))
+        n = max(1, round(len(w) * rng.uniform(0, 0.08)))
+        at = rng.randrange(len(w) - n)
+        docs += [(i, " ".join(w)), (1000 + i, " ".join(w[:at] + words_of(rng, n) + w[at + n :]))]
+    docs += [(3000 + i, " ".join(f"s{k}" for k in range(i))) for i in range(12)]
+    return docs + [(4000, None), (4001, docs[0][1]), (4002, docs[1][1])]
+
+
+def plain_simhash(hashes, n_words):
+    """Words of 64 bits: the k-th of the k-th hashes of all shingles."""
+    out, m = [], 2**64 - 1
+    for k in range(n_words):
+        each = []
+        for h in hashes:
+            if k:
+                h = (h + k * 0x9E3779B97F4A7C15) & m
+                h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 & m
+                h = (h ^ (h >> 27)) * 0x94D049BB133111EB & m
+                h ^= h >> 31
+            each.append(h)
+        out.append("".join("1" if 2 * sum(h >> b & 1 for h in each) > len(each) else "0" for b in range(63, -1, -1)))
+    return out
+
+
+def test_simhash_links_go_to_the_least_of_a_band(spark):
+    """Fingerprints of sets, their bands and links, against a plain version."""
+    docs = [(d, t or "") for d, t in [*near_copies_of(41)[:60], *near_copies_of(41)[240:]]] + [(9000, "a " * 700), (9001, " ".join(f"z{i}" for i in range(700)))]
+    found = {r.key: bytes(r.bits) for r in resemblance.set_digests(spark.createDataFrame(docs, "key long, text string"), 5).collect()}
+    bits = {d: "".join(plain_simhash([int(h) for h in sketch.shingle_hashes(t.encode(), 5)], resemblance.N_WORDS)) for d, t in docs}
+    assert {d: "".join(f"{x:08b}" for x in b) for d, b in found.items()} == bits
+
+    width, least, want = 16, {}, set()
+    for d in sorted(bits):
+        for at in range(0, 512, width):
+            b = least.setdefault((at, bits[d][at : at + width]), d)
+            if b != d and sum(x != y for x, y in zip(bits[d][:64], bits[b][:64])) <= simhash.APART:
+                want.add((d, b))
+    nodes = spark.createDataFrame([(d, bytearray(b)) for d, b in found.items()], "node long, bits binary")
+    assert {tuple(r) for r in simhash.linked_to_least(nodes).collect()} == want and len(want) > 5
+    assert simhash.linked_to_least(nodes.limit(0)).count() == 0
+
+
+def test_simhash_decides_near_copies(spark, monkeypatch):
+    """What SimHash links and the exact check confirms goes by that, and is compared with nothing more."""
+    asked, found, real = [], [], resemblance.resembling
+
+    def spy(pairs, *rest):
+        out = real(pairs, *rest)
+        asked.append({tuple(r) for r in pairs.collect()})
+        found.append({tuple(r) for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(resemblance, "resembling", spy)
+    monkeypatch.setattr(simhash, "resembling", spy)
+    docs = near_copies_of(42)[:160]
+    got = stay_of(spark, docs)
+    assert got == kept_in_order(docs)
+    near = {d for d, _ in docs if d not in got}
+    decided, searched = found[0], set().union(*asked[1:])
+    assert len(near) > 50 and len(decided) >= 0.7 * len(near) and not decided & searched
+
+
+def test_near_copies_do_not_depend_on_fingerprints(spark, monkeypatch):
+    """No links, or links between any texts, leave the same texts: what SimHash does not settle is searched."""
+    docs = near_copies_of(43)
+    want = kept_in_order([(d, t or "") for d, t in docs])
+    for pairs in ([], [(a, b) for a in range(0, 60) for b in range(0, a, 7)]):
+        monkeypatch.setattr(simhash, "linked_to_least", lambda nodes, pairs=pairs: spark.createDataFrame(pairs, "a long, b long"))
+        assert stay_of(spark, docs) == want
