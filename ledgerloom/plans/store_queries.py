@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -186,20 +188,22 @@ def export_cto(t: Tables) -> DataFrame:
 # --- The incremental store --------------------------------------------------------------------------------
 
 
-def _filled(t: Tables) -> tuple[St.Store, DataFrame]:
-    """A store after two passes: even documents, then all that were left."""
+ENTITIES = ["DATE", "MONEY", "REDACT"]
+
+
+def _filled(t: Tables, *passes: DataFrame) -> St.Store:
+    """A store after passes, each over what of its documents was left."""
     store = St.Store(t.spark, X.scratch(t.spark))
-    corpus = t.contracts
-    spec = S.spec_hash(["DATE", "MONEY", "REDACT"])
-    extract = lambda docs: S.extract(docs, ["DATE", "MONEY", "REDACT"], model="patterns")
-    for part in (corpus.where("DocID % 2 = 0"), corpus):
-        store.run_pass(part, extract, "patterns", ["DATE", "MONEY", "REDACT"], spec)
-    return store, corpus
+    extract = lambda docs: S.extract(docs, ENTITIES, model="patterns")
+    for docs in passes:
+        store.run_pass(docs, extract, "patterns", ENTITIES, S.spec_hash(ENTITIES))
+    return store
 
 
 @query("cor_pass", "SELECT DocID, 'DATE' AS Entity, 'hit' AS Status FROM contracts UNION ALL SELECT DocID, 'MONEY', 'hit' FROM contracts UNION ALL SELECT DocID, 'REDACT', CASE WHEN DocID % 4 < 2 THEN 'hit' ELSE 'nohit' END FROM contracts")
 def corpus_pass(t: Tables) -> DataFrame:
-    return _filled(t)[0].ledger.select("DocID", "Entity", "Status")
+    """Two passes: even documents, then all that were left."""
+    return _filled(t, t.contracts.where("DocID % 2 = 0"), t.contracts).ledger.select("DocID", "Entity", "Status")
 
 
 @query("ner_db_summary", "SELECT Model, Entity, count(*) AS n, count(*) FILTER (Status = 'error') AS n_error, count(*) FILTER (Status = 'timeout') AS n_timeout, count(*) FILTER (Status = 'hit') AS n_hit, count(*) FILTER (Status = 'nohit') AS n_nohit FROM ledger GROUP BY 1, 2")
@@ -214,8 +218,10 @@ def check_ledger(t: Tables) -> DataFrame:
 
 @query("ent_check_offsets", "SELECT 0::BIGINT AS nWrong")
 def store_offsets(t: Tables) -> DataFrame:
-    store, corpus = _filled(t)
-    return S.wrong_offsets(store.spans("MONEY", S.SCHEMA), corpus).agg(F.count("*").alias("nWrong"))
+    """Every span of every entity in a store of the whole corpus, beside its document's text."""
+    store = _filled(t, t.contracts)
+    spans = reduce(DataFrame.union, [store.spans(entity, S.SCHEMA) for entity in ENTITIES])
+    return S.wrong_offsets(spans, t.contracts).agg(F.count("*").alias("nWrong"))
 
 
 @query("edg_measure_corpus", "SELECT DocID, length(Text) AS nChars FROM contracts WHERE DocID % 3 <> 1")

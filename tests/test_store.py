@@ -11,7 +11,9 @@ from ledgerloom.operators import parties as P
 from ledgerloom.operators.joins import assert_unique, no_collision
 from ledgerloom.operators.windows import folds
 from ledgerloom.plans.aggregate_queries import ntile_all
+from ledgerloom.plans.catalog import QUERIES
 from ledgerloom.sources import files as X
+from ledgerloom.sources.tables import Tables
 from ledgerloom.streaming import store as St
 
 
@@ -227,3 +229,13 @@ def test_texts_of_chunks_are_stored_once(spark, store):
     assert sum(store.run_chunks(docs_of(spark, *range(1, 9)), lambda d: S.extract(d, ["DATE"], columns=["DocID", "Start", "Label", "LabelRaw"]), "m", ["DATE"], "spec", 3)) == 8
     assert sorted(os.listdir(f"{store.folder}/staged")) == ["chunks", "spans"]
     assert sorted(r.DocID for r in store.spans("DATE", "DocID long, Start long, Label string, LabelRaw string").collect()) == [1, 3, 5, 7]
+
+
+def test_offsets_of_every_entity_and_document_are_audited(spark, tmp_path, monkeypatch):
+    """All spans are moved by one: the audit counts each of them, of three entities and all documents."""
+    spark.read.parquet("/root/testdata/sf0.001/orders.parquet").limit(24).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    extract = S.extract
+    found = extract(Tables(spark, str(tmp_path)).contracts, ["DATE", "MONEY", "REDACT"]).where("Start is not null").select("DocID", "Label").collect()
+    assert len({r.DocID for r in found}) == 24 and {r.Label for r in found} == {"DATE", "MONEY", "REDACT"}
+    monkeypatch.setattr(S, "extract", lambda *a, **k: extract(*a, **k).withColumn("Start", F.col("Start") + 1))
+    assert QUERIES["ent_check_offsets"](spark, str(tmp_path)).first()[0] == len(found)
