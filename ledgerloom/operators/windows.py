@@ -23,6 +23,12 @@ def runs(df: DataFrame, keys: list[str], value: str, *order: str) -> DataFrame:
     return df.withColumn("_c", change).withColumn("Run", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_c")
 
 
+def nulls_last(*columns: Column | str) -> Column:
+    """A struct that orders as the columns do, each with its nulls last; in a plain one they are first."""
+    parts = [F.col(c) if isinstance(c, str) else c for c in columns]
+    return F.struct(*[x.alias(f"_{i}") for i, x in enumerate(x for c in parts for x in (c.isNull(), c))])
+
+
 def top_per(df: DataFrame, keys: list[str], n: int, *order: Column) -> DataFrame:
     """The first ``n`` rows of each key, with their rank."""
     return df.withColumn("Rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("Rank") <= n)

@@ -211,7 +211,7 @@ def entities(t: Tables) -> DataFrame:
 
 @query("ent_party_facts", "SELECT DocID, PartyKey, arg_min(PartyRole, (Start, SpanNo)) AS Role, count(DISTINCT Kind) AS nSpellings, min(Start) AS FirstAt, max(Stop) AS LastAt FROM spans WHERE Label = 'ORG' GROUP BY 1, 2")
 def party_facts(t: Tables) -> DataFrame:
-    return t.placed("spans").where("Label = 'ORG'").groupBy("DocID", "PartyKey").agg(F.min_by("PartyRole", F.struct("Start", "SpanNo", "_place")).alias("Role"), F.countDistinct("Kind").alias("nSpellings"), F.min("Start").alias("FirstAt"), F.max("Stop").alias("LastAt"))
+    return t.placed("spans").where("Label = 'ORG'").groupBy("DocID", "PartyKey").agg(F.min_by("PartyRole", W.nulls_last("Start", "SpanNo", "_place")).alias("Role"), F.countDistinct("Kind").alias("nSpellings"), F.min("Start").alias("FirstAt"), F.max("Stop").alias("LastAt"))
 
 
 @query("ent_doc_facts", "SELECT l.DocID, l.DocLen, count(DISTINCT PartyKey) AS nParties, count(DISTINCT CASE WHEN PartyRole = 'registrant' THEN PartyKey END) AS nRegistrants, count(DISTINCT CASE WHEN PartyRole = 'counterparty' THEN PartyKey END) AS nCounter, greatest(0, min(Start) - 2000) AS WinStart, least(l.DocLen, max(Stop) + 2000) AS WinStop, CAST(FLOOR(l.DocLen * 0.9) AS BIGINT) AS TailStart FROM lens l JOIN spans s USING (DocID) WHERE Label = 'ORG' GROUP BY 1, 2")

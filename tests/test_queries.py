@@ -57,3 +57,26 @@ def test_the_first_of_tied_parties_is_located(spark, tied):
 
 def test_repeated_clauses_are_one_row(spark, tied):
     assert [tuple(r) for r in QUERIES["geo_release_law"](spark, tied).orderBy("Stop").collect()] == [(1, 8, 13, 3, "RedactExplicit"), (1, 8, 17, 3, "RedactExplicit")]
+
+
+@pytest.mark.parametrize(("name", "column"), [("ent_party_facts", "l_partkey")])
+def test_nulls_are_last_as_in_sql(spark, tmp_path, name, column):
+    """Five lines an order, one without a number, in any sequence; some nulls in a column. No two are tied, as SQL may take any of tied rows."""
+    import random
+    from datetime import datetime
+
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    draw, lines = random.Random(5), []
+    for key in range(1, 41):
+        for number in draw.sample([1, 2, 3, 4, None], 5):
+            line = {"l_orderkey": key, "l_partkey": draw.randint(1, 900), "l_suppkey": 5, "l_linenumber": number, "l_quantity": float(draw.randint(1, 50)), "l_extendedprice": 1.0, "l_discount": 0.0, "l_tax": 0.0, "l_returnflag": draw.choice("ARN"), "l_linestatus": draw.choice("FO"), "l_shipdate": datetime(2001, 2, 3)}
+            lines.append(line | ({column: None} if draw.random() < 0.4 else {}))
+    pq.write_table(pa.Table.from_pylist(lines).cast(pq.read_schema(f"{FOLDER}/lineitem.parquet"), safe=False), tmp_path / "lineitem.parquet")
+    pq.write_table(pa.Table.from_pylist([{"o_orderkey": k} for k in range(1, 43)], pq.read_schema(f"{FOLDER}/orders.parquet")), tmp_path / "orders.parquet")
+    con = duckdb.connect()
+    for table in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet'")
+    assert differences(QUERIES[name](spark, str(tmp_path)), con, ORACLES[name]) == ""
