@@ -393,5 +393,6 @@ def locate_party(t: Tables) -> DataFrame:
 
 @query("ent_party_names", "SELECT DocID, PartyKey, arg_min(Kind, (PartyRole <> 'registrant', Status <> 'F', Start, SpanNo)) AS Name, bool_or(PartyRole = 'registrant') AS IsMatch, CAST(count(*) AS BIGINT) AS NOcc, arg_min(Stop, (Start, SpanNo)) AS FirstStop FROM spans WHERE Label = 'ORG' GROUP BY 1, 2")
 def party_names(t: Tables) -> DataFrame:
-    order = F.struct(F.col("PartyRole") != "registrant", F.col("Status") != "F", "Start", "SpanNo", "_place")
-    return t.placed("spans").where("Label = 'ORG'").groupBy("DocID", "PartyKey").agg(F.min_by("Kind", order).alias("Name"), F.bool_or(F.col("PartyRole") == "registrant").alias("IsMatch"), F.count("*").alias("NOcc"), F.min_by("Stop", F.struct("Start", "SpanNo", "_place")).alias("FirstStop"))
+    order = W.nulls_last(F.col("PartyRole") != "registrant", F.col("Status") != "F", "Start", "SpanNo", "_place")
+    stop = F.when(F.col("Stop").isNotNull(), W.nulls_last("Start", "SpanNo", "_place"))  # as in SQL, the first that is known
+    return t.placed("spans").where("Label = 'ORG'").groupBy("DocID", "PartyKey").agg(F.min_by("Kind", order).alias("Name"), F.bool_or(F.col("PartyRole") == "registrant").alias("IsMatch"), F.count("*").alias("NOcc"), F.min_by("Stop", stop).alias("FirstStop"))
