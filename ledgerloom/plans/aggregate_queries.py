@@ -387,7 +387,7 @@ def release_mentions(t: Tables) -> DataFrame:
 @query("ent_locate_party", "SELECT r.DocID, m.PartyKey, m.Start, CASE WHEN m.DocID IS NULL THEN 'no entity' WHEN m.IsMatch THEN 'matched' ELSE 'first' END AS Status FROM register r LEFT JOIN (SELECT *, PartyRole = 'registrant' AS IsMatch FROM spans WHERE Label = 'ORG' QUALIFY row_number() OVER (PARTITION BY DocID ORDER BY (PartyRole = 'registrant') DESC, Start, SpanNo) = 1) m USING (DocID)")
 def locate_party(t: Tables) -> DataFrame:
     matched = t.placed("spans").where("Label = 'ORG'").withColumn("IsMatch", F.col("PartyRole") == "registrant")
-    best = first_per(matched, ["DocID"], F.desc("IsMatch"), F.col("Start"), F.col("SpanNo"), F.col("_place")).select("DocID", "PartyKey", "Start", "IsMatch")
+    best = first_per(matched, ["DocID"], F.desc("IsMatch"), F.asc_nulls_last("Start"), F.asc_nulls_last("SpanNo"), F.col("_place")).select("DocID", "PartyKey", "Start", "IsMatch")
     return t.register.select("DocID").join(best, "DocID", "left").select("DocID", "PartyKey", "Start", F.when(F.col("IsMatch").isNull(), "no entity").when(F.col("IsMatch"), "matched").otherwise("first").alias("Status"))
 
 
