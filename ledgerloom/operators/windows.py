@@ -16,8 +16,8 @@ def overlap_clusters(spans: DataFrame, *tie: str) -> DataFrame:
 
 
 def runs(df: DataFrame, keys: list[str], value: str, *order: str) -> DataFrame:
-    """``df`` with the number of the run of equal values that a row is in, within its keys."""
-    w = Window.partitionBy(*keys).orderBy(*order)
+    """``df`` with the number of the run of equal values that a row is in, within its keys; nulls are last in the order."""
+    w = Window.partitionBy(*keys).orderBy(*[F.asc_nulls_last(c) for c in order])
     before = F.lag(value).over(w)
     change = F.when(F.row_number().over(w) == 1, 0).when(before.eqNullSafe(F.col(value)), 0).otherwise(1)
     return df.withColumn("_c", change).withColumn("Run", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_c")
