@@ -56,8 +56,9 @@ def profile(df: DataFrame, columns: Sequence[str], ceiling: float | None = None)
 
 
 def ordered_list(order: Sequence[str], value: str, separator: str = "|") -> Column:
-    """Values joined in the order of other columns."""
-    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, value))), lambda x: x[value].cast("string")), separator)
+    """Values joined in the order of other columns, nulls of these last."""
+    row = F.struct(*[x for c in order for x in (F.isnull(c).alias(f"_{c}"), F.col(c))], value)
+    return F.array_join(F.transform(F.sort_array(F.collect_list(row)), lambda x: x[value].cast("string")), separator)
 
 
 def boilerplate_share(docs: DataFrame, words: Column, min_share: float = 0.01) -> DataFrame:

@@ -59,7 +59,7 @@ def test_repeated_clauses_are_one_row(spark, tied):
     assert [tuple(r) for r in QUERIES["geo_release_law"](spark, tied).orderBy("Stop").collect()] == [(1, 8, 13, 3, "RedactExplicit"), (1, 8, 17, 3, "RedactExplicit")]
 
 
-@pytest.mark.parametrize(("name", "column"), [("ent_party_facts", "l_partkey"), ("ent_party_names", "l_partkey"), ("ent_party_names", "l_quantity"), ("ent_party_names", "l_linestatus"), ("ent_locate_party", "l_partkey"), ("itm_runs", "l_quantity"), ("itm_run_sum", "l_quantity")])
+@pytest.mark.parametrize(("name", "column"), [("ent_party_facts", "l_partkey"), ("ent_party_names", "l_partkey"), ("ent_party_names", "l_quantity"), ("ent_party_names", "l_linestatus"), ("ent_locate_party", "l_partkey"), ("itm_runs", "l_quantity"), ("itm_run_sum", "l_quantity"), ("itm_run_paste", "l_quantity")])
 def test_nulls_are_last_as_in_sql(spark, tmp_path, name, column):
     """Five lines an order, one without a number, in any sequence; some nulls in a column. No two are tied, as SQL may take any of tied rows."""
     import random
